@@ -11,6 +11,7 @@ from marketloom.llm.lines import dedup_lines
 from marketloom.llm.packing import pack
 from marketloom.llm.shared import table
 from marketloom.llm.simhash import simhash_components
+from marketloom.llm.substrings import remove_repeats
 
 
 #: Folder of the public tokenizers' files.
@@ -22,6 +23,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "substring_dedup.n_words", "substring_dedup.n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json").withColumnRenamed("id", "doc_id")
 
@@ -37,6 +43,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
@@ -61,4 +68,22 @@ ORACLE_SQL: dict[str, str] = {
                       FILTER (WHERE keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
         FROM keyed LEFT JOIN shared USING (key) GROUP BY doc_id
     """,
+    "op5_substring_dedup": r"""
+        WITH texts AS (
+          SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        starts AS (
+          SELECT doc_id, unnest(range(1, len(words) - 33)) AS p FROM texts WHERE len(words) >= 35),
+        windows AS (
+          SELECT doc_id, p, md5(array_to_string(words[p:p + 34], ' ')) AS key FROM starts JOIN texts USING (doc_id)),
+        again AS (SELECT key FROM windows GROUP BY key HAVING count(*) > 1),
+        covered AS (
+          SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS pos FROM windows JOIN again USING (key)),
+        each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM texts),
+        kept AS (
+          SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS body
+          FROM each ANTI JOIN covered USING (doc_id, pos) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(body, '')) AS kept_sha256
+        FROM texts LEFT JOIN kept USING (doc_id)
+    """,
 }
