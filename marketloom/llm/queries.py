@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.llm.decontamination import contamination
 from marketloom.llm.lines import dedup_lines
 from marketloom.llm.packing import pack
+from marketloom.llm.quality import fit_quality, is_held_out
 from marketloom.llm.shared import table
 from marketloom.llm.simhash import simhash_components
 from marketloom.llm.substrings import remove_repeats
@@ -28,6 +30,18 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "substring_dedup.n_words", "substring_dedup.n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "distance", "places")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", is_held_out("doc_id").alias("held_out"), model.column(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json").withColumnRenamed("id", "doc_id")
 
@@ -44,7 +58,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
