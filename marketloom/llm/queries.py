@@ -14,12 +14,17 @@ from marketloom.llm.quality import fit_quality, is_held_out
 from marketloom.llm.shared import table
 from marketloom.llm.simhash import simhash_components
 from marketloom.llm.substrings import remove_repeats
+from marketloom.llm.topk import top_k
 
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -56,6 +61,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_top_k": op1_exact_top_k,
     "op4_line_dedup": op4_line_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_decontamination": op7_decontamination,
@@ -65,6 +71,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_exact_top_k": """
+        WITH vectors AS (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        components AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM vectors),
+        scores AS (
+          SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+          FROM components q JOIN components c ON q.i = c.i AND q.vec_id <> c.vec_id
+          WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id, c.vec_id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scores)
+        SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 10
+    """,
     "op4_line_dedup": """
         WITH lines AS (
           SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
