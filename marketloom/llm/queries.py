@@ -11,10 +11,12 @@ from marketloom.llm.decontamination import contamination
 from marketloom.llm.lines import dedup_lines
 from marketloom.llm.packing import pack
 from marketloom.llm.quality import fit_quality, is_held_out
+from marketloom.llm.secrets import BASE, scan_secrets, span_text
 from marketloom.llm.shared import table
 from marketloom.llm.simhash import simhash_components
 from marketloom.llm.substrings import remove_repeats
 from marketloom.llm.topk import top_k
+from marketloom.llm.viterbi import count_tokens
 
 
 #: Folder of the public tokenizers' files.
@@ -25,6 +27,26 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is a repository of its own here and its source is the owner."""
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < len(BASE))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *(of(i).alias(f"n_{kind.name}") for i, kind in enumerate(BASE)),
+        F.sha2(span_text(base), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+        of(len(BASE)).alias("n_live"),
+        F.size(F.filter("spans", lambda s: s["owners"] > 1)).cast("long").alias("n_copied"),
+    )
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return counted.withColumnRenamed("id", "doc_id")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -62,6 +84,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_decontamination": op7_decontamination,
