@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,11 +22,11 @@ from marketloom.llm.shared import id_and_text, materialise, read_bounded, slices
 WHITE = "\t-\r \x85\xa0  -     　"
 #: White space and the word behind it: byte-level merges never cross from one such chunk to the next.
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Chunks whose ids a Python worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 300_000, 64
+#: Chunks whose ids a Python worker remembers in each of two generations, and the longest of them.
+REMEMBERED, LONGEST = 400_000, 64
 
 
-class ChunkTokenizer:
+class ChunkTokenizer(dict):
     """Ids of whole texts, as little-endian unsigned 32-bit numbers; each chunk is encoded once while it is remembered."""
 
     def __init__(self, model: bytes) -> None:
@@ -34,23 +35,24 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_buffer(model)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None and (stem := chunk.rstrip(".,!")) != chunk and stem[-1:].isascii() and stem[-1:].isalpha():
+            # a letter's token never takes in the mark behind it
+            ids = self[stem] + self[chunk[len(stem) :]]
+        elif ids is None:
+            ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if len(chunk) <= LONGEST:
+            self[chunk] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
-        chunks = CHUNK.findall(text)
-        known = self.known
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            ids = [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            known.update(zip(new, ids, strict=True))
-        out = b"".join([known[c] for c in chunks])
-        for c in new:
-            if len(c) > LONGEST:
-                del known[c]
-        return out
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, CHUNK.findall(text)))
 
 
 @lru_cache(maxsize=1)
