@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from marketloom.plans import features
+
+AREAS = [features]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for area in AREAS for name, query in area.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: text for area in AREAS for name, text in area.ORACLE_SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
