@@ -49,7 +49,8 @@ def market_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = tables.bars_daily(spark, sf_dir)
     curve = ops.market_curve(bars, [])
     out = ops.on_market_curve(bars, curve.where(F.dayofmonth("ts") > 3))
-    return out.select("symbol", day(), *rounded(["cum_market_return", "market_return"]))
+    # 0.0 is added so that no change is no negative zero
+    return out.select("symbol", day(), *rounded(["cum_market_return"]), (F.round("market_return", 6) + F.lit(0.0)).alias("market_return"))
 
 
 def pnl_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +199,7 @@ ORACLE_SQL = {
         f AS (SELECT symbol, ts, coalesce(last_value(market IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts),
           first_value(market IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) AS c FROM j)
         SELECT symbol, {DAY}, round(c, 6) AS cum_market_return,
-          round(coalesce(c / lag(c) OVER (PARTITION BY symbol ORDER BY ts) - 1, 0), 6) AS market_return FROM f""",
+          round(coalesce(c / lag(c) OVER (PARTITION BY symbol ORDER BY ts) - 1, 0), 6) + CAST(0 AS DOUBLE) AS market_return FROM f""",
     "b22_pnl_table": f"""WITH RECURSIVE {_FLAGS},
         e AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM flags WHERE entry_trade = 1),
         x AS (SELECT symbol, ts AS exit_ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM flags WHERE exit_trade = 1)

@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(v):
     if isinstance(v, float):
-        return None if v != v else round(v, 6)
+        return None if v != v else round(v, 6) + 0.0
     if isinstance(v, decimal.Decimal):
         return round(float(v), 6)
     if isinstance(v, datetime.datetime):
