@@ -100,7 +100,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
+#: Matches and the pieces between them alternate, so that their lengths give each match's place.
+_KIND = """
+  SELECT doc_id, source, {kind} AS kind, regexp_extract_all(t, '{pattern}', 0) AS whole, regexp_extract_all(t, '{pattern}', {group}) AS secret,
+         string_split_regex(t, '{pattern}') AS gap FROM texts"""
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_KINDS = [(0, _ASSIGN, 2), (1, "AKIA[A-Z0-9]+", 0), (2, "[0-9a-f]{24,}", 0), (3, "[A-Za-z0-9+/_-]{20,}", 0)]
+_SPAN = "CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'live' END || ':' || start || ':' || stop"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_secret_scan": f"""
+        WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+        found AS ({" UNION ALL ".join(_KIND.format(kind=k, pattern=p, group=g) for k, p, g in _KINDS)}),
+        each AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM found WHERE len(whole) > 0),
+        spans AS (
+          SELECT doc_id, source, kind, secret[i] AS secret, whole[i] AS whole,
+            CAST(list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+          FROM each),
+        kept AS (
+          SELECT *, start + length(whole) AS stop FROM spans
+          WHERE CASE kind WHEN 0 THEN length(secret) >= 6 WHEN 1 THEN length(secret) >= 20 WHEN 2 THEN length(secret) >= 24
+            ELSE regexp_matches(secret, '[0-9]') AND regexp_matches(secret, '[A-Z]') AND regexp_matches(secret, '[a-z]') END),
+        spread AS (SELECT secret, count(DISTINCT doc_id) AS repos, count(DISTINCT source) AS owners FROM kept GROUP BY secret),
+        final AS (
+          SELECT k.*, owners FROM kept k JOIN spread USING (secret)
+          WHERE kind < 3 OR (owners <= 1 AND repos <= 1 AND NOT EXISTS (
+            SELECT 1 FROM kept b WHERE b.doc_id = k.doc_id AND b.kind < 3 AND b.start < k.stop AND k.start < b.stop)))
+        SELECT t.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+          sha256(coalesce(string_agg({_SPAN}, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,
+          coalesce(string_agg({_SPAN}, ',' ORDER BY start, kind), '') AS spans, count(*) FILTER (kind = 3) AS n_live,
+          count(*) FILTER (owners > 1) AS n_copied
+        FROM texts t LEFT JOIN final f ON f.doc_id = t.doc_id GROUP BY t.doc_id
+    """,
     "op1_exact_top_k": """
         WITH vectors AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
