@@ -138,7 +138,7 @@ def block_masks(count: int, radius: int) -> list[int]:
     return [sum(c) for c in combinations(own, agree)]
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
@@ -183,7 +183,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     """
     count = nodes.count()
     masks = block_masks(count, radius)
-    shards = F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for i, m in enumerate(masks)))
+    shards = F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("value")) for i, m in enumerate(masks)))
     rows = nodes.select("fp", F.explode(shards).alias("s")).select("fp", "s.mask", "s.value")
     sizes = rows.groupBy("mask", "value").agg(F.ceil(F.count("*") / TREE_SIZE).cast("int").alias("chunks")).where("chunks > 1")
     rows = rows.join(sizes, ["mask", "value"], "left").withColumn("m", F.coalesce("chunks", F.lit(1)))
