@@ -48,6 +48,11 @@ def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news.silver(stored, items).groupBy("symbol").agg(F.count("*").alias("added"), F.sum(F.length("title")).alias("title_chars"))
 
 
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir).select("doc_id", "ticker", "published_at", "headline", "summary", "url")
+    return rows.select("doc_id", F.sha2(news.payload(rows, "ticker_news", "https://ex", "documents", "0"), 256).alias("digest"))
+
+
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.table(spark, sf_dir, "documents").withColumn("title", F.concat(F.lit("the "), "source", F.when(F.col("doc_id") % 2 == 0, F.lit(" stock"))))
     keep = scalars.is_relevant(F.col("source"), F.coalesce("title", F.lit("")), F.col("text"))
@@ -121,7 +126,7 @@ def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "s03_mapped_news": mapped, "u02_combined_news": combined, "i12_silver_news": silver, "f09_relevance": relevance, "f15_chunks": chunks,
     "f14_signed_scores": signed_scores, "k2_recent_news": recent, "x1_freshness": freshness, "x7_ranking": ranking, "x6_skip_reasons": skips,
-    "x10_trade_analysis": analysis, "f21_context_tags": tags, "k6_top_magnitudes": magnitudes, "f12_session_close": closes,
+    "x10_trade_analysis": analysis, "f21_context_tags": tags, "k6_top_magnitudes": magnitudes, "f12_session_close": closes, "f19_payloads": payloads,
 }
 
 _NEWS = """n AS (
@@ -139,6 +144,9 @@ ORACLE_SQL = {
         FROM documents WHERE source <> 'src3' OR doc_id % 3 = 0 GROUP BY ALL""",
     "i12_silver_news": f"""WITH {_NEWS} SELECT symbol, count(*) AS added, CAST(sum(length(title)) AS BIGINT) AS title_chars FROM items
         WHERE content_sha256 NOT IN (SELECT content_sha256 FROM items WHERE row_seq % 4 = 0) GROUP BY symbol""",
+    "f19_payloads": """SELECT doc_id, sha256(CAST(json_object('dataset_key', 'ticker_news', 'dataset_source_url', 'https://ex', 'dataset_path', 'documents', 'dataset_sha256', '0',
+          'row', json_object('doc_id', doc_id, 'ticker', upper(source), 'published_at', strftime(TIMESTAMP '2024-01-01' + doc_id * INTERVAL 2220 SECOND, '%Y-%m-%d %H:%M:%S'),
+            'headline', substring(text, 1, 80), 'summary', NULL, 'url', 'https://ex/' || CAST(doc_id AS VARCHAR))) AS VARCHAR)) AS digest FROM documents""",
     "f09_relevance": f"""WITH r AS (SELECT source, coalesce('the ' || source || CASE WHEN doc_id % 2 = 0 THEN ' stock' END, '') AS title, text FROM documents),
         k AS (SELECT source, regexp_matches(upper(title || chr(10) || text), '\\b' || upper(source) || '\\b')
           AND regexp_matches(upper(title || chr(10) || text), '{"|".join(t.upper() for t in scalars.FINANCE_TERMS)}') AS keep FROM r)

@@ -15,6 +15,9 @@ ITEM = ["symbol", "external_id", "content_sha256", "published_at", "title", "sum
 #: Filing forms that are kept (fixed values).
 FORMS = ["8-K", "10-Q", "10-K", "6-K"]
 
+#: Most symbols that are broadcast to the rows of a file without symbols.
+BROADCAST_SYMBOLS = 10_000
+
 
 @dataclass(frozen=True)
 class Mapping:
@@ -57,7 +60,11 @@ def mapped(rows: DataFrame, mapping: Mapping, symbols: DataFrame, start: str, en
         part(mapping.title).alias("title"), part(mapping.summary).alias("s"), part(mapping.body).alias("body"), part(mapping.url).alias("url"), seq.alias("row_seq"),
     )
     base = base.where(F.to_date("published_at").between(start, end))
-    base = base.join(wanted, F.upper("own") == F.col("symbol")) if mapping.symbol else base.crossJoin(F.broadcast(wanted.limit(10_000)))
+    if mapping.symbol:
+        base = base.join(wanted, F.upper("own") == F.col("symbol"))
+    else:
+        few = wanted.limit(BROADCAST_SYMBOLS + 1).count() <= BROADCAST_SYMBOLS
+        base = base.crossJoin(F.broadcast(wanted) if few else wanted)
     items = base.withColumn("text_for_score", join_parts(F.col("title"), F.col("s"), F.col("body"))).where("text_for_score <> ''")
     items = items.withColumn("external_id", F.substring(content_hash(F.col("symbol"), iso(F.col("published_at")), F.col("title"), F.col("url")), 1, 40))
     items = items.withColumn("content_sha256", content_hash(F.col("symbol"), F.col("title"), F.col("s"), F.col("body"), iso(F.col("published_at"))))
@@ -66,6 +73,13 @@ def mapped(rows: DataFrame, mapping: Mapping, symbols: DataFrame, start: str, en
     return items.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*ITEM)
 
 
+def payload(rows: DataFrame, key: str, source_url: str, path: str, digest: str) -> Column:
+    """A raw item's JSON: where its file comes from and, under row, all of its own columns, nulls included."""
+    facts = {"dataset_key": key, "dataset_source_url": source_url, "dataset_path": path, "dataset_sha256": digest}
+    own = F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row")
+    return F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in facts.items()), own), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS"})
+
+
 def fingerprint() -> Column:
     text = F.concat(F.lower(F.trim("title")), F.lit("|"), F.lower(F.trim(F.coalesce("url", F.lit("")))))
     return F.substring(F.sha2(text, 256), 1, 16)

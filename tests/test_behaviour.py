@@ -161,6 +161,15 @@ def test_threshold_choice(spark):
         thresholds.selection_score("best")
 
 
+def test_payload(spark):
+    import json
+
+    rows = spark.createDataFrame([("A", None, dt.datetime(2024, 1, 2, 3, 4, 5), 'say "é"\n')], "a string, b string, ts timestamp, `odd.name` string")
+    got = json.loads(rows.select(news.payload(rows, "k", "u", "p", "s")).first()[0])
+    assert got == {"dataset_key": "k", "dataset_source_url": "u", "dataset_path": "p", "dataset_sha256": "s", "row": {"a": "A", "b": None, "ts": "2024-01-02T03:04:05.000", "odd.name": 'say "é"\n'}}
+    assert rows.where("false").select(news.payload(rows, "k", "u", "p", "s")).count() == 0
+
+
 def test_news_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("ticker,published_at,headline,summary,text,url\nAAPL,2024-03-01T10:00:05Z,Up,nan,Body,http://x\nMSFT,2024-03-01,No,,,\nAAPL,bad,No,,,\n")
     (tmp_path / "b.csv").write_text("Title,Date\nUP,2024-03-01 10:00:40\nOther,2024-03-02\n")
