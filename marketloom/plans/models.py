@@ -20,7 +20,7 @@ INPUTS = ["return_1d", "return_5d", "roc_10", "bb_pband_20", "stochastic_k", "vo
 
 def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = trade_labels(window_features(numeric(tables.bars_daily(spark, sf_dir)))).na.drop("any", subset=INPUTS)
-    return walk_forward(bars, 1500, 250, 500).select("symbol", "ts", "split", "part", "open", "high", "low", "close", "trade_success", *INPUTS)
+    return walk_forward(bars, 1500, 250, 250).select("symbol", "ts", "split", "part", "open", "high", "low", "close", "trade_success", *INPUTS)
 
 
 def walk_forward_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,6 +122,18 @@ def test_walk_forward_embargo(spark):
     assert {(r.split, r.part): r["count"] for r in got} == {(0, "train"): 10, (0, "test"): 3, (1, "train"): 10, (1, "test"): 3}
 
 
+def test_walk_forward_logistic_tests_every_instant_once(spark, monkeypatch):
+    from marketloom.plans import models as plans
+
+    days = [dt.datetime(2000, 1, 1, tzinfo=UTC) + dt.timedelta(days=i) for i in range(2260)]
+    frame = spark.createDataFrame([("A", d, *[1.0] * 4, 0, *[0.5] * len(plans.INPUTS)) for d in days], ["symbol", "ts", "open", "high", "low", "close", "trade_success", *plans.INPUTS])
+    monkeypatch.setattr(plans.tables, "bars_daily", lambda spark, sf_dir: frame)
+    for step in ("numeric", "window_features", "trade_labels"):
+        monkeypatch.setattr(plans, step, lambda rows: rows)
+    tested = plans._splits(spark, "").where("part = 'test'").groupBy("ts").count().collect()
+    assert len(tested) == 750 and {r["count"] for r in tested} == {1}
+
+
 def test_news_after_a_bar_is_not_seen(spark):
     t = dt.datetime(2024, 5, 1, 15, tzinfo=UTC)
     one = spark.createDataFrame([("A", t)], "symbol string, ts timestamp")
