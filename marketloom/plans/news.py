@@ -14,18 +14,22 @@ from marketloom.plans.features import rounded
 from marketloom.sources import news, tables
 
 START, END = "2024-01-01", "2030-12-31"
+#: Seconds from START to the end of END.
+SPAN = 2557 * 86400
 
 
-def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    published = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 2220)
+def _rows(spark: SparkSession, sf_dir: str, within: bool = False) -> DataFrame:
+    """within: times beyond END begin anew at START, so that no document falls outside."""
+    after = F.col("doc_id") * 2220
+    published = F.timestamp_seconds(F.lit(1704067200) + (F.pmod(after, F.lit(SPAN)) if within else after))
     return tables.table(spark, sf_dir, "documents").select(
         F.upper("source").alias("ticker"), F.date_format(published, "yyyy-MM-dd HH:mm:ss").alias("published_at"), F.substring("text", 1, 80).alias("headline"),
         F.lit(None).cast("string").alias("summary"), "text", F.concat(F.lit("https://ex/"), F.col("doc_id").cast("string")).alias("url"), "doc_id",
     )
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir)
+def _items(spark: SparkSession, sf_dir: str, within: bool = False) -> DataFrame:
+    rows = _rows(spark, sf_dir, within)
     symbols = rows.where("ticker <> 'SRC3'").select(F.col("ticker").alias("symbol")).distinct()
     return news.mapped(rows, news.MAPPINGS["ticker_news"], symbols, START, END, F.col("doc_id"))
 
@@ -35,8 +39,8 @@ def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = _items(spark, sf_dir)
-    later = _rows(spark, sf_dir).where("doc_id % 3 = 0").withColumn("published_at", F.date_format(F.to_timestamp("published_at") + F.expr("INTERVAL 20 SECONDS"), "yyyy-MM-dd HH:mm:ss"))
+    first = _items(spark, sf_dir, within=True)
+    later = _rows(spark, sf_dir, within=True).where("doc_id % 3 = 0").withColumn("published_at", F.date_format(F.to_timestamp("published_at") + F.expr("INTERVAL 20 SECONDS"), "yyyy-MM-dd HH:mm:ss"))
     symbols = later.select(F.col("ticker").alias("symbol")).distinct()
     second = news.mapped(later, news.MAPPINGS["ticker_news"], symbols, START, END, F.col("doc_id"))
     return news.combined([first, second]).groupBy("symbol", "file_seq").agg(F.count("*").alias("items"), F.sum("row_seq").alias("row_sum"))

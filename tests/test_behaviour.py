@@ -134,6 +134,16 @@ def test_walk_forward_logistic_tests_every_instant_once(spark, monkeypatch):
     assert len(tested) == 750 and {r["count"] for r in tested} == {1}
 
 
+def test_combined_news_keeps_documents_of_any_id(spark, monkeypatch):
+    from marketloom.plans import news as plans
+
+    ids = [0, 1, 99_515, 99_516, 250_000, 300_000_000]
+    frame = spark.createDataFrame([(i, "src1", f"text {i}") for i in ids], "doc_id long, source string, text string")
+    monkeypatch.setattr(plans.tables, "table", lambda spark, sf_dir, name: frame)
+    got = plans.combined(spark, "").collect()
+    assert sum(r["items"] for r in got if r.file_seq == 0) == len(ids) and sum(r["row_sum"] for r in got if r.file_seq == 0) == sum(ids)
+
+
 def test_news_after_a_bar_is_not_seen(spark):
     t = dt.datetime(2024, 5, 1, 15, tzinfo=UTC)
     one = spark.createDataFrame([("A", t)], "symbol string, ts timestamp")
