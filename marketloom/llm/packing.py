@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -12,47 +11,129 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.shared import id_and_text, materialise, read_bounded, slices
 
-#: Characters with the Unicode property White_Space (fixed values).
-WHITE = "\t-\r \x85\xa0  -     　"
-#: White space and the word behind it: byte-level merges never cross from one such chunk to the next.
-CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: ASCII white space, and the last bytes of UTF-8's other characters with the Unicode property White_Space (fixed values).
+WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+WIDE_WHITE = ["\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
 #: Chunks whose ids a Python worker remembers in each of two generations, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 600_000, 64
+#: Chunks that are looked up and joined at once.
+RUN = 1 << 20
+#: Text bytes that are cut in chunks at once.
+WORK_BYTES = 8 << 20
 
 
-class ChunkTokenizer(dict):
-    """Ids of whole texts, as little-endian unsigned 32-bit numbers; each chunk is encoded once while it is remembered."""
+def chunk_starts(data: np.ndarray) -> np.ndarray:
+    """Marks of the places where white space follows something else: byte-level merges never cross them."""
+    white = WHITE[data]
+    marks = np.zeros(len(data), dtype=bool)
+    marks[1:] = white[1:] & ~white[:-1]
+    at = np.flatnonzero(marks)
+    at = at[data[at - 1] >= 0x80]
+    for wide in {w.encode() for w in WIDE_WHITE}:
+        ends = at[at >= len(wide)]
+        same = np.ones(len(ends), dtype=bool)
+        for back, byte in enumerate(reversed(wide), 1):
+            same &= data[ends - back] == byte
+        marks[ends[same]] = False
+    return marks
+
+
+def _bytes(values: pa.Array) -> list[bytes]:
+    """A new large binary array's values."""
+    cuts = np.frombuffer(values.buffers()[1], dtype=np.int64)[: len(values) + 1].tolist()
+    body = values.buffers()[2].to_pybytes() if values.buffers()[2] else b""
+    return [body[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+class ChunkTokenizer:
+    """Ids of whole texts; a chunk of white space and a word is encoded once while it is remembered."""
 
     def __init__(self, model: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(model)
-        self.tokenizer.encode_special_tokens = True
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.older.get(chunk)
-        if ids is None and (stem := chunk.rstrip(".,!")) != chunk and stem[-1:].isascii() and stem[-1:].isalpha():
-            # a letter's token never takes in the mark behind it
-            ids = self[stem] + self[chunk[len(stem) :]]
-        elif ids is None:
-            ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        if len(chunk) <= LONGEST:
-            self[chunk] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        return b"".join(map(self.__getitem__, CHUNK.findall(text)))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def chunks(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of distinct chunks. A word's marks are encoded apart: a letter's token never takes in the mark behind it."""
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        found = list(map(known.get, chunks))
+        missing = [at for at, ids in enumerate(found) if ids is None]
+        stems, asked = [], {}
+        for at in missing:
+            chunk = chunks[at]
+            stem = chunk.rstrip(b".,!")
+            if len(stem) < len(chunk) and stem[-1:].isalpha():
+                asked[chunk[len(stem) :]] = None
+            else:
+                stem = chunk
+            stems.append(stem)
+            asked[stem] = None
+        fresh = []
+        for part in asked:
+            if part not in known:
+                ids = older.get(part)
+                if ids is None:
+                    fresh.append(part)
+                else:
+                    known[part] = ids
+        known.update(zip(fresh, self._ids([p.decode() for p in fresh]), strict=True))
+        for at, stem in zip(missing, stems, strict=True):
+            chunk = chunks[at]
+            found[at] = known[stem] if len(stem) == len(chunk) else known[stem] + known[chunk[len(stem) :]]
+        for part in fresh:
+            if len(part) > LONGEST:
+                del known[part]
+        known.update((chunks[at], found[at]) for at in missing if len(chunks[at]) <= LONGEST)
+        return found
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers."""
+        texts = texts.cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        body = texts.buffers()[2]
+        first = int(offsets[0])
+        data = np.frombuffer(body, dtype=np.uint8)[first : offsets[-1]] if body else np.zeros(0, dtype=np.uint8)
+        offsets = offsets - first
+        marks = chunk_starts(data)
+        marks[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        starts = np.append(np.flatnonzero(marks), len(data))
+        heads = np.searchsorted(starts, offsets)
+        blob, buffer = [], body.slice(first) if body else pa.py_buffer(b"")
+        before = np.zeros(len(starts), dtype=np.int64)
+        for lo in range(0, len(starts) - 1, RUN):
+            own = starts[lo : lo + RUN + 1]
+            chunks = pa.Array.from_buffers(pa.large_binary(), len(own) - 1, [None, pa.py_buffer(own.astype(np.int64)), buffer])
+            coded = chunks.dictionary_encode()
+            ids = self.chunks(_bytes(coded.dictionary))
+            # the ids of each chunk in turn, gathered as bytes
+            taken = pa.array(ids, pa.large_binary()).take(coded.indices)
+            ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[: len(own)]
+            blob.append(taken.buffers()[2].to_pybytes()[: ends[-1]])
+            before[lo + 1 : lo + len(own)] = before[lo] + ends[1:]
+        whole = b"".join(blob)
+        cuts = before[heads].tolist()
+        found = [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        # texts that name an added token are rare and are encoded whole
+        for token in self.added:
+            for row in np.flatnonzero(np.asarray(pc.match_substring(texts, token))):
+                found[row] = self._ids([texts[int(row)].as_py().decode()])[0]
+        return found
 
 
 @lru_cache(maxsize=1)
@@ -75,10 +156,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: st
         tokenizer = _tokenizer(model.value)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, most=WORK_BYTES):
                 rows, ids = [], []
-                for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    tokens = tokenizer.encode(text) + end
+                for doc, tokens in zip(some.column(0).to_pylist(), tokenizer.encode(some.column(1)), strict=True):
+                    tokens += end
                     for piece, (start, length) in enumerate(cut_points(len(tokens) // 4, capacity)):
                         own = tokens[4 * start : 4 * (start + length)]
                         rows.append((part, doc, piece, start, length, zlib.crc32(own), int(seen[length])))
@@ -152,8 +233,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     full pieces, of which the first may be shorter. Lengths are counted, best-fit plans sequences
     for the counts alone, and pieces take the planned slots by their rank among the pieces of
     their length. Ranks come from the counts of each partition and length, so that no length is a
-    single group. A null or empty text is just its end id; special tokens' strings in a text are
-    ordinary text. Repeated ids and null ids are packed row by row; an empty table gives none.
+    single group. A null or empty text is just its end id; the string of a token that the
+    tokenizer's file adds (as <|endoftext|>) is that token, as its own call gives it. Repeated ids and null ids are packed row by row; an empty table gives none.
     Other columns play no part.
     """
     pieces = materialise(token_pieces(docs, tokenizer_path, id_col, text_col, end_id, capacity, with_ids))

@@ -57,13 +57,13 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def slices(batch: pa.RecordBatch, text_at: int = 1) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about SLICE_BYTES of text each."""
+def slices(batch: pa.RecordBatch, text_at: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about so many bytes of text each."""
     ends = np.cumsum(np.asarray(pc.binary_length(batch.column(text_at)), dtype=np.int64))
     at, rows = 0, batch.num_rows
     while at < rows:
         done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
 
