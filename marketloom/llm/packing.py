@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.shared import id_and_text, materialise, read_bounded, slices
+from marketloom.llm.shared import bytes_of, id_and_text, materialise, read_bounded, slices
 
 #: ASCII white space, and the last bytes of UTF-8's other characters with the Unicode property White_Space (fixed values).
 WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -45,13 +45,6 @@ def chunk_starts(data: np.ndarray) -> np.ndarray:
     return marks
 
 
-def _bytes(values: pa.Array) -> list[bytes]:
-    """A new large binary array's values."""
-    cuts = np.frombuffer(values.buffers()[1], dtype=np.int64)[: len(values) + 1].tolist()
-    body = values.buffers()[2].to_pybytes() if values.buffers()[2] else b""
-    return [body[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
 class ChunkTokenizer:
     """Ids of whole texts; a chunk of white space and a word is encoded once while it is remembered."""
 
@@ -120,7 +113,7 @@ class ChunkTokenizer:
             own = starts[lo : lo + RUN + 1]
             chunks = pa.Array.from_buffers(pa.large_binary(), len(own) - 1, [None, pa.py_buffer(own.astype(np.int64)), buffer])
             coded = chunks.dictionary_encode()
-            ids = self.chunks(_bytes(coded.dictionary))
+            ids = self.chunks(bytes_of(coded.dictionary))
             # the ids of each chunk in turn, gathered as bytes
             taken = pa.array(ids, pa.large_binary()).take(coded.indices)
             ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[: len(own)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once; larger Arrow batches are cut (single rows are not).
 SLICE_BYTES = 2 << 20
+#: A key with more rows than this, and than a share of 1 / MOST_HOT of all rows, is hot: there are at most MOST_HOT such keys.
+LEAST_HOT, MOST_HOT = 64, 10_000
 #: Largest file that may be broadcast to the executors (vocabularies, benchmarks).
 BROADCAST_BYTES = 64 << 20
 
@@ -41,6 +44,25 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows written as Parquet in the shared folder and read again: later readers take only the columns they need."""
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], total: int, n: str = "n") -> DataFrame:
+    """Inner join of rows with a table of one row a key, whose column n counts the key's rows and is left out.
+
+    Hot keys meet their rows where these are, by a broadcast of at most MOST_HOT rows; only the rows
+    of all other keys are dealt by key. total: how many rows there are, which n must add up to at most.
+    """
+    hot = F.col(n) > max(LEAST_HOT, total // MOST_HOT)
+    few = counted.where(hot).drop(n)
+    far = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(counted.where(~hot).drop(n), on)
+    return rows.join(F.broadcast(few), on).unionByName(far)
+
+
 def read_bounded(path: str) -> bytes:
     """A small file's bytes for a broadcast; refuses files that are too large for one."""
     if os.path.getsize(path) > BROADCAST_BYTES:
@@ -80,3 +102,11 @@ def words_of(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray
         counts = np.where(empty, 0, counts)
         flat = flat.filter(pc.not_equal(pc.binary_length(flat), 0))
     return flat, counts
+
+
+def bytes_of(values: pa.Array) -> list[bytes]:
+    """The values of an array of texts or bytes without nulls."""
+    values = values.cast(pa.large_binary())
+    cuts = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1].tolist() if len(values) else []
+    body = values.buffers()[2].to_pybytes() if values.buffers()[2] else b""
+    return [body[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
