@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.llm import topk
-from marketloom.llm.brown import exchange_gains, mutual_information
 from marketloom.llm.components import connected_components
 from marketloom.llm.packing import best_fit
 from marketloom.llm.simhash import BKTree, block_masks, fingerprint_links
@@ -39,6 +38,28 @@ def test_top_k(spark, monkeypatch, block):
     assert [r.vec_id for r in topk.top_k(few, F.col("id") % 100 == 0).orderBy("rank").collect()] == [i for _, _, i, _ in brute_top([x for x in rows if x[0] in (0, 7, 14)])]
 
 
+def test_top_k_of_large_components(spark):
+    r = random.Random(8)
+    for size, d in ((1e6, 256), (2.0**42, 4), (2.0**42, 2)):
+        # few components are large, so that every score fits in a long
+        rows = []
+        for i in range(0, 400, 5):
+            v = [r.choice([-1.5, 0.0, 0.25]) for _ in range(d)]
+            if i % 100:
+                v[i % d] = r.choice([-size, size, size / 3]) if i % d else 0.0
+            rows.append((i, v))
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert sorted(map(tuple, topk.top_k(frame, F.col("id") % 100 == 0).collect())) == brute_top(rows)
+    rows = [(0, [1.0]), (1, [300000.0]), (2, [400000.0]), (3, [None])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [tuple(x) for x in topk.top_k(frame, F.col("id") == 0).collect()] == [(0, 1, 2, 1024 * 409600000), (0, 2, 1, 1024 * 307200000)]
+    # terms beyond a long may add up to a score that is none
+    whole = np.array([[2.0**40, -(2.0**40), 3.0], [2.0**40, 1.0, 0.0]])
+    assert topk.exact_scores(whole[:1], np.array([[2.0**40, 2.0**40, 5.0]])).tolist() == [[15]]
+    with pytest.raises(OverflowError):
+        topk.exact_scores(whole, whole)
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(400 + i, 401 + i) for i in range(60)] + [(500, i) for i in range(501, 560)] + [(7, 7), (None, 3)]
@@ -138,24 +159,6 @@ def test_best_fit_fills_slots():
         assert sum(sum(n for _, n in parts) * 2 <= capacity for parts in used.values()) <= 1
 
 
-def test_exchange_gains_are_exact():
-    r = np.random.default_rng(1)
-    n, classes = r.integers(0, 6, (12, 12)).astype(float), r.integers(0, 4, 12)
-
-    def matrix(c):
-        m = np.zeros((4, 4))
-        np.add.at(m, (c[:, None], c[None, :]), n)
-        return m
-
-    for u in range(12):
-        right, left = np.bincount(classes, weights=n[u], minlength=4), np.bincount(classes, weights=n[:, u], minlength=4)
-        gains = exchange_gains(int(classes[u]), right, left, n[u, u], matrix(classes))
-        for c in range(4):
-            moved = classes.copy()
-            moved[u] = c
-            assert abs(gains[c] - mutual_information(matrix(moved)) + mutual_information(matrix(classes))) < 1e-6
-
-
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
