@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.shared import materialise
+from marketloom.llm.shared import join_counted, materialise
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,7 +13,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Every step is two shuffles of the links: the smallest neighbour of each node (combined on the
     map side, so that a node with many links is no single group), then a join of the links with
-    it, which adaptive execution may split where a node is hot. Links are never gathered by node.
+    it, in which nodes with many links are met by a broadcast. Links are never gathered by node.
     Null ends and self links are left out; no links give an empty table.
     """
     edges = materialise(
@@ -21,28 +21,28 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .where("u is not null and v is not null and u <> v")
         .distinct()
     )
-    before = None
+    before, total = None, edges.count()
     while True:
-        edges = _small_star(_large_star(edges))
-        edges = materialise(edges)
+        edges = materialise(_large_star(edges, 2 * total))
+        edges = materialise(_small_star(edges, 2 * total))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, total = now, now[0]
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node links its larger neighbours to the smallest one of itself and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-    joined = both.where("v > u").join(least, F.col("u") == F.col("k"))
-    return joined.select(F.col("v").alias("u"), F.least("m", "k").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    joined = join_counted(both.where("v > u"), least, ["u"], total)
+    return joined.select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node links itself and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-    joined = edges.join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return joined.where("u <> v").unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    joined = join_counted(edges, least, ["u"], total).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return joined.where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.shared import id_and_text, materialise, slices
+from marketloom.llm.shared import id_and_text, join_counted, materialise, slices
 
 #: White space stripped from both ends of a line before it is compared.
 STRIPPED = b" \t\n\x0b\x0c\r"
@@ -49,9 +49,11 @@ def shared_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, mi
 
     keyed = id_and_text(docs, id_col, text_col).withColumn("id", F.coalesce("id", F.lit(NO_ID)))
     lines = materialise(keyed.mapInArrow(explode, "h1 long, h2 long, k long"))
-    shared = lines.groupBy("h1", "h2").agg(F.count_distinct("k").alias("n"), F.max("k").alias("keeper")).where(F.col("n") >= min_docs)
-    # a hot line is a hot key of this join alone, which adaptive execution may split
-    lost = lines.join(shared.select("h1", "h2", "keeper"), ["h1", "h2"]).where("k <> keeper")
+    # rows of one id may repeat a line: they are one document
+    counts = lines.groupBy("h1", "h2").agg(F.count_distinct("k").alias("docs"), F.count("*").alias("n"), F.max("k").alias("keeper"))
+    shared = materialise(counts.where(F.col("docs") >= min_docs).select("h1", "h2", "keeper", "n"))
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    lost = join_counted(lines, shared, ["h1", "h2"], total).where("k <> keeper")
     return lost.groupBy("k").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
 
 

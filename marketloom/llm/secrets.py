@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.shared import materialise
+from marketloom.llm.shared import join_counted, materialise
 
 
 @dataclass(frozen=True)
@@ -94,8 +94,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = materialise(rows.withColumn("found", F.transform("found", digest)))
     each = rows.select("row", "repo", "owner", F.explode("found").alias("f")).select("row", "repo", "owner", "f.*")
     # distinct holders first, combined where they are: a widely copied secret is no single group
-    spread = each.groupBy("secret").agg(F.count_distinct("repo").alias("repos"), F.count_distinct("owner").alias("owners"))
-    spans = each.join(spread, "secret").select("row", F.struct("start", "kind", "end", "repos", "owners", ((F.col("owners") <= 1) & (F.col("repos") <= live_repos)).alias("live")).alias("s"))
+    counts = [F.count_distinct("repo").alias("repos"), F.count_distinct("owner").alias("owners"), F.count("*").alias("n")]
+    spread = materialise(each.groupBy("secret").agg(*counts))
+    total = spread.agg(F.sum("n")).first()[0] or 0
+    spans = join_counted(each, spread, ["secret"], total).select("row", F.struct("start", "kind", "end", "repos", "owners", ((F.col("owners") <= 1) & (F.col("repos") <= live_repos)).alias("live")).alias("s"))
     spans = spans.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("spans"))
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
     apart = lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
