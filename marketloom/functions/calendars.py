@@ -15,10 +15,16 @@ def sessions(spark: SparkSession, start: str, end: str, holidays: list[str], hal
     return days.select("session", F.to_utc_timestamp(local, zone).alias("close_ts"))
 
 
-def last_close(probes: DataFrame, table: DataFrame, now: str = "now") -> DataFrame:
-    """Probes with last_close: the greatest close of the 14 days before that is not after now; null without one."""
-    near = probes.join(table, (F.col("close_ts") <= F.col(now)) & (F.col("session") >= F.date_sub(F.to_date(now), 14)), "left")
-    return near.groupBy(*probes.columns).agg(F.max("close_ts").alias("last_close"))
+def last_close(probes: DataFrame, table: DataFrame, now: str = "now", days: int = 14) -> DataFrame:
+    """Every probe with last_close: the greatest close of the days before that is not after now; null without one.
+
+    Each calendar day gets the closes that its probes may meet, at most one for each of the days
+    before: probes meet them in an equi join by day, and equal probes stay rows of their own.
+    """
+    reach = F.explode(F.sequence("session", F.date_add("session", days))).alias("__day")
+    by_day = table.select(reach, "close_ts").groupBy("__day").agg(F.collect_list("close_ts").alias("__closes"))
+    near = probes.withColumn("__day", F.to_date(now)).join(by_day, "__day", "left")
+    return near.withColumn("last_close", F.array_max(F.filter("__closes", lambda c: c <= F.col(now)))).drop("__day", "__closes")
 
 
 def weekday_close(now: Column, hour: int = 21) -> Column:

@@ -70,7 +70,8 @@ def point_id(article: Column, chunk: Column) -> Column:
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """The value held between two bounds; null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def signal(forecast: Column, band: float = 0.02) -> Column:

@@ -35,7 +35,7 @@ def preferring_stored(rows: DataFrame, stored: DataFrame, columns: list[str]) ->
     return out.drop(*(f"__{c}" for c in columns))
 
 
-def explained(rows: DataFrame, threshold: float | None, names: tuple[str, ...] = ("prob_trade_success", "probability")) -> DataFrame:
+def explained(rows: DataFrame, threshold: float | None, names: tuple[str, ...] = ("prob_trade_success", "probability_trade_success")) -> DataFrame:
     """(ts, symbol, signal, reason, indicator_explanation): the score against the threshold and the indicators' tags."""
     there = [F.col(c).cast("double") for c in names if c in rows.columns]
     p = F.coalesce(*there, F.lit(None).cast("double")) if there else F.lit(None).cast("double")

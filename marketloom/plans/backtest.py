@@ -13,7 +13,7 @@ from marketloom.plans.features import DAY, day, rounded
 from marketloom.sources import tables
 
 LEVEL = 0.5
-GRID = [0.3, 0.5, 0.7, 0.9]
+GRID = thresholds.GRID
 SHORT = [f"avg_{m}" for m in ("cum_return", "cum_market_return", "profit_factor", "max_drawdown", "win_rate", "expectancy")] + ["median_cum_return", "min_cum_return"]
 
 
@@ -64,17 +64,17 @@ def _tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = thresholds.optimise(_tests(spark, sf_dir), thresholds=GRID)
+    out, _ = thresholds.optimise(_tests(spark, sf_dir))
     return out.select("threshold", "total_trades", F.size("per_split").alias("splits"), *rounded([*SHORT, "avg_mae_at_threshold", "selection_score"]))
 
 
 def best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, out = thresholds.optimise(_tests(spark, sf_dir), thresholds=GRID)
+    _, out = thresholds.optimise(_tests(spark, sf_dir))
     return out.select("threshold", "total_trades", "tier", *rounded(["selection_score"]))
 
 
 def best_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, out = thresholds.optimise(_tests(spark, sf_dir), objective="risk_penalty", joint=True, thresholds=GRID)
+    _, out = thresholds.optimise(_tests(spark, sf_dir), objective="risk_penalty", joint=True)
     return out.select("threshold", "max_rank", "k", *rounded(["mean_rank", "selection_score"]))
 
 

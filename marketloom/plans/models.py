@@ -12,6 +12,7 @@ from marketloom.operators.features import numeric, window_features
 from marketloom.operators.labels import trade_labels, walk_forward
 from marketloom.plans.context import LABELS
 from marketloom.plans.features import rounded
+from marketloom.session import shared_folder
 from marketloom.sources import tables
 from marketloom.streaming import ingest
 
@@ -24,8 +25,9 @@ def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walk_forward_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # each fit reads its rows many times
-    splits = _splits(spark, sf_dir).persist()
+    # each fit reads its rows many times: they are computed once, in the shared folder
+    shared_folder(spark)
+    splits = _splits(spark, sf_dir).checkpoint()
     scored, _ = models.walk_forward_scores(splits, INPUTS, lambda: models.estimator("logistic_regression", INPUTS, scaled=True))
     return scored.select("split", "symbol", F.date_format("ts", "yyyy-MM-dd").alias("day"), "trade_success", "prob_trade_success")
 
@@ -38,14 +40,13 @@ def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.table(spark, sf_dir, "embeddings").withColumn("symbol", F.concat(F.lit("U"), F.col("label").cast("string")))
     points = rows.select("symbol", F.col("vec_id").alias("point_id"), F.col("embedding").alias("vector"))
-    queries = rows.where("vec_id < 5").select("symbol", F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = rows.where("vec_id % 100 = 0").select("symbol", F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return vectors.most_similar(queries, points).withColumn("score", F.round("score", 6))
 
 
 def streamed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines streamed from their file and upserted by (symbol, ts)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/marketloom-{uuid.uuid4().hex}"
-    folder = f"{shared}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     # a stream reads folders; one that is split in files lands batch by batch
     landed = f"{folder}/landed"
@@ -67,7 +68,7 @@ ORACLE_SQL = {
         SELECT round(avg(abs(p - y)), 6) AS mae, round(avg(CAST(sign(p) = sign(y) AS INTEGER)), 6) AS directional_accuracy,
           round(avg(CAST(CAST(p > 0.5 AS INTEGER) = y AS INTEGER)), 6) AS accuracy, round(min(p), 6) AS prob_min, round(max(p), 6) AS prob_max, round(avg(p), 6) AS prob_mean FROM k""",
     "d3_most_similar": """WITH e AS (SELECT *, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-        s AS (SELECT q.vec_id AS query_id, p.vec_id AS point_id, list_cosine_similarity(q.v, p.v) AS score FROM e q JOIN e p ON q.label = p.label WHERE q.vec_id < 5),
+        s AS (SELECT q.vec_id AS query_id, p.vec_id AS point_id, list_cosine_similarity(q.v, p.v) AS score FROM e q JOIN e p ON q.label = p.label WHERE q.vec_id % 100 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS n FROM s)
         SELECT query_id, CAST(n AS INTEGER) AS rank, point_id, round(score, 6) AS score FROM r WHERE n <= 5""",
     "t1_streamed_prices": """SELECT 'S' || CAST(l_suppkey % 20 AS VARCHAR) AS symbol, count(DISTINCT l_shipdate) AS bars FROM lineitem GROUP BY ALL""",

@@ -123,7 +123,7 @@ def magnitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes = tables.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("now"))
     table = calendars.sessions(spark, "2023-12-01", "2024-02-15", ["2023-12-25", "2024-01-01", "2024-01-15"], ["2024-01-24"])
-    out = calendars.last_close(probes, F.broadcast(table))
+    out = calendars.last_close(probes, table)
     return out.select("event_id", F.date_format("last_close", "yyyy-MM-dd HH:mm").alias("close"), F.date_format(calendars.weekday_close(F.col("now")), "yyyy-MM-dd HH:mm").alias("plain"))
 
 

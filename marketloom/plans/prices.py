@@ -45,7 +45,7 @@ def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = tables.raw_prices(spark, sf_dir)
     stored = raw.where("row_seq = 1").select("symbol", "ts", "open", "row_seq")
-    incoming = raw.where("row_seq between 2 and 3").select("symbol", "ts", "open", "row_seq")
+    incoming = raw.where("row_seq >= 2").select("symbol", "ts", "open", "row_seq")
     return last_wins(stored, incoming, ["symbol", "ts"], "row_seq").select("symbol", day(), F.round("open", 6).alias("open"), "row_seq")
 
 
@@ -137,7 +137,7 @@ ORACLE_SQL = {
         FROM bars LEFT JOIN mark USING (symbol)
         WHERE ts < DATE '{TODAY}' + INTERVAL 1 DAY AND (m IS NULL OR ts >= CAST(m AS DATE) + INTERVAL 1 DAY) GROUP BY symbol""",
     "i02_last_wins_upsert": f"""WITH {sql.RAW} SELECT symbol, {DAY}, round(open, 6) AS open, CAST(row_seq AS INTEGER) AS row_seq
-        FROM raw WHERE row_seq <= 3 QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY row_seq DESC) = 1""",
+        FROM raw QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY row_seq DESC) = 1""",
     "i06_first_wins_append": f"""WITH {sql.BARS} SELECT symbol, count(*) AS added, round(sum(close), 4) AS closes
         FROM bars WHERE dayofyear(ts) % 3 = 0 GROUP BY symbol""",
     "s13_history_scan": f"""WITH {sql.BARS}, mark AS (SELECT symbol, max(ts) AS m FROM bars WHERE symbol < 'N20' GROUP BY symbol)
