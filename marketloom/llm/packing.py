@@ -22,11 +22,11 @@ from marketloom.llm.shared import bytes_of, id_and_text, materialise, read_bound
 WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 WIDE_WHITE = ["\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
 #: Chunks whose ids a Python worker remembers in each of two generations, and the longest of them.
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 #: Chunks that are looked up and joined at once.
 RUN = 1 << 20
 #: Text bytes that are cut in chunks at once.
-WORK_BYTES = 8 << 20
+WORK_BYTES = 4 << 20
 
 
 def chunk_starts(data: np.ndarray) -> np.ndarray:
