@@ -116,6 +116,11 @@ def market_curve(bars: DataFrame, keys: list[str]) -> DataFrame:
     return normed.groupBy(*keys, "ts").agg(F.avg("__n").alias("market"))
 
 
+def market_growth(bars: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, cum_market_return): the market curve's last value, the growth of an equal holding of all symbols."""
+    return market_curve(bars, keys).groupBy(*keys).agg(F.max_by("market", "ts").alias("cum_market_return"))
+
+
 def on_market_curve(bars: DataFrame, curve: DataFrame) -> DataFrame:
     """Bars with the curve's value of their instant, carried forward, then back, then 1; and its change."""
     forth = Window.partitionBy("symbol").orderBy("ts")
@@ -145,10 +150,11 @@ def trade_metrics(found: DataFrame, keys: list[str]) -> DataFrame:
 METRICS = {"strategy_trade_count": 0, "strategy_directional_hits": 0, "win_rate": 0.0, "profit_factor": 0.0, "expectancy": 0.0, "directional_accuracy": 0.0}
 
 
-def backtest(bars: DataFrame, threshold: Column | str = "threshold", keys: list[str] | None = None, by_symbol: bool = False) -> DataFrame:
+def backtest(bars: DataFrame, threshold: Column | str = "threshold", keys: list[str] | None = None, by_symbol: bool = False, market: DataFrame | None = None) -> DataFrame:
     """One row of metrics for each key (and symbol): trades, equity, drawdown and the market's buy and hold.
 
-    bars: keys, symbol, ts, close, high, low, prob_trade_success and the threshold's column.
+    bars: keys, symbol, ts, close, high, low, prob_trade_success and the threshold's column. market
+    (some of the keys, cum_market_return) replaces the market's growth over the bars.
     """
     keys = keys or []
     own = [*keys, "symbol"]
@@ -158,9 +164,11 @@ def backtest(bars: DataFrame, threshold: Column | str = "threshold", keys: list[
     metrics = trade_metrics(found, groups)
     flags = flagged(rows, found, own, threshold)
     curve = drawdown(equity(flags, groups), groups)
-    market = market_curve(bars, groups if by_symbol else keys).groupBy(*groups).agg(F.max_by("market", "ts").alias("cum_market_return"))
+    on = groups if market is None else [c for c in groups if c in market.columns]
+    if market is None:
+        market = market_growth(bars, groups)
     if groups:
-        return curve.join(metrics, groups, "left").join(market, groups).na.fill(METRICS).withColumn("max_drawdown", F.when(F.col("strategy_trade_count") > 0, F.col("max_drawdown")).otherwise(0.0))
+        return curve.join(metrics, groups, "left").join(market, on).na.fill(METRICS).withColumn("max_drawdown", F.when(F.col("strategy_trade_count") > 0, F.col("max_drawdown")).otherwise(0.0))
     return curve.join(metrics).join(market).na.fill(METRICS)
 
 

@@ -12,7 +12,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import clamp
@@ -70,8 +70,6 @@ def walk_forward_scores(splits: DataFrame, columns: list[str], make: Callable[[]
 
 def importances(model: PipelineModel, columns: list[str], n: int = 12) -> DataFrame:
     """(feature, importance) of a forest, or of the size of linear coefficients."""
-    from pyspark.sql import SparkSession
-
     last = model.stages[-1]
     values = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
     rows = [(c, abs(float(v))) for c, v in zip(columns, values.toArray(), strict=True)]
@@ -82,6 +80,46 @@ def area(scored: DataFrame, label: str = TARGET, p: str = "prob_trade_success")
     return BinaryClassificationEvaluator(rawPredictionCol=p, labelCol=label).evaluate(scored)
 
 
-def experiment_record(metrics: DataFrame, model: str, threshold: float, now: datetime.datetime) -> DataFrame:
-    """Metrics with the model's name, threshold and a UTC time, to be appended to the log."""
-    return metrics.select(F.lit(now.isoformat()).alias("logged_at"), F.lit(model).alias("model"), F.lit(threshold).alias("threshold"), "*")
+def save_model(model: PipelineModel, columns: list[str], path: str) -> None:
+    """The fitted pipeline (a scaler is one of its stages) and the ordered list of its input columns, in a folder that all executors share."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    spark.createDataFrame([(i, c) for i, c in enumerate(columns)], "place int, column string").coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
+
+
+def load_model(path: str) -> tuple[PipelineModel, list[str]]:
+    columns = SparkSession.active().read.parquet(f"{path}/columns").orderBy("place").collect()
+    return PipelineModel.load(f"{path}/model"), [r["column"] for r in columns]
+
+
+def prediction_table(model: PipelineModel, rows: DataFrame, actual: str, band: float = 0.02) -> DataFrame:
+    """(symbol, ts, predicted_return, signal, actual_return): signal is 1 over the band, -1 below it, else 0."""
+    p = F.col("prediction")
+    sign = F.when(p > band, 1).when(p < -band, -1).otherwise(0)
+    return model.transform(rows).select("symbol", "ts", p.alias("predicted_return"), sign.alias("signal"), F.col(actual).alias("actual_return"))
+
+
+def experiment_record(model: str, symbol: str, symbols: list[str], errors: DataFrame, summary: DataFrame, best: DataFrame, features: int) -> DataFrame:
+    """One row of 22 fields: what was run, its errors, the summary over splits at the default threshold and the best grid row.
+
+    errors: mae, directional_accuracy. summary and best: rows of the threshold grid; best may be empty.
+    """
+    mean = {
+        "avg_cum_return": "cum_strategy_return", "avg_cum_market_return": "cum_market_return", "avg_directional_accuracy_strategy": "directional_accuracy_strategy",
+        "total_trades": "strategy_total_trades", "total_hits": "strategy_total_hits", "avg_win_rate": "avg_win_rate", "avg_profit_factor": "avg_profit_factor", "avg_max_drawdown": "avg_max_drawdown",
+    }
+    chosen = {
+        "threshold": "best_threshold", "avg_cum_return": "opt_avg_cum_return", "avg_cum_market_return": "opt_avg_cum_market_return",
+        "avg_profit_factor": "opt_avg_profit_factor", "avg_win_rate": "opt_avg_win_rate", "total_trades": "opt_total_trades",
+    }
+    head = errors.select(
+        F.lit(model).alias("model"), F.lit(symbol).alias("symbol"), F.lit(len(symbols)).alias("n_symbols"), F.lit(",".join(symbols)).alias("symbols"),
+        F.round("mae", 4).alias("mae"), F.round("directional_accuracy", 4).alias("directional_accuracy"), F.lit(features).alias("features"),
+    )
+    own = summary.select(*(F.col(c).alias(n) for c, n in mean.items()), F.col("avg_cum_market_return").alias("cum_market_return_pooled_eqw"))
+    return head.join(own, F.lit(True), "left").join(best.select(*(F.col(c).alias(n) for c, n in chosen.items())), F.lit(True), "left")
+
+
+def logged(record: DataFrame, now: datetime.datetime) -> DataFrame:
+    """A record with its UTC time, to be appended to the log."""
+    return record.select(F.lit(now.isoformat()).alias("logged_at"), "*")

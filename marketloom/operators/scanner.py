@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import clamp
-from marketloom.operators.features import latest
+from marketloom.operators.features import feature_tables, latest
+from marketloom.operators.prices import clean_prices
+from marketloom.schemas import CHART
 
 #: Tables of a symbol in the order that names a bottleneck on ties.
 STAGES = ["clean_stock_prices", "stock_features", "stock_features_zscore"]
@@ -59,6 +61,10 @@ def ranked(scored: DataFrame, top: int, least: float = 0.0) -> DataFrame:
     return scored.where(F.col("probability") >= least).orderBy(F.desc("probability"), F.upper("symbol")).limit(max(1, min(50, top)))
 
 
+#: Sentences and tags below are fixed values: readers of reports match on them.
+NO_NEWS = "No recent symbol headlines."
+
+
 def explanation(probability: Column, threshold: Column) -> Column:
     margin = probability - threshold
     above = F.format_string("Signal emitted: model score %.4f is above threshold %.4f (margin +%.4f).", probability, threshold, margin)
@@ -95,6 +101,8 @@ def top_magnitudes(rows: DataFrame, columns: list[str], n: int = 8) -> DataFrame
 def trade_analysis(rows: DataFrame, decision: str | None = None) -> DataFrame:
     """Rows (probability, threshold, sentiment, regime, has_news, has_hits) with scores, label, flags and confidence.
 
+    titles (the headline digest) and tags (array) are optional columns that the rationale names; it
+    is cut at 280 characters.
     decision names a struct column that overrides conviction, adjustment and flags where not null.
     A null sentiment counts as neutral (0); without a probability or threshold the scores are null.
     """
@@ -107,11 +115,99 @@ def trade_analysis(rows: DataFrame, decision: str | None = None) -> DataFrame:
         F.array(F.when(s < -0.35, "negative_sentiment"), F.when(F.lower("regime") == "risk_off", "risk_off_regime"), F.when(~F.col("has_news"), "limited_symbol_news")),
         lambda f: f.isNotNull(),
     )
-    out = rows.withColumns({"sentiment_adjustment": by_news, "conviction_adjustment": by_conviction, "conviction_score": conviction, "final_adjustment": adjustment, "risk_flags": flags})
+    digest = F.coalesce(F.col("titles"), F.lit(NO_NEWS)) if "titles" in rows.columns else F.lit(NO_NEWS)
+    technical = F.coalesce(F.nullif(F.array_join(F.slice("tags", 1, 3), ", "), F.lit("")), F.lit("none")) if "tags" in rows.columns else F.lit("none")
+    rationale = F.concat(
+        F.lit("Signal "), F.when(p > t, "above").otherwise("below"), F.lit(" threshold; sentiment="), F.when(s > 0.15, "supportive").otherwise("mixed/weak"),
+        F.lit("; technical="), technical, F.lit("; news="), F.substring(digest, 1, 120),
+    )
+    out = rows.withColumns({"rationale_brief": F.substring(rationale, 1, 280), "sentiment_adjustment": by_news, "conviction_adjustment": by_conviction, "conviction_score": conviction, "final_adjustment": adjustment, "risk_flags": flags})
     if decision:
         d = F.col(decision)
-        out = out.withColumns({"conviction_score": F.coalesce(d["conviction_score"], "conviction_score"), "final_adjustment": F.coalesce(d["adjustment"], "final_adjustment"), "risk_flags": F.coalesce(d["risk_flags"], "risk_flags")})
+        out = out.withColumns({"conviction_score": F.coalesce(d["conviction_score"], "conviction_score"), "final_adjustment": F.coalesce(d["adjustment"], "final_adjustment"), "risk_flags": F.coalesce(d["risk_flags"], "risk_flags"), "rationale_brief": F.substring(F.coalesce(F.nullif(d["rationale"], F.lit("")), "rationale_brief"), 1, 280)})
     size = F.abs("conviction_score")
     label = F.when(size >= 0.7, "high").when(size >= 0.35, "medium_high").when(size >= 0.1, "medium").otherwise("low")
     lacking = ~F.col("has_news") & ~F.col("has_hits")
     return out.withColumns({"adjusted_score": clamp(p + F.col("final_adjustment"), 0.0, 1.0), "conviction_label": label, "insufficient_evidence": lacking, "confidence": F.when(lacking, 0.35).otherwise(0.7)})
+
+
+def headline_digest(news: DataFrame, n: int = 3) -> DataFrame:
+    """(symbol, titles, articles): the newest n articles' titles that are not blank, joined, and how many articles there are.
+
+    news: symbol, published_at, article_id, title; of equal times the larger id is the newer one.
+    """
+    newest = Window.partitionBy("symbol").orderBy(F.desc("published_at"), F.desc("article_id"))
+    place = F.row_number().over(newest)
+    title = F.nullif(F.trim(F.coalesce("title", F.lit(""))), F.lit(""))
+    rows = news.withColumn("__n", place).withColumn("__t", F.when(F.col("__n") <= n, F.struct("__n", title.alias("title"))))
+    shown = F.transform(F.array_sort(F.collect_list("__t")), lambda x: x["title"])
+    joined = F.array_join(F.filter(shown, lambda x: x.isNotNull()), " | ")
+    return rows.groupBy("symbol").agg(F.coalesce(F.nullif(joined, F.lit("")), F.lit(NO_NEWS)).alias("titles"), F.count("*").alias("articles"))
+
+
+def evidence(digest: DataFrame, hits: DataFrame) -> DataFrame:
+    """(symbol, titles, has_news, hit_count, has_hits): the digest with the number of similar articles found for the symbol."""
+    counts = hits.groupBy("symbol").agg(F.count("*").alias("hit_count"))
+    both = digest.join(counts, "symbol", "full_outer").na.fill(0, ["articles", "hit_count"])
+    return both.select("symbol", F.coalesce("titles", F.lit(NO_NEWS)).alias("titles"), (F.col("articles") > 0).alias("has_news"), "hit_count", (F.col("hit_count") > 0).alias("has_hits"))
+
+
+def stage_times(features: DataFrame, scores: DataFrame, context: DataFrame) -> DataFrame:
+    """(symbol, latest_features, latest_scores, latest_context, latest_merged): the last ts of each stage; null where a stage has none.
+
+    A merged row is one that features and context share.
+    """
+    merged = features.select("symbol", "ts").join(context.select("symbol", "ts"), ["symbol", "ts"])
+    out = None
+    for name, table in (("features", features), ("scores", scores), ("context", context), ("merged", merged)):
+        last = table.groupBy("symbol").agg(F.max("ts").alias(f"latest_{name}"))
+        out = last if out is None else out.join(last, "symbol", "full_outer")
+    return out
+
+
+def first_symbols(pool: DataFrame, most: int | None) -> DataFrame:
+    """The first symbols of the pool in alphabetical order; all without a number."""
+    symbols = pool.select("symbol").distinct()
+    return symbols if most is None else symbols.orderBy("symbol").limit(most)
+
+
+def to_refresh(fresh: DataFrame) -> DataFrame:
+    """Symbols that are stale; all symbols where none is. fresh: symbol, stale."""
+    stale = fresh.where("stale").select("symbol")
+    return fresh.select("symbol") if stale.isEmpty() else stale
+
+
+def refreshed(fresh: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(clean prices, complete features) of the symbols to refresh alone."""
+    own = clean_prices(raw.join(to_refresh(fresh), "symbol", "left_semi"))
+    return own, feature_tables(own)[0]
+
+
+def decided(latest_rows: DataFrame, threshold: float) -> DataFrame:
+    """(symbol, probability_trade_success, threshold_used, should_trade) of rows with a probability."""
+    p = F.col("probability")
+    return latest_rows.where(p.isNotNull()).select("symbol", p.alias("probability_trade_success"), F.lit(threshold).alias("threshold_used"), (p > threshold).alias("should_trade"))
+
+
+def chart_history(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """symbol and those of CHART's columns that there are, of each symbol's last bars or of all."""
+    kept = rows if most is None else latest(rows, n=most)
+    return kept.select("symbol", *(c for c in CHART if c in rows.columns))
+
+
+def explained_decisions(rows: DataFrame, threshold: float, columns: list[str], importances: DataFrame, magnitudes: int = 10, bars: int = 60) -> DataFrame:
+    """Each symbol's decision with its grounds: reason, largest columns, importances, indicator tags and the last bars.
+
+    rows: every bar with probability and the indicators of context_tags; the newest bar with a
+    probability is decided. importances: (feature, importance) of the model, a few rows. A symbol's
+    history is cut at so many bars; chart_history has all.
+    """
+    newest = latest(rows.where(F.col("probability").isNotNull()))
+    out = decided(newest, threshold).withColumn("reason", explanation(F.col("probability_trade_success"), F.col("threshold_used")))
+    top = top_magnitudes(newest, columns, magnitudes).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("rank", "feature", "value"))).alias("top_feature_magnitudes"))
+    tags = newest.select("symbol", F.col("ts").alias("latest_bar"), context_tags().alias("indicator_context_tags"))
+    chart = chart_history(rows, bars)
+    history = chart.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(*(c for c in chart.columns if c != "symbol")))).alias("chart_history"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("key"), "feature", "importance")))
+    shared = importances.agg(F.slice(F.transform(order, lambda x: F.struct(x["feature"].alias("feature"), x["importance"].alias("importance"))), 1, magnitudes).alias("global_feature_importance"))
+    return out.join(top, "symbol", "left").join(tags, "symbol").join(history, "symbol").join(F.broadcast(shared))

@@ -47,6 +47,7 @@ def over_splits(metrics: DataFrame) -> DataFrame:
         mean("expectancy", "avg_expectancy"),
         mean("directional_accuracy", "avg_directional_accuracy_strategy"),
         F.sum("strategy_trade_count").alias("total_trades"),
+        F.sum("strategy_directional_hits").alias("total_hits"),
         F.array_sort(F.collect_list(F.struct("split", "cum_return", "cum_market_return"))).alias("per_split"),
     )
 

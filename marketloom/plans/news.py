@@ -18,18 +18,17 @@ START, END = "2024-01-01", "2030-12-31"
 SPAN = 2557 * 86400
 
 
-def _rows(spark: SparkSession, sf_dir: str, within: bool = False) -> DataFrame:
-    """within: times beyond END begin anew at START, so that no document falls outside."""
-    after = F.col("doc_id") * 2220
-    published = F.timestamp_seconds(F.lit(1704067200) + (F.pmod(after, F.lit(SPAN)) if within else after))
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as news; times beyond END begin anew at START, so that no document falls outside."""
+    published = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("doc_id") * 2220, F.lit(SPAN)))
     return tables.table(spark, sf_dir, "documents").select(
         F.upper("source").alias("ticker"), F.date_format(published, "yyyy-MM-dd HH:mm:ss").alias("published_at"), F.substring("text", 1, 80).alias("headline"),
         F.lit(None).cast("string").alias("summary"), "text", F.concat(F.lit("https://ex/"), F.col("doc_id").cast("string")).alias("url"), "doc_id",
     )
 
 
-def _items(spark: SparkSession, sf_dir: str, within: bool = False) -> DataFrame:
-    rows = _rows(spark, sf_dir, within)
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir)
     symbols = rows.where("ticker <> 'SRC3'").select(F.col("ticker").alias("symbol")).distinct()
     return news.mapped(rows, news.MAPPINGS["ticker_news"], symbols, START, END, F.col("doc_id"))
 
@@ -39,8 +38,8 @@ def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = _items(spark, sf_dir, within=True)
-    later = _rows(spark, sf_dir, within=True).where("doc_id % 3 = 0").withColumn("published_at", F.date_format(F.to_timestamp("published_at") + F.expr("INTERVAL 20 SECONDS"), "yyyy-MM-dd HH:mm:ss"))
+    first = _items(spark, sf_dir)
+    later = _rows(spark, sf_dir).where("doc_id % 3 = 0").withColumn("published_at", F.date_format(F.to_timestamp("published_at") + F.expr("INTERVAL 20 SECONDS"), "yyyy-MM-dd HH:mm:ss"))
     symbols = later.select(F.col("ticker").alias("symbol")).distinct()
     second = news.mapped(later, news.MAPPINGS["ticker_news"], symbols, START, END, F.col("doc_id"))
     return news.combined([first, second]).groupBy("symbol", "file_seq").agg(F.count("*").alias("items"), F.sum("row_seq").alias("row_sum"))
@@ -53,7 +52,7 @@ def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir).select("doc_id", "ticker", "published_at", "headline", "summary", "url")
+    rows = _rows(spark, sf_dir).select("doc_id", "ticker", "published_at", F.col("text").alias("headline"), "summary", "url")
     return rows.select("doc_id", F.sha2(news.payload(rows, "ticker_news", "https://ex", "documents", "0"), 256).alias("digest"))
 
 
@@ -133,10 +132,10 @@ QUERIES = {
     "x10_trade_analysis": analysis, "f21_context_tags": tags, "k6_top_magnitudes": magnitudes, "f12_session_close": closes, "f19_payloads": payloads,
 }
 
-_NEWS = """n AS (
-  SELECT upper(source) AS symbol, TIMESTAMP '2024-01-01' + doc_id * INTERVAL 2220 SECOND AS ts, trim(substring(text, 1, 80)) AS title, trim(text) AS body,
+_NEWS = f"""n AS (
+  SELECT upper(source) AS symbol, TIMESTAMP '2024-01-01' + (doc_id * 2220 % {SPAN}) * INTERVAL 1 SECOND AS ts, trim(substring(text, 1, 80)) AS title, trim(text) AS body,
     'https://ex/' || CAST(doc_id AS VARCHAR) AS url, doc_id FROM documents),
-t AS (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso FROM n WHERE ts < TIMESTAMP '2031-01-01'),
+t AS (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso FROM n),
 items AS (SELECT symbol, substring(sha256(symbol || '|' || iso || '|' || title || '|' || url), 1, 40) AS external_id,
   sha256(symbol || '|' || title || '||' || body || '|' || iso) AS content_sha256, iso AS published_at, ts, title, url,
   length(trim(title || ' ' || body)) AS chars, doc_id AS row_seq FROM t WHERE trim(title || body) <> '' AND symbol <> 'SRC3')"""
@@ -149,8 +148,8 @@ ORACLE_SQL = {
     "i12_silver_news": f"""WITH {_NEWS} SELECT symbol, count(*) AS added, CAST(sum(length(title)) AS BIGINT) AS title_chars FROM items
         WHERE content_sha256 NOT IN (SELECT content_sha256 FROM items WHERE row_seq % 4 = 0) GROUP BY symbol""",
     "f19_payloads": """SELECT doc_id, sha256(CAST(json_object('dataset_key', 'ticker_news', 'dataset_source_url', 'https://ex', 'dataset_path', 'documents', 'dataset_sha256', '0',
-          'row', json_object('doc_id', doc_id, 'ticker', upper(source), 'published_at', strftime(TIMESTAMP '2024-01-01' + doc_id * INTERVAL 2220 SECOND, '%Y-%m-%d %H:%M:%S'),
-            'headline', substring(text, 1, 80), 'summary', NULL, 'url', 'https://ex/' || CAST(doc_id AS VARCHAR))) AS VARCHAR)) AS digest FROM documents""",
+          'row', json_object('doc_id', doc_id, 'ticker', upper(source), 'published_at', strftime(TIMESTAMP '2024-01-01' + (doc_id * 2220 % 220924800) * INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S'),
+            'headline', text, 'summary', NULL, 'url', 'https://ex/' || CAST(doc_id AS VARCHAR))) AS VARCHAR)) AS digest FROM documents""",
     "f09_relevance": f"""WITH r AS (SELECT source, coalesce('the ' || source || CASE WHEN doc_id % 2 = 0 THEN ' stock' END, '') AS title, text FROM documents),
         k AS (SELECT source, regexp_matches(upper(title || chr(10) || text), '\\b' || upper(source) || '\\b')
           AND regexp_matches(upper(title || chr(10) || text), '{"|".join(t.upper() for t in scalars.FINANCE_TERMS)}') AS keep FROM r)
