@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 #: Entries that wait before they are folded into the sums.
-FOLD = 1 << 22
+FOLD = 1 << 20
 #: Buckets by which keys are dealt, at most as many tasks as that.
 BUCKETS = 128
 SCHEMA = "bucket int, keys binary, counts binary"
