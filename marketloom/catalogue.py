@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.plans import backtest, context, features, models, news, prices, reports, serving
+from marketloom.plans import backtest, context, features, ingest, models, news, prices, reports, serving
 
-AREAS = [features, prices, context, backtest, news, models, reports, serving]
+AREAS = [features, prices, context, backtest, news, models, reports, serving, ingest]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for area in AREAS for name, query in area.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: text for area in AREAS for name, text in area.ORACLE_SQL.items()}
 

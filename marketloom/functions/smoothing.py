@@ -7,9 +7,12 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from marketloom.functions.batches import doubles, series_cuts
+
 SPANS = (10, 20, 50, 100, 200)
 SMOOTHED = [*(f"ema_{s}" for s in SPANS), "ema_slope_20", "rsi_14", "rsi_21", "macd", "macd_signal", "atr_14"]
 
@@ -91,21 +94,21 @@ def with_smoothing(bars: DataFrame) -> DataFrame:
     added = T.StructType([T.StructField(c, T.DoubleType()) for c in SMOOTHED])
     schema = T.StructType([*bars.schema.fields, *added.fields])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol, state = None, Smoother()
         for batch in batches:
-            parts = []
-            for now, rows in batch.groupby("symbol", sort=False, dropna=False):
+            values = np.stack(doubles(batch, "close", "high", "low"))
+            out = np.full((len(SMOOTHED), batch.num_rows), np.nan)
+            for lo, hi in series_cuts(batch, ["symbol"]):
+                now = batch.column("symbol")[lo].as_py()
                 if now != symbol:
                     symbol, state = now, Smoother()
-                values = rows[["close", "high", "low"]].to_numpy(dtype=float)
-                whole = np.isfinite(values).all(axis=1)
-                new = pd.DataFrame(np.nan, index=rows.index, columns=SMOOTHED)
-                if whole.any():
-                    for c, y in state.feed(*values[whole].T).items():
-                        new.loc[whole, c] = y
-                parts.append(pd.concat([rows, new], axis=1))
-            if parts:
-                yield pd.concat(parts).replace({c: {np.nan: None} for c in SMOOTHED})
-
-    return bars.repartition("symbol").sortWithinPartitions("symbol", "ts").mapInPandas(run, schema)
+                whole = lo + np.flatnonzero(np.isfinite(values[:, lo:hi]).all(axis=0))
+                if len(whole):
+                    found = state.feed(*values[:, whole])
+                    for at, c in enumerate(SMOOTHED):
+                        out[at, whole] = found[c]
+            columns = [*batch.columns, *(pa.array(y, from_pandas=True) for y in out)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *SMOOTHED])
+
+    return bars.repartition("symbol").sortWithinPartitions("symbol", "ts").mapInArrow(run, schema)

@@ -2,66 +2,79 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marketloom.functions.windows import growth
+from marketloom.functions.batches import doubles, series_cuts
+from marketloom.functions.windows import growth, running
 from marketloom.schemas import HOLD, STOP_LOSS, TAKE_PROFIT
 
 PROBABILITY = "prob_trade_success"
-TRADE = "struct<entry_i:int,exit_i:int,entry_price:double,exit_price:double,trade_return:double,hit:boolean>"
-
-
-def _close(trade: Column, at: Column, price: Column, ret: Column, hit: bool) -> Column:
-    return F.struct(
-        trade["i"].alias("entry_i"), at.cast("int").alias("exit_i"), trade["price"].alias("entry_price"),
-        price.alias("exit_price"), ret.alias("trade_return"), F.lit(hit).alias("hit"),
-    ).cast(TRADE)
-
-
-def _walk(bars: Column, last: Column, hold: int, profit: float, stop: float) -> Column:
-    """array<TRADE> of one series. State between bars: the open trade, if any, and its deadline.
-
-    The bar at the deadline is remembered as the walk passes it, so that no bar is looked up again.
-    """
-    none = F.lit(None).cast("struct<i:int,price:double,deadline:int,middle:double>")
-
-    def opened(bar: Column) -> Column:
-        deadline = F.least(bar["i"] + hold, last).cast("int")
-        return F.struct(bar["i"].alias("i"), bar["close"].alias("price"), deadline.alias("deadline"), bar["middle"].alias("middle")).cast("struct<i:int,price:double,deadline:int,middle:double>")
-
-    def expired(trade: Column) -> Column:
-        ret = F.when(trade["price"] > 1e-12, trade["middle"] / trade["price"] - 1).otherwise(0.0)
-        return _close(trade, trade["deadline"], trade["middle"], ret, False)
-
-    def step(state: Column, bar: Column) -> Column:
-        trade = state["trade"]
-        late = bar["i"] > trade["deadline"]
-        won = ~late & (bar["high"] >= trade["price"] * (1 + profit))
-        lost = ~late & ~won & (bar["low"] <= trade["price"] * (1 - stop))
-        ended = (
-            F.when(late, expired(trade))
-            .when(won, _close(trade, bar["i"], trade["price"] * (1 + profit), F.lit(profit), True))
-            .when(lost, _close(trade, bar["i"], trade["price"] * (1 - stop), F.lit(-stop), False))
-        )
-        is_open = trade.isNotNull()
-        done = F.when(is_open, ended)
-        # a signal in an open trade renews its deadline; the middle is that of the last bar in its window
-        deadline = F.when(bar["signal"], F.least(bar["i"] + hold, last).cast("int")).otherwise(trade["deadline"])
-        renewed = F.struct(trade["i"].alias("i"), trade["price"].alias("price"), deadline.alias("deadline"), bar["middle"].alias("middle"))
-        kept = F.when(is_open & done.isNull(), renewed)
-        trade_now = F.when(kept.isNotNull(), kept).when(bar["signal"], opened(bar)).otherwise(none)
-        trades = F.when(done.isNotNull(), F.concat(state["trades"], F.array(done))).otherwise(state["trades"])
-        return F.struct(trade_now.alias("trade"), trades.alias("trades"))
-
-    start = F.struct(none.alias("trade"), F.array().cast(f"array<{TRADE}>").alias("trades"))
-    finish = lambda s: F.when(s["trade"].isNotNull(), F.concat(s["trades"], F.array(expired(s["trade"])))).otherwise(s["trades"])
-    return F.aggregate(bars, start, step, finish)
-
-
-def numbered(bars: DataFrame, keys: list[str], order: str = "ts") -> DataFrame:
-    """Bars with i, their 0-based place in each series."""
-    return bars.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
+@dataclass
+class OpenTrade:
+    """The open trade of a series: where it began, its deadline and the middle of the last bar seen in its window."""
+
+    entry: int
+    price: float
+    deadline: int
+    middle: float
+
+
+class Walker:
+    """State of one series between batches: at most one open trade, whatever the series' length."""
+
+    def __init__(self, hold: int, profit: float, stop: float) -> None:
+        self.hold, self.profit, self.stop = hold, profit, stop
+        self.open: OpenTrade | None = None
+        self.last = -1
+
+    def _expired(self, at: int) -> tuple:
+        t = self.open
+        ret = t.middle / t.price - 1 if t.price > 1e-12 else 0.0
+        return t.entry, at, t.price, t.middle, ret, False
+
+    def feed(self, i: np.ndarray, close: np.ndarray, high: np.ndarray, low: np.ndarray, middle: np.ndarray, signal: np.ndarray) -> list[tuple]:
+        """Trades that end in these bars. Missing prices hit nothing."""
+        done, up, down = [], 1 + self.profit, 1 - self.stop
+        for at, price, top, bottom, mid, on in zip(*(x.tolist() for x in (i, close, high, low, middle, signal)), strict=True):
+            t = self.open
+            if t is not None:
+                if at > t.deadline:
+                    ended = self._expired(t.deadline)
+                elif top >= t.price * up:
+                    ended = t.entry, at, t.price, t.price * up, self.profit, True
+                elif bottom <= t.price * down:
+                    ended = t.entry, at, t.price, t.price * down, -self.stop, False
+                else:
+                    ended = None
+                    # a signal in an open trade renews its deadline; the middle is that of the last bar in its window
+                    t.middle = mid
+                    if on:
+                        t.deadline = at + self.hold
+                if ended:
+                    done.append(ended)
+                    self.open = None
+            if on and self.open is None:
+                self.open = OpenTrade(at, price, at + self.hold, mid)
+        if len(i):
+            self.last = int(i[-1])
+        return done
+
+    def finish(self) -> list[tuple]:
+        """A trade that is open at the series' end, which is no later than its deadline's bar."""
+        return [self._expired(min(self.open.deadline, self.last))] if self.open else []
+
+
+def numbered(bars: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Bars with i, their 0-based place in each series: by ts, and among equal times by row_seq where there is one."""
+    by = order or ("ts", *(c for c in ("row_seq",) if c in bars.columns))
+    return bars.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)) - 1)
 
 
 def trades(bars: DataFrame, keys: list[str], threshold: Column | str, hold: int = HOLD, profit: float = TAKE_PROFIT, stop: float = STOP_LOSS) -> DataFrame:
@@ -71,15 +84,42 @@ def trades(bars: DataFrame, keys: list[str], threshold: Column | str, hold: int
     is open: a probability over the threshold opens one at the close or renews its deadline of hold
     bars; the profit is tested before the stop from the next bar on, a trade past its deadline ends
     at the middle of the deadline's bar (or its close), one left open at the series' end likewise.
-    A series is one array: daily bars of one symbol, thousands of rows, not the table.
+    Series come sorted, batch after batch, and leave one open trade as state between batches.
     """
     level = F.col(threshold) if isinstance(threshold, str) else threshold
     signal = F.coalesce(F.col(PROBABILITY) > level, F.lit(False))
     middle = F.coalesce((F.col("high") + F.col("low")) / 2, "close")
-    rows = bars.withColumn("__bar", F.struct("i", "close", "high", "low", middle.alias("middle"), signal.alias("signal")))
-    series = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("__bar")).alias("__bars"), F.max("i").alias("__last"))
-    walked = series.select(*keys, F.explode(_walk(F.col("__bars"), F.col("__last"), hold, profit, stop)).alias("t"))
-    return walked.select(*keys, "t.*")
+    rows = bars.select(*keys, "i", "close", "high", "low", middle.alias("__middle"), signal.alias("__signal"))
+    own = [rows.schema[k] for k in keys]
+    types = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
+    names = ["entry_i", "exit_i", "entry_price", "exit_price", "trade_return", "hit"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, walker, kinds = None, Walker(hold, profit, stop), None
+
+        def emit(found: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*found, strict=True)) or [()] * (len(keys) + len(names))
+            arrays = [pa.array(c, t, from_pandas=True) for c, t in zip(columns, [*kinds, *types], strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, [*keys, *names])
+
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
+            found: list[tuple] = []
+            at = np.asarray(batch.column("i"))
+            values = doubles(batch, "close", "high", "low", "__middle")
+            signals = batch.column("__signal").to_numpy(zero_copy_only=False)
+            for lo, hi in series_cuts(batch, keys):
+                key = tuple(batch.column(k)[lo].as_py() for k in keys)
+                if key != now:
+                    found += [(*now, *t) for t in walker.finish()] if now is not None else []
+                    now, walker = key, Walker(hold, profit, stop)
+                found += [(*now, *t) for t in walker.feed(at[lo:hi], *(v[lo:hi] for v in values), signals[lo:hi])]
+            yield emit(found)
+        if now is not None:
+            yield emit([(*now, *t) for t in walker.finish()])
+
+    fields = [T.StructField(n, t) for n, t in zip(names, [T.IntegerType()] * 2 + [T.DoubleType()] * 3 + [T.BooleanType()], strict=True)]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "i").mapInArrow(walk, T.StructType([*own, *fields]))
 
 
 def flagged(bars: DataFrame, found: DataFrame, keys: list[str], threshold: Column | str) -> DataFrame:
@@ -94,18 +134,18 @@ def flagged(bars: DataFrame, found: DataFrame, keys: list[str], threshold: Colum
 
 
 def equity(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, ts, portfolio_return, cum_strategy_return): mean return of all symbols at each instant, compounded."""
+    """(keys, ts, portfolio_return, cum_strategy_return): mean return of all symbols at each instant, compounded; 0 from a total loss on."""
     means = rows.groupBy(*keys, "ts").agg(F.avg("strategy_return").alias("portfolio_return"))
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return means.withColumn("cum_strategy_return", growth(F.col("portfolio_return"), w))
+    r = F.col("portfolio_return")
+    out = running(means, keys, {"__logs": (F.sum, F.when(r > -1, F.log1p(r)).otherwise(0.0)), "__lost": (F.max, (r <= -1).cast("int"))})
+    return out.withColumn("cum_strategy_return", F.when(F.col("__lost") == 1, 0.0).otherwise(F.exp("__logs"))).drop("__logs", "__lost")
 
 
 def drawdown(curve: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, max_drawdown, cum_return) of a curve with one row for each instant."""
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    peak = F.max("cum_strategy_return").over(w)
-    down = F.when(peak > 1e-12, (F.col("cum_strategy_return") - peak) / peak).otherwise(0.0)
-    return curve.withColumn("__down", down).groupBy(*keys).agg(F.min("__down").alias("max_drawdown"), F.max_by("cum_strategy_return", "ts").alias("cum_return"))
+    out = running(curve, keys, {"__peak": (F.max, F.col("cum_strategy_return"))})
+    down = F.when(F.col("__peak") > 1e-12, (F.col("cum_strategy_return") - F.col("__peak")) / F.col("__peak")).otherwise(0.0)
+    return out.withColumn("__down", down).groupBy(*keys).agg(F.min("__down").alias("max_drawdown"), F.max_by("cum_strategy_return", "ts").alias("cum_return"))
 
 
 def market_curve(bars: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.windows import gated
+from marketloom.functions.windows import gated, running
 from marketloom.schemas import CONTEXT, INDEX_CONTEXT
 
 #: Context tables of up to this many rows (an instant each) are broadcast; larger ones are joined by a shuffle.
@@ -44,16 +44,17 @@ def volatility_context(scores: DataFrame) -> DataFrame:
 def as_of(probes: DataFrame, context: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, ts, context's columns) for each distinct probe: the last context row at or before it.
 
-    Only distinct keys and instants meet the context in one ordered window, never the bars.
-    Without keys the window is one task over distinct instants.
+    Only distinct keys and instants meet the context, never the bars. Instants are put in order by
+    calendar units, so that no task gets all of them.
     """
     keys = keys or []
     columns = [c for c in context.columns if c not in [*keys, "ts"]]
     empty = F.lit(None).cast(context.select(F.struct(*columns).alias("c")).schema["c"].dataType)
     both = context.select(*keys, "ts", F.struct(*columns).alias("__c"), F.lit(False).alias("__probe"))
     both = both.unionByName(probes.select(*keys, "ts").distinct().select(*keys, "ts", empty.alias("__c"), F.lit(True).alias("__probe")))
-    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("ts", "__probe").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("__c", F.last("__c", ignorenulls=True).over(order)).where("__probe").select(*keys, "ts", "__c.*")
+    # one row an instant: the context's own row is as of its instant too
+    both = both.groupBy(*keys, "ts").agg(F.max_by("__c", F.when(~F.col("__probe"), F.lit(1))).alias("__own"), F.bool_or("__probe").alias("__probe"))
+    return running(both, keys, {"__c": (F.last, F.col("__own"))}).where("__probe").select(*keys, "ts", "__c.*")
 
 
 def attach_context(scores: DataFrame, spy: DataFrame, qqq: DataFrame, vix: DataFrame, complete: bool = True) -> DataFrame:

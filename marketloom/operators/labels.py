@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.functions.windows import running
 from marketloom.schemas import HOLD, STOP_LOSS, TAKE_PROFIT, TARGET
 
 
@@ -43,12 +44,12 @@ def walk_forward(rows: DataFrame, train: int = 2000, test: int = 250, step: int
 
     pooled: ranges are of distinct instants over all symbols; else of each symbol's own rows. The
     first embargo instants after the training range belong to no part. Only distinct instants are
-    ranked in one window; rows meet the splits of their instant in a join.
+    ranked, by calendar units; rows meet the splits of their instant in a join.
     """
     keys = [] if pooled else ["symbol"]
     times = rows.select(*keys, "ts").distinct()
-    w = Window.partitionBy(*(keys or [F.lit(0)]))
-    ranked = times.withColumn("__i", F.row_number().over(w.orderBy("ts")) - 1).withColumn("__n", F.count("*").over(w))
+    ranked = running(times, keys, {"__i": (F.sum, F.lit(1))}).withColumn("__i", F.col("__i") - 1)
+    ranked = ranked.join(times.groupBy(*keys).agg(F.count("*").alias("__n")), keys) if keys else ranked.withColumn("__n", F.lit(times.count()))
     each = ranked.select(*keys, "ts", "__i", F.explode(_splits(F.col("__n"), train, test, step)).alias("s"))
     part = F.when((F.col("__i") >= F.col("s.from")) & (F.col("__i") < F.col("s.train_to")), "train")
     part = part.when((F.col("__i") >= F.col("s.train_to") + embargo) & (F.col("__i") < F.col("s.test_to")), "test")

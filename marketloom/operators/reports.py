@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.windows import growth, up_to_now
 from marketloom.operators.scanner import context_tags, explanation
 
+#: Indicators that the tags read (fixed values).
 INDICATORS = ["ema_10", "ema_20", "macd", "macd_signal", "rsi_14", "volume", "volume_sma_20", "sym_sentiment_d1", "spy_sentiment_d1"]
 
 

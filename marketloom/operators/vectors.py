@@ -38,7 +38,8 @@ def normalised(v: Column) -> Column:
 def embed(points: DataFrame, make_model: Callable, stored: DataFrame, batch: int = 64) -> DataFrame:
     """The point table after an upsert of the points' unit vectors by the caller's model."""
     model = predict_batch_udf(make_model, return_type=T.ArrayType(T.FloatType()), batch_size=batch)
-    rows = points.withColumn("vector", normalised(model("body"))).drop("body").withColumn("row_seq", F.col("point_id"))
+    # the model's column first: no lambda may hold it
+    rows = points.withColumn("vector", model("body")).withColumn("vector", normalised(F.col("vector")).cast("array<float>")).drop("body").withColumn("row_seq", F.col("point_id"))
     return last_wins(stored, rows, ["point_id"], "row_seq")
 
 

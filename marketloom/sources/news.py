@@ -33,6 +33,7 @@ class Mapping:
 
 
 MAPPINGS = {
+    # file formats (fixed values)
     "market_headlines": Mapping("Date", "Title"),
     "ticker_news": Mapping("published_at", "headline", "ticker", "summary", "text", "url"),
     "generic": Mapping("published_at", "title", "symbol", "summary", "body", "url"),

@@ -114,6 +114,22 @@ def test_an_experiment_without_a_best_row(spark):
     assert models.logged(spark.createDataFrame([tuple(row)[:2]], "a string, b string"), DAY).columns[0] == "logged_at"
 
 
+def test_running_aggregates_by_units(spark):
+    from marketloom.functions.windows import running
+
+    r = random.Random(3)
+    rows = [(r.choice(["a", None]), DAY + datetime.timedelta(days=n * 3), r.choice([None, 1.0, -2.0, 5.0])) for n in range(80)]
+    frame = spark.createDataFrame(rows, "k string, ts timestamp, x double")
+    for keys in ([], ["k"]):
+        got = running(frame, keys, {"total": (F.sum, F.col("x")), "most": (F.max, F.col("x")), "last": (F.last, F.col("x"))})
+        assert got.columns == ["k", "ts", "x", "total", "most", "last"]
+        seen = {}
+        for row in sorted(got.collect(), key=lambda row: row.ts):
+            own = seen.setdefault(row.k if keys else None, [])
+            own += [] if row.x is None else [row.x]
+            assert (row.total, row.most, row.last) == ((sum(own), max(own), own[-1]) if own else (None, None, None))
+
+
 def test_market_override(spark):
     bars = spark.createDataFrame([(1, "A", DAY + datetime.timedelta(n), 100.0 + n, 101.0 + n, 99.0 + n, 0.9 if n == 1 else 0.1) for n in range(20)], "split int, symbol string, ts timestamp, close double, high double, low double, prob_trade_success double")
     own = backtest.backtest(backtest.with_threshold(bars, [0.5]), "threshold", ["split", "threshold"]).collect()[0]
