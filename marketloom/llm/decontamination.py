@@ -140,8 +140,9 @@ def contamination(
     the least found and places the number of distinct ends. Items are split in one piece more than
     they may have edits, so that one piece is found unchanged; each hit is verified. Items go to the
     executors in blocks of a bounded size, each with a pass over the documents; nothing is
-    shuffled. Null and empty items are in no document, null and empty texts hold none; repeated
-    rows are each matched, and null ids are passed on. Other columns play no part.
+    shuffled. Null and empty items are in no document, null and empty texts hold none; very long
+    texts are searched whole, one at a time; repeated rows and repeated items are each matched, and
+    null ids are passed on. Empty tables give none. Other columns play no part.
     """
     context = docs.sparkSession.sparkContext
 
@@ -166,7 +167,12 @@ def contamination(
 
 
 def is_contaminated(benchmark: DataFrame, text: F.Column, item_id_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.08) -> F.Column:
-    """Whether a text holds any test item, as a column: a filter that moves no documents."""
+    """Whether a text holds any test item, as a column: a filter that moves no documents.
+
+    Matches as contamination does. Null and empty texts hold none, and null and empty items are in
+    no text; without items no text holds any. Very long texts are searched whole, one at a time;
+    repeated rows are each judged; no column but the text plays a part.
+    """
     context = benchmark.sparkSession.sparkContext
 
     def one_pass(block: list[tuple[int | None, str, int]]) -> F.Column:
@@ -177,7 +183,12 @@ def is_contaminated(benchmark: DataFrame, text: F.Column, item_id_col: str = "it
         def holds(texts: pa.Array) -> pa.Array:
             if not kept:
                 kept.append(Matcher(sent.value))
-            return pa.array([bool(t) and bool(kept[0].find(normalise(t))) for t in texts.cast(pa.binary()).to_pylist()], pa.bool_())
+            texts = texts.fill_null("")
+            parts = [
+                pa.array([bool(t) and bool(kept[0].find(normalise(t))) for t in part.column(0).cast(pa.binary()).to_pylist()], pa.bool_())
+                for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), text_at=0)
+            ]
+            return pa.concat_arrays(parts) if parts else pa.array([], pa.bool_())
 
         return holds(text)
 

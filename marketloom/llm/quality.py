@@ -150,8 +150,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     partition sums the normal equations of its rows by fold, the sums are added up by entry, and
     the driver solves one system of FEATURES + 1 unknowns for each fold and for all. Scores of
     rows by the model without their fold give the isotonic calibration. Labels that are null, or of
-    unknown ids, are ignored; several labels of one id count as their mean. Without labels every
-    score is 0.5; labels of a single class give that class.
+    unknown ids, are ignored; several labels of one id count as their mean. Without labels, or
+    without documents, every score is 0.5; labels of a single class give that class. Null texts
+    count as empty, of which all statistics are 0; very long texts are measured whole; repeated
+    rows are each learned from; no column but the id, the text and the label plays a part.
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
