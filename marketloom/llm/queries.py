@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 import public_tokenizers
@@ -22,10 +21,6 @@ from marketloom.llm.topk import top_k
 from marketloom.llm.viterbi import count_tokens
 
 
-#: Folder of the public tokenizers' files.
-TOKENIZERS = os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
-
-
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 

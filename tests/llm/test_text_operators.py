@@ -6,11 +6,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from marketloom.llm import queries
 from marketloom.llm.brown import class_scores
 from marketloom.llm.decontamination import contamination, is_contaminated
 from marketloom.llm.lines import dedup_lines
@@ -22,7 +22,7 @@ from marketloom.llm.substrings import remove_repeats
 from marketloom.llm.viterbi import count_tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-TOKENIZER = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def lower(text):
@@ -205,7 +205,7 @@ def test_token_counts(docs, empty):
 
     from marketloom.llm.viterbi import SPACE, read_vocabulary
 
-    path = f"{queries.TOKENIZERS}/piece_bpe_32k.model"
+    path = public_tokenizers.path("piece_bpe_32k.model")
     with open(path, "rb") as file:
         pieces = list(read_vocabulary(file.read()).pieces.items())
     model = Unigram([("<unk>", 0.0), *((f"<0x{b:02X}>", 0.0) for b in range(256)), *pieces], 0, True)
