@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +31,10 @@ COUNTED, COUNTED_BYTES = 400_000, 32 << 20
 WEIGHT = 0.98
 #: The end of a text; no word is empty. It is always a core word, with code 0.
 END = b""
-#: Marks a word outside the broadcast ones, in codes and in classes.
-RARE, RARE_CLASS = -1, 255
+#: Marks a word outside the broadcast ones, in codes, and one that was never learned from, in classes.
+RARE, UNSEEN = -1, 255
+#: After more unseen words in a row the chances of their classes are taken for those after so many.
+RUN = 8
 #: Logarithms count as whole multiples of 1 / FINE, so that sums do not depend on their order.
 FINE = 1 << 16
 
@@ -435,9 +438,9 @@ def rare_words(coded: DataFrame, classes: np.ndarray, weights: np.ndarray) -> Da
     return written(gathered.mapInArrow(choose, "word binary, c long, class int"))
 
 
-def resolved(coded: DataFrame, classes: np.ndarray, rare: DataFrame, unseen: int) -> DataFrame:
-    """(id, learn, n_tokens, n_known, logs, classes): every token's class as a byte, the counts and logs of all words."""
-    sent = coded.sparkSession.sparkContext.broadcast(np.append(classes, RARE_CLASS).astype(np.uint8))
+def resolved(coded: DataFrame, classes: np.ndarray, rare: DataFrame) -> DataFrame:
+    """(id, learn, n_tokens, n_known, logs, classes): every token's class as a byte, or UNSEEN, the counts and logs of all words."""
+    sent = coded.sparkSession.sparkContext.broadcast(np.append(classes, UNSEEN).astype(np.uint8))
 
     def by_code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -453,10 +456,9 @@ def resolved(coded: DataFrame, classes: np.ndarray, rare: DataFrame, unseen: int
             sizes = np.asarray(met.value_lengths().fill_null(0))
             entries, row = met.flatten(), np.repeat(np.arange(batch.num_rows), sizes)
             place, kind, c = (np.asarray(entries.field(i)) for i in range(3))
-            holes = np.flatnonzero(kinds == RARE_CLASS)
+            holes = np.flatnonzero(kinds == UNSEEN)
             ends = np.frombuffer(batch.column(5).buffers()[1], dtype=np.int32)[batch.column(5).offset :][: batch.num_rows]
             first = np.searchsorted(holes, ends - ends[0]) if len(ends) else ends
-            kinds[holes] = unseen
             kinds[holes[first[row] + place]] = kind
             known = np.asarray(batch.column(3)) + sizes
             logs = np.asarray(batch.column(4)) + np.bincount(row, weights=np.log10(c + 1.0), minlength=batch.num_rows)
@@ -487,6 +489,21 @@ def transitions_of(rows: DataFrame, end: int) -> np.ndarray:
     return matrix.reshape(CLASSES, CLASSES)
 
 
+def chances(follow: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Behind class a and r words that were never learned from (0 to RUN): [r, a, k] of one word of class k, and [r, a] of another unseen one.
+
+    follow: chances of the class behind each class; place: of one word in each class. The classes of
+    an unseen word are as likely as those behind a times their places.
+    """
+    words, unseen, at = [], [], np.eye(len(place))
+    for _ in range(RUN + 1):
+        ahead = at @ follow
+        words.append(ahead * place)
+        unseen.append((ahead * place).sum(axis=1))
+        at = ahead * place / unseen[-1][:, None]
+    return np.stack(words), np.stack(unseen)
+
+
 @dataclass
 class ClassModel:
     """What is learned: frequent words with counts and classes, all others as a table, and the coded texts."""
@@ -523,13 +540,13 @@ def class_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         (c + 1) * (WEIGHT * T / (N_k + V_k + 1) + (1 - WEIGHT) / (N + V + 1))
 
     where k is the token's class, T the smoothed probability of k after the class before, and N_k,
-    V_k count the tokens and distinct tokens of class k; each class keeps one place for unknown
-    words. So score is the log10 probability of the text under a class bigram model mixed with the
+    V_k count the tokens and distinct tokens of class k. Each class keeps one place for words never
+    learned from: such a word (c = 0) may be of any class, so that the sum over k of T / (N_k + V_k + 1)
+    counts for it, and T behind it is the mean over its classes' chances. So score is the log10 probability of the text under a class bigram model mixed with the
     unigram model, and never below base_score + n_tokens * log10(1 - WEIGHT).
 
     Every word has its own class: the core of the most frequent words by exchange, each other one
-    where the exchange gain by its own neighbours is greatest. Words never learned from share the
-    class with the most distinct words. Counts, neighbours and classes of words grow with the input;
+    where the exchange gain by its own neighbours is greatest. Counts, neighbours and classes of words grow with the input;
     the most frequent words are broadcast, all others are joined, and for these no word is hot. A null or
     empty text is one end. Repeated rows and equal ids are each learned from and scored; rows
     with a null id are held out; without rows to learn from all counts are 0. An empty table gives
@@ -540,21 +557,29 @@ def class_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     distinct = np.bincount(model.classes[model.counts > 0], minlength=CLASSES)
     for r in model.rare.groupBy("class").count().collect():
         distinct[r["class"]] += r["count"]
-    done = resolved(model.coded, model.classes, model.rare, int(distinct.argmax()))
+    done = resolved(model.coded, model.classes, model.rare)
     matrix = transitions_of(done, int(model.classes[0]))
     class_tokens = matrix.sum(axis=0)
     spread = (class_tokens + 1) / (class_tokens + 1).sum()
     follow = (matrix + 2 * CLASSES * spread) / (matrix.sum(axis=1, keepdims=True) + 2 * CLASSES)
     uniform = 1 / (model.tokens + model.kinds + 1)
-    steps = np.log10(WEIGHT * follow / (class_tokens + distinct + 1) + (1 - WEIGHT) * uniform)
+    known, unseen = (np.log10(WEIGHT * p + (1 - WEIGHT) * uniform) for p in chances(follow, 1 / (class_tokens + distinct + 1)))
     end = int(model.classes[0])
 
     @F.arrow_udf("double")
     def path(classes: pa.Array) -> pa.Array:
-        kinds = flat(classes, "u1")
-        ends = np.frombuffer(classes.buffers()[1], dtype=np.int32)[classes.offset :][: len(classes)] if len(classes) else np.zeros(0, np.int32)
-        parts = steps[before(kinds, end), kinds]
-        return pa.array(np.add.reduceat(parts, ends - ends[0]) if len(ends) else parts)
+        sums = [np.zeros(0)]
+        for part in slices(pa.RecordBatch.from_arrays([classes], ["classes"]), text_at=0, most=1 << 20):
+            kinds = flat(part.column(0), "u1")
+            sizes = np.asarray(pc.binary_length(part.column(0)), dtype=np.int64)
+            seen = kinds != UNSEEN
+            last = np.maximum.accumulate(np.where(seen, np.arange(len(kinds)), -1))
+            last = np.append(-1, last[:-1])
+            ahead = np.where(last >= 0, kinds[last], end)
+            run = np.minimum(np.arange(len(kinds)) - 1 - last, RUN)
+            logs = np.where(seen, known[run, ahead, np.where(seen, kinds, 0)], unseen[run, ahead])
+            sums.append(np.add.reduceat(logs, np.cumsum(sizes) - sizes))
+        return pa.array(np.concatenate(sums))
 
     return done.select(
         "id",

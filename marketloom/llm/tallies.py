@@ -9,6 +9,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from marketloom.llm.shared import slices
+
 #: Entries that wait before they are folded into the sums.
 FOLD = 1 << 20
 #: Buckets by which keys are dealt, at most as many tasks as that.
@@ -74,12 +76,13 @@ def opened(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tallied(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], bucket_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Blocks of each task's own counts of the keys that keys_of finds in a batch."""
+    """Blocks of each task's own counts of the keys that keys_of finds in some rows, whose first column is binary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
         for batch in batches:
-            tally.add(keys_of(batch))
+            for part in slices(batch, text_at=0):
+                tally.add(keys_of(part))
         keys, counts = tally.fold()
         yield blocks(keys, counts, bucket_of(keys))
 

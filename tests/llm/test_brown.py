@@ -134,14 +134,15 @@ def test_all_words_are_classed_and_texts_scored(spark, docs):
             follow[classes[u], classes[v]] += 1
     spread = (total + 1) / (total + 1).sum()
     follow = (follow + 2 * brown.CLASSES * spread) / (follow.sum(axis=1, keepdims=True) + 2 * brown.CLASSES)
-    n, v, unseen = sum(counts.values()), len(counts), int(kinds.argmax())
+    n, v, place = sum(counts.values()), len(counts), 1 / (total + kinds + 1)
     want = []
     for i, text in texts():
-        score, k = 0.0, classes[b""]
+        score, chance = 0.0, np.eye(brown.CLASSES)[classes[b""]]
         for w in tokens(text):
-            j = classes.get(w, unseen)
-            score += math.log10((counts[w] + 1) * (0.98 * follow[k, j] / (total[j] + kinds[j] + 1) + 0.02 / (n + v + 1)))
-            k = j
+            each = chance @ follow * place
+            own = each[classes[w]] if w in classes else each.sum()
+            score += math.log10((counts[w] + 1) * (0.98 * own + 0.02 / (n + v + 1)))
+            chance = np.eye(brown.CLASSES)[classes[w]] if w in classes else each / each.sum()
         base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(text))
         want.append((str(i), held(i), len(tokens(text)), sum(counts[w] > 0 for w in tokens(text)), n, base, score))
     for frame in (docs, docs.repartition(7)):
