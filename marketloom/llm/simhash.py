@@ -18,6 +18,8 @@ from marketloom.llm.shared import id_and_text, materialise, slices, words_of
 BITS = 64
 #: Fingerprints that one BK-tree holds at most; larger shards are cut in chunks, each pair of which is a unit of work.
 TREE_SIZE = 1024
+#: Times that large shards are dealt by further bits.
+REFINED = 3
 #: A shard's wished mean size; with more fingerprints the shards agree in more bits.
 SHARD_SIZE = 128
 
@@ -138,6 +140,35 @@ def block_masks(count: int, radius: int) -> list[int]:
     return [sum(c) for c in combinations(own, agree)]
 
 
+def finer_masks(mask: int, radius: int) -> list[int]:
+    """The mask with a part of its other bits each: fingerprints within the radius that agree under it agree under one of these."""
+    free = [bit for bit in range(BITS) if not mask >> bit & 1]
+    edges = [len(free) * i // (radius + 1) for i in range(radius + 2)]
+    return [mask | sum(1 << bit for bit in free[lo:hi]) for lo, hi in zip(edges, edges[1:], strict=False)]
+
+
+def refined(rows: DataFrame, masks: list[int], radius: int) -> tuple[list[int], DataFrame, bool]:
+    """The finer masks too, rows (fp, mask, value) with large shards dealt by these, and whether there was none to deal.
+
+    A shard is dealt anew if the squares of the new shards' sizes add up to less than its own.
+    """
+    key = ["mask", "value"]
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    dense = materialise(sizes.where(F.col("n") > TREE_SIZE))
+    if dense.isEmpty():
+        return masks, rows, True
+    finer = {m: finer_masks(m, radius) for m in masks}
+    table = rows.sparkSession.createDataFrame([(signed(m), signed(f)) for m, own in finer.items() for f in own], "mask long, finer long")
+    inside = rows.join(dense, key).join(F.broadcast(table), "mask").withColumn("fine", F.col("fp").bitwiseAND(F.col("finer")))
+    inside = materialise(inside)
+    squares = inside.groupBy(*key, "n", "finer", "fine").agg(F.count("*").alias("k")).groupBy(*key, "n").agg(F.sum(F.col("k") * F.col("k")).alias("work"))
+    better = materialise(squares.where(F.col("work") < F.col("n") * F.col("n")).select(*key))
+    dealt = inside.join(better, key, "left_semi").select("fp", F.col("finer").alias("mask"), F.col("fine").alias("value"))
+    kept = rows.join(better, key, "left_anti").select("fp", *key)
+    every = list(dict.fromkeys([*masks, *(f for own in finer.values() for f in own)]))
+    return every, materialise(kept.unionByName(dealt)), False
+
+
 def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
@@ -177,14 +208,19 @@ def fingerprint_links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     """(a, b): links between distinct fingerprints, enough to connect all within the radius.
 
     nodes: distinct fp. Fingerprints go to a shard for each block mask; a shard's BK-tree finds
-    its links and keeps a spanning forest of them. A shard with over TREE_SIZE fingerprints is cut
-    in m chunks; each pair of chunks is a unit of its own: nothing is capped and no task holds more
-    than two chunks.
+    its links and keeps a spanning forest of them. A shard with over TREE_SIZE fingerprints is dealt
+    again by further bits where that makes less work. One that stays as large is cut in m chunks;
+    each pair of chunks is a unit of its own: nothing is capped and no task holds more than two
+    chunks.
     """
     count = nodes.count()
     masks = block_masks(count, radius)
-    shards = F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("value")) for i, m in enumerate(masks)))
+    shards = F.array(*(F.struct(F.lit(signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("value")) for m in masks))
     rows = nodes.select("fp", F.explode(shards).alias("s")).select("fp", "s.mask", "s.value")
+    for _ in range(REFINED):
+        masks, rows, done = refined(rows, masks, radius)
+        if done:
+            break
     sizes = rows.groupBy("mask", "value").agg(F.ceil(F.count("*") / TREE_SIZE).cast("int").alias("chunks")).where("chunks > 1")
     rows = rows.join(sizes, ["mask", "value"], "left").withColumn("m", F.coalesce("chunks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketloom.llm import topk
 from marketloom.llm.components import connected_components
 from marketloom.llm.packing import best_fit
-from marketloom.llm.simhash import BKTree, block_masks, fingerprint_links
+from marketloom.llm.simhash import BKTree, block_masks, fingerprint_links, finer_masks
 
 
 def brute_top(rows, k=10):
@@ -79,10 +79,12 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_fingerprint_links_of_a_dense_shard(spark, monkeypatch):
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_fingerprint_links_of_a_dense_shard(spark, monkeypatch, rounds):
     import marketloom.llm.simhash as simhash
 
     monkeypatch.setattr(simhash, "TREE_SIZE", 40)
+    monkeypatch.setattr(simhash, "REFINED", rounds)
     r = random.Random(4)
     prints = set()
     for _ in range(5):
@@ -128,6 +130,15 @@ def test_block_masks_miss_no_pair(count):
         assert any(not flips & m for m in masks)
 
 
+def test_finer_masks_miss_no_pair():
+    r = random.Random(1)
+    for mask in [*block_masks(10**8, 3)[:5], 0, (1 << 60) - 1, (1 << 64) - 1]:
+        free = [b for b in range(64) if not mask >> b & 1]
+        for _ in range(100):
+            flips = sum(1 << b for b in r.sample(free, min(3, len(free))))
+            assert any(not flips & m for m in finer_masks(mask, 3)) and all(m & mask == mask for m in finer_masks(mask, 3))
+
+
 def test_bk_tree():
     r = random.Random(9)
     items = [r.getrandbits(16) for _ in range(300)]
