@@ -175,19 +175,19 @@ def on_market_curve(bars: DataFrame, curve: DataFrame) -> DataFrame:
 
 
 def trade_metrics(found: DataFrame, keys: list[str]) -> DataFrame:
-    """Win rate, profit factor (999 without losses), expectancy, hits and their percentage of trades."""
+    """Win rate, profit factor (999 without losses), expectancy (which is the average trade return), hits and their percentage of trades."""
     r = F.col("trade_return")
     gains = F.coalesce(F.sum(F.when(r > 0, r)), F.lit(0.0))
     losses = F.abs(F.coalesce(F.sum(F.when(r < 0, r)), F.lit(0.0)))
     factor = F.when(losses > 1e-12, gains / losses).when(gains > 0, 999.0).otherwise(0.0)
     return found.groupBy(*keys).agg(
         F.count("*").alias("strategy_trade_count"), F.sum(F.col("hit").cast("int")).alias("strategy_directional_hits"),
-        F.avg((r > 0).cast("int")).alias("win_rate"), factor.alias("profit_factor"), F.avg(r).alias("expectancy"),
+        F.avg((r > 0).cast("int")).alias("win_rate"), factor.alias("profit_factor"), F.avg(r).alias("expectancy"), F.avg(r).alias("average_trade_return"),
         (F.avg(F.col("hit").cast("int")) * 100).alias("directional_accuracy"),
     )
 
 
-METRICS = {"strategy_trade_count": 0, "strategy_directional_hits": 0, "win_rate": 0.0, "profit_factor": 0.0, "expectancy": 0.0, "directional_accuracy": 0.0}
+METRICS = {"strategy_trade_count": 0, "strategy_directional_hits": 0, "win_rate": 0.0, "profit_factor": 0.0, "expectancy": 0.0, "average_trade_return": 0.0, "directional_accuracy": 0.0}
 
 
 def backtest(bars: DataFrame, threshold: Column | str = "threshold", keys: list[str] | None = None, by_symbol: bool = False, market: DataFrame | None = None) -> DataFrame:

@@ -103,6 +103,20 @@ def daily_rollup(days: DataFrame, articles: DataFrame, cutoff: Column | None = N
     return out if cutoff is None else out.where(F.col("as_of_date") >= cutoff)
 
 
+#: Days of history that the rolling z-scores need at least (fixed value).
+ROLL_DAYS = 60
+
+
+def incremental_rollup(days: DataFrame, articles: DataFrame, stored: DataFrame, lookback: int) -> DataFrame:
+    """The daily rollup's rows to write anew: from so many days (ROLL_DAYS at least) before each symbol's last stored day on.
+
+    Symbols without a stored day get all of their rows; z-scores run over the full history either way.
+    """
+    last = stored.groupBy("symbol").agg(F.date_sub(F.max("as_of_date"), max(lookback, ROLL_DAYS)).alias("__cutoff"))
+    rows = daily_rollup(days, articles).join(last, "symbol", "left")
+    return rows.where(F.col("__cutoff").isNull() | (F.col("as_of_date") >= F.col("__cutoff"))).drop("__cutoff")
+
+
 def sentiment_cache(days: DataFrame, articles: DataFrame, last: int | None = None) -> DataFrame:
     """(symbol, ts, news_sentiment_mean_z, sentiment_24h, news_volume) of each symbol's (last) days: mean daily score and its rolling z."""
     per_day = articles.groupBy("symbol", F.to_date(NEWS).alias("as_of_date")).agg(F.avg("finbert_scalar").alias("sentiment_24h"), F.count("*").alias("news_volume"))

@@ -188,7 +188,7 @@ ORACLE_SQL = {
     "b03_flagged_bars": f"""WITH RECURSIVE {_FLAGS} SELECT symbol, {DAY}, signal, entry_trade, exit_trade, round(strategy_return, 6) AS strategy_return,
         round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price FROM flags""",
     "b12_symbol_metrics": f"""WITH RECURSIVE {_ALL}, {_metrics("symbol", "symbol")} SELECT symbol, strategy_trade_count, strategy_directional_hits,
-        round(win_rate, 6) AS win_rate, round(expectancy, 6) AS expectancy, round(directional_accuracy, 6) AS directional_accuracy,
+        round(win_rate, 6) AS win_rate, round(expectancy, 6) AS expectancy, round(expectancy, 6) AS average_trade_return, round(directional_accuracy, 6) AS directional_accuracy,
         round(profit_factor, 6) AS profit_factor, round(max_drawdown, 6) AS max_drawdown, round(cum_return, 6) AS cum_return,
         round(cum_market_return, 6) AS cum_market_return FROM metrics""",
     "b04_pooled_equity": f"""WITH RECURSIVE {_FLAGS}, eq AS (SELECT ts, avg(strategy_return) AS r FROM flags GROUP BY ts)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import scalars
 from marketloom.operators import backtest as trading
-from marketloom.operators import prices, reports, vectors
+from marketloom.operators import prices, reports, sentiment, vectors
 from marketloom.operators.features import compute_features
 from marketloom.plans import sql
 from marketloom.plans.backtest import _FLAGS
@@ -192,11 +192,18 @@ def streamed_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.current(spark, f"{folder}/table", ["symbol", "ts"], "volume").groupBy("symbol").agg(F.count("*").alias("bars"), F.sum("volume").alias("volume"))
 
 
+def incremental_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = tables.feature_days(spark, sf_dir)
+    stored = days.where("symbol <> 'U3'").withColumn("as_of_date", F.date_add("as_of_date", 50))
+    out = sentiment.incremental_rollup(days, tables.articles(spark, sf_dir), stored, 30)
+    return out.groupBy("symbol").agg(F.count("*").alias("days"), F.date_format(F.min("as_of_date"), "yyyy-MM-dd").alias("first_day"), F.sum("article_count").alias("articles"))
+
+
 QUERIES = {
     "s08_symbol_file": symbol_file, "s04_ticker_news": ticker_news, "s05_article_list": article_list, "s06_filings": filings, "i11_bronze": bronze, "i14_gap_starts": gap_starts,
     "i07_incomplete": incomplete, "a06_watermarks": watermarks, "i19_daily_upsert": daily_upsert, "u05_last_of_instant": last_of_instant, "k4_stable_order": stable_order,
     "s21_split_artifacts": split_artifacts, "b05_single_equity": single_equity, "x13_trade_rows": trade_rows, "b27_grid_series": grid_series, "f18_decisions": decisions,
-    "d1_scored_texts": scored_texts, "d2_embedded_chunks": embedded_chunks, "t2_streamed_again": streamed_again,
+    "d1_scored_texts": scored_texts, "d2_embedded_chunks": embedded_chunks, "t2_streamed_again": streamed_again, "t4_incremental_rollup": incremental_rollup,
 }
 
 _NEWS = "n AS (SELECT upper(source) AS symbol, doc_id, CAST(doc_id AS VARCHAR) AS number, TIMESTAMP '2024-01-01' + doc_id % 100000 * INTERVAL 1 MINUTE AS pub FROM documents)"
@@ -204,6 +211,10 @@ _ISO = "strftime(pub, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
 _ALL_FLAGS = f"{_FLAGS}, f AS (SELECT flags.*, close, high, low, year(flags.ts) AS split FROM flags JOIN bars USING (symbol, ts))"
 
 ORACLE_SQL = {
+    "t4_incremental_rollup": f"""WITH {sql.EVENTS}, d AS (SELECT DISTINCT symbol, CAST(ts AS DATE) AS day FROM hourly),
+        k AS (SELECT *, max(day) OVER (PARTITION BY symbol) AS last FROM d), a AS (SELECT symbol, CAST(published_at AS DATE) AS day, count(*) AS n FROM articles GROUP BY ALL)
+        SELECT symbol, count(*) AS days, strftime(min(day), '%Y-%m-%d') AS first_day, CAST(sum(coalesce(n, 0)) AS BIGINT) AS articles FROM k LEFT JOIN a USING (symbol, day)
+        WHERE symbol = 'U3' OR day >= last - 10 GROUP BY symbol""",
     "s08_symbol_file": f"WITH {sql.BARS} SELECT DISTINCT symbol FROM bars UNION ALL SELECT 'BRK-B'",
     "s04_ticker_news": f"""WITH {_NEWS}, i AS (SELECT *, 'Title ' || number AS title, CASE WHEN doc_id % 4 <> 0 THEN 'S ' || number ELSE '' END AS summary,
           CASE WHEN doc_id % 3 <> 0 THEN 'https://ex/' || number END AS url, {_ISO} AS iso FROM n WHERE doc_id % 5 <> 0)
