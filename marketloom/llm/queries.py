@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.brown import class_scores
 from marketloom.llm.decontamination import contamination
+from marketloom.llm.fingerprints import edited_fingerprints, likeness, printed
 from marketloom.llm.lines import dedup_lines
 from marketloom.llm.packing import pack
 from marketloom.llm.quality import fit_quality, is_held_out
@@ -84,6 +85,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = edited_fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        printed(F.col("fingerprint")).alias("fingerprint"),
+        printed(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_secret_scan": op2_secret_scan,
@@ -95,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_document_fingerprints": op11_document_fingerprints,
 }
 
 #: Matches and the pieces between them alternate, so that their lengths give each match's place.
