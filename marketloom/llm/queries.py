@@ -13,9 +13,10 @@ from marketloom.llm.decontamination import contamination
 from marketloom.llm.fingerprints import edited_fingerprints, likeness, printed
 from marketloom.llm.lines import dedup_lines
 from marketloom.llm.packing import pack
+from marketloom.llm.prefixes import end_digests, ordered_turns, prefix_trie, rebuilt
 from marketloom.llm.quality import fit_quality, is_held_out
 from marketloom.llm.secrets import BASE, scan_secrets, span_text
-from marketloom.llm.shared import table
+from marketloom.llm.shared import materialise, table
 from marketloom.llm.simhash import simhash_components
 from marketloom.llm.substrings import remove_repeats
 from marketloom.llm.topk import top_k
@@ -98,6 +99,14 @@ def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = rebuilt(materialise(ordered_turns(table(spark, sf_dir, "conversations"))))
+    trie = prefix_trie(materialise(turns), convs)
+    digests = trie.nodes.join(end_digests(trie.ends), ["conv_id", "depth"], "left")
+    ends = F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256")
+    return digests.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), ends)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_secret_scan": op2_secret_scan,
@@ -110,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_document_fingerprints": op11_document_fingerprints,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 #: Matches and the pieces between them alternate, so that their lengths give each match's place.
@@ -195,4 +205,35 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(body, '')) AS kept_sha256
         FROM texts LEFT JOIN kept USING (doc_id)
     """,
+    "op12_prefix_trie": """
+        WITH own AS (
+          SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+          FROM conversations WHERE conv_id IS NOT NULL),
+        lists AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS turns FROM own GROUP BY conv_id),
+        -- crc32 of the decimal digits, bit by bit
+        crcs AS (
+          SELECT conv_id, xor(list_reduce([CAST(x AS BIGINT) FOR x IN list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: ascii(d)))],
+            lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), CAST(range(8) AS BIGINT[])),
+              lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)), 4294967295) % 9 AS h
+          FROM lists),
+        convs AS (
+          SELECT c.conv_id, list_concat(coalesce(b.turns[1:h], []), c.turns[h + 1:]) AS turns
+          FROM lists c JOIN crcs USING (conv_id) LEFT JOIN lists b ON b.conv_id = c.conv_id - c.conv_id % 5),
+        paths AS (SELECT conv_id, unnest(range(len(turns) + 1)) AS depth, turns FROM convs),
+        members AS (SELECT conv_id AS member, depth, turns[1:depth] AS path, len(turns) = depth AS ends FROM paths),
+        nodes AS (
+          SELECT path, depth, min(member) AS conv_id, count(*) AS n_convs,
+            sha256(coalesce(string_agg(CAST(member AS VARCHAR), ',' ORDER BY member) FILTER (ends), '')) AS ends_sha256
+          FROM members GROUP BY path, depth),
+        linked AS (SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]),
+        sizes AS (
+          SELECT l.*, (SELECT count(*) FROM linked c WHERE c.depth = l.depth + 1 AND c.parent_conv_id = l.conv_id) AS n_children,
+            CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * octet_length(encode(path[depth].text)) END AS saved
+          FROM linked l),
+        above AS (SELECT path[1:unnest(range(depth + 1))] AS path, unnest(range(depth + 1)) AS depth, n_children, saved FROM sizes),
+        sums AS (SELECT path, depth, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY path, depth)
+        SELECT conv_id, s.depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+        FROM sizes s JOIN sums u ON u.depth = s.depth AND u.path = s.path
+    """,
 }
