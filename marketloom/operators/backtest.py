@@ -14,8 +14,11 @@ from pyspark.sql import types as T
 from marketloom.functions.batches import doubles, series_cuts
 from marketloom.functions.windows import growth, running
 from marketloom.schemas import HOLD, STOP_LOSS, TAKE_PROFIT
+from marketloom.session import shared_folder
 
 PROBABILITY = "prob_trade_success"
+
+
 @dataclass
 class OpenTrade:
     """The open trade of a series: where it began, its deadline and the middle of the last bar seen in its window."""
@@ -35,9 +38,11 @@ class Walker:
         self.last = -1
 
     def _expired(self, at: int) -> tuple:
+        """The end of a trade at its deadline; one whose bar there has no price ends at its own price."""
         t = self.open
-        ret = t.middle / t.price - 1 if t.price > 1e-12 else 0.0
-        return t.entry, at, t.price, t.middle, ret, False
+        middle = t.middle if np.isfinite(t.middle) else t.price
+        ret = middle / t.price - 1 if t.price > 1e-12 else 0.0
+        return t.entry, at, t.price, middle, ret, False
 
     def feed(self, i: np.ndarray, close: np.ndarray, high: np.ndarray, low: np.ndarray, middle: np.ndarray, signal: np.ndarray) -> list[tuple]:
         """Trades that end in these bars. Missing prices hit nothing."""
@@ -77,19 +82,25 @@ def numbered(bars: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return bars.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)) - 1)
 
 
+def middle_price() -> Column:
+    """The middle of high and low where both are finite numbers, else a finite close, else null."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return F.when(finite("high") & finite("low"), (F.col("high") + F.col("low")) / 2).when(finite("close"), F.col("close"))
+
+
 def trades(bars: DataFrame, keys: list[str], threshold: Column | str, hold: int = HOLD, profit: float = TAKE_PROFIT, stop: float = STOP_LOSS) -> DataFrame:
     """(keys, entry_i, exit_i, entry_price, exit_price, trade_return, hit) for each closed trade.
 
     bars: keys, i, close, high, low, prob_trade_success, one series for each key. At most one trade
     is open: a probability over the threshold opens one at the close or renews its deadline of hold
     bars; the profit is tested before the stop from the next bar on, a trade past its deadline ends
-    at the middle of the deadline's bar (or its close), one left open at the series' end likewise.
+    at the middle of the deadline's bar (or its close, or its own price where the bar has none), one
+    left open at the series' end likewise.
     Series come sorted, batch after batch, and leave one open trade as state between batches.
     """
     level = F.col(threshold) if isinstance(threshold, str) else threshold
     signal = F.coalesce(F.col(PROBABILITY) > level, F.lit(False))
-    middle = F.coalesce((F.col("high") + F.col("low")) / 2, "close")
-    rows = bars.select(*keys, "i", "close", "high", "low", middle.alias("__middle"), signal.alias("__signal"))
+    rows = bars.select(*keys, "i", "close", "high", "low", middle_price().alias("__middle"), signal.alias("__signal"))
     own = [rows.schema[k] for k in keys]
     types = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
     names = ["entry_i", "exit_i", "entry_price", "exit_price", "trade_return", "hit"]
@@ -122,6 +133,57 @@ def trades(bars: DataFrame, keys: list[str], threshold: Column | str, hold: int
     return rows.repartition(*keys).sortWithinPartitions(*keys, "i").mapInArrow(walk, T.StructType([*own, *fields]))
 
 
+def trades_at(bars: DataFrame, keys: list[str], levels: list[float], hold: int = HOLD, profit: float = TAKE_PROFIT, stop: float = STOP_LOSS) -> DataFrame:
+    """(keys, threshold, entry_ts, trade_return, hit): the trades of each series at every one of several thresholds.
+
+    A series is dealt out, sorted (by ts, and by row_seq where there is one) and read once, however many
+    thresholds there are: one open trade for each of them is the state between batches. The rule is that of trades().
+    """
+    order = ["ts", *(c for c in ("row_seq",) if c in bars.columns)]
+    rows = bars.select(*keys, *order, "close", "high", "low", middle_price().alias("__middle"), F.col(PROBABILITY).cast("double").alias("__p"))
+    own = [rows.schema[k] for k in keys]
+    schema = T.StructType([*own, T.StructField("threshold", T.DoubleType()), rows.schema["ts"], T.StructField("trade_return", T.DoubleType()), T.StructField("hit", T.BooleanType())])
+    names = [*keys, "threshold", "ts", "trade_return", "hit"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, walkers, seen = None, [], 0
+        # the instants of the bars in which open trades began
+        began: dict[int, int] = {}
+        for batch in batches:
+            found: list[tuple] = []
+            stamps = batch.column("ts").cast(pa.int64()).to_pylist()
+            values = doubles(batch, "close", "high", "low", "__middle")
+            p = np.nan_to_num(doubles(batch, "__p")[0], nan=-np.inf)
+            for lo, hi in series_cuts(batch, keys):
+                key = tuple(batch.column(k)[lo].as_py() for k in keys)
+                if key != now:
+                    found += ends(now, walkers, began)
+                    now, walkers, seen, began = key, [Walker(hold, profit, stop) for _ in levels], 0, {}
+                at = np.arange(seen, seen + hi - lo)
+                instant = lambda i, lo=lo, seen=seen: began[i] if i < seen else stamps[lo + i - seen]  # noqa: B023, E731
+                for level, walker in zip(levels, walkers, strict=True):
+                    found += [(*now, level, instant(t[0]), t[4], t[5]) for t in walker.feed(at, *(v[lo:hi] for v in values), p[lo:hi] > level)]
+                began = {w.open.entry: instant(w.open.entry) for w in walkers if w.open}
+                seen += hi - lo
+            yield packed(batch, found)
+        if now is not None:
+            yield packed(batch, ends(now, walkers, began))
+
+    def ends(now: tuple | None, walkers: list[Walker], began: dict[int, int]) -> list[tuple]:
+        return [(*now, level, began[t[0]], t[4], t[5]) for level, w in zip(levels, walkers, strict=True) for t in w.finish()] if now is not None else []
+
+    def packed(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        kinds = [batch.schema.field(k).type for k in keys]
+        columns = list(zip(*found, strict=True)) or [()] * len(names)
+        types = [*kinds, pa.float64(), pa.int64(), pa.float64(), pa.bool_()]
+        arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+        arrays[len(keys) + 1] = arrays[len(keys) + 1].cast(batch.schema.field("ts").type)
+        return pa.RecordBatch.from_arrays(arrays, names)
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.mapInArrow(walk, schema).withColumnRenamed("ts", "entry_ts")
+
+
 def flagged(bars: DataFrame, found: DataFrame, keys: list[str], threshold: Column | str) -> DataFrame:
     """Bars with signal, strategy_return at the entry's bar, entry and exit flags and prices where flagged."""
     level = F.col(threshold) if isinstance(threshold, str) else threshold
@@ -135,7 +197,11 @@ def flagged(bars: DataFrame, found: DataFrame, keys: list[str], threshold: Colum
 
 def equity(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, ts, portfolio_return, cum_strategy_return): mean return of all symbols at each instant, compounded; 0 from a total loss on."""
-    means = rows.groupBy(*keys, "ts").agg(F.avg("strategy_return").alias("portfolio_return"))
+    return compounded(rows.groupBy(*keys, "ts").agg(F.avg("strategy_return").alias("portfolio_return")), keys)
+
+
+def compounded(means: DataFrame, keys: list[str]) -> DataFrame:
+    """Instants' portfolio returns with their running product; 0 from a total loss on."""
     r = F.col("portfolio_return")
     out = running(means, keys, {"__logs": (F.sum, F.when(r > -1, F.log1p(r)).otherwise(0.0)), "__lost": (F.max, (r <= -1).cast("int"))})
     return out.withColumn("cum_strategy_return", F.when(F.col("__lost") == 1, 0.0).otherwise(F.exp("__logs"))).drop("__logs", "__lost")
@@ -167,7 +233,8 @@ def on_market_curve(bars: DataFrame, curve: DataFrame) -> DataFrame:
     joined = bars.join(curve, "ts", "left")
     filled = F.coalesce(
         F.last("market", ignorenulls=True).over(forth.rowsBetween(Window.unboundedPreceding, 0)),
-        F.first("market", ignorenulls=True).over(forth.rowsBetween(0, Window.unboundedFollowing)),
+        # the next value, looked for backwards so that the frame only grows
+        F.last("market", ignorenulls=True).over(Window.partitionBy("symbol").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)),
         F.lit(1.0),
     )
     out = joined.withColumn("cum_market_return", filled)
@@ -212,6 +279,26 @@ def backtest(bars: DataFrame, threshold: Column | str = "threshold", keys: list[
     return curve.join(metrics).join(market).na.fill(METRICS)
 
 
+def grid_backtest(bars: DataFrame, keys: list[str], levels: list[float]) -> DataFrame:
+    """The metrics of backtest() for each key and each of several thresholds, in one pass over the bars.
+
+    Trades are few beside bars: they are written once, and equity, drawdown and metrics come from them.
+    An instant's portfolio return is the sum of the trades that begin there over its number of bars;
+    instants without one leave the curve as it is, so only a key's first instant stands for them.
+    """
+    spark = bars.sparkSession
+    shared_folder(spark)
+    found = trades_at(bars, [*keys, "symbol"], levels).checkpoint()
+    groups = [*keys, "threshold"]
+    instants = bars.groupBy(*keys, "ts").agg(F.count("*").alias("__n"))
+    sums = found.groupBy(*groups, F.col("entry_ts").alias("ts")).agg(F.sum("trade_return").alias("__sum"))
+    means = sums.join(instants, [*keys, "ts"]).select(*groups, "ts", (F.col("__sum") / F.col("__n")).alias("portfolio_return"))
+    first = with_threshold(bars.groupBy(*keys).agg(F.min("ts").alias("ts")), levels).select(*groups, "ts", F.lit(0.0).alias("portfolio_return"))
+    whole = means.unionByName(first).groupBy(*groups, "ts").agg(F.sum("portfolio_return").alias("portfolio_return"))
+    curve = drawdown(compounded(whole, groups), groups)
+    return curve.join(trade_metrics(found, groups), groups, "left").join(market_growth(bars, keys), keys).na.fill(METRICS)
+
+
 def with_threshold(bars: DataFrame, thresholds: list[float]) -> DataFrame:
     """Each bar once for each threshold: the grid is a small literal array, exploded where the bars are."""
     return bars.withColumn("threshold", F.explode(F.array(*(F.lit(t) for t in thresholds))))

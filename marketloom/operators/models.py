@@ -99,25 +99,28 @@ def prediction_table(model: PipelineModel, rows: DataFrame, actual: str, band: f
     return model.transform(rows).select("symbol", "ts", p.alias("predicted_return"), sign.alias("signal"), F.col(actual).alias("actual_return"))
 
 
-def experiment_record(model: str, symbol: str, symbols: list[str], errors: DataFrame, summary: DataFrame, best: DataFrame, features: int) -> DataFrame:
-    """One row of 22 fields: what was run, its errors, the summary over splits at the default threshold and the best grid row.
+#: Fields of an experiment's record and what of the summary and of the best grid row they hold (fixed values).
+SUMMED = {
+    "avg_strategy_cum_return": "cum_strategy_return", "avg_market_return": "cum_market_return", "avg_strategy_directional_accuracy": "directional_accuracy_strategy",
+    "strategy_total_trades": "strategy_total_trades", "strategy_total_hits": "strategy_total_hits", "avg_win_rate": "avg_win_rate", "avg_profit_factor": "avg_profit_factor", "avg_max_drawdown": "avg_max_drawdown",
+}
+CHOSEN = {
+    "threshold": "best_threshold", "avg_cum_return": "opt_avg_cum_return", "avg_cum_market_return": "opt_avg_cum_market_return",
+    "avg_profit_factor": "opt_avg_profit_factor", "avg_win_rate": "opt_avg_win_rate", "total_trades": "opt_total_trades",
+}
 
-    errors: mae, directional_accuracy. summary and best: rows of the threshold grid; best may be empty.
+
+def experiment_record(model: str, symbol: str, symbols: list[str], summary: DataFrame, best: DataFrame, features: int) -> DataFrame:
+    """One row of 22 fields: what was run, its mean errors, the summary at the best threshold and that threshold's grid row.
+
+    summary: of experiments.summary(). best: the chosen row of the threshold grid; it may be empty.
     """
-    mean = {
-        "avg_cum_return": "cum_strategy_return", "avg_cum_market_return": "cum_market_return", "avg_directional_accuracy_strategy": "directional_accuracy_strategy",
-        "total_trades": "strategy_total_trades", "total_hits": "strategy_total_hits", "avg_win_rate": "avg_win_rate", "avg_profit_factor": "avg_profit_factor", "avg_max_drawdown": "avg_max_drawdown",
-    }
-    chosen = {
-        "threshold": "best_threshold", "avg_cum_return": "opt_avg_cum_return", "avg_cum_market_return": "opt_avg_cum_market_return",
-        "avg_profit_factor": "opt_avg_profit_factor", "avg_win_rate": "opt_avg_win_rate", "total_trades": "opt_total_trades",
-    }
-    head = errors.select(
+    head = summary.select(
         F.lit(model).alias("model"), F.lit(symbol).alias("symbol"), F.lit(len(symbols)).alias("n_symbols"), F.lit(",".join(symbols)).alias("symbols"),
-        F.round("mae", 4).alias("mae"), F.round("directional_accuracy", 4).alias("directional_accuracy"), F.lit(features).alias("features"),
+        F.round("avg_mae", 4).alias("mae"), F.round("avg_directional_accuracy", 4).alias("directional_accuracy"), F.lit(features).alias("features"),
+        *(F.col(c).alias(n) for c, n in SUMMED.items()), F.col("avg_market_return").alias("cum_market_return_pooled_eqw"),
     )
-    own = summary.select(*(F.col(c).alias(n) for c, n in mean.items()), F.col("avg_cum_market_return").alias("cum_market_return_pooled_eqw"))
-    return head.join(own, F.lit(True), "left").join(best.select(*(F.col(c).alias(n) for c, n in chosen.items())), F.lit(True), "left")
+    return head.join(best.select(*(F.col(c).alias(n) for c, n in CHOSEN.items())), F.lit(True), "left")
 
 
 def logged(record: DataFrame, now: datetime.datetime) -> DataFrame:

@@ -65,11 +65,12 @@ def summary_means(summary: DataFrame) -> DataFrame:
 
 def symbol_curves(rows: DataFrame) -> DataFrame:
     """(symbol, ts, strategy, market): each symbol's compounded returns and its close over the first known one, gaps filled."""
-    back = Window.partitionBy("symbol").orderBy("ts").rowsBetween(0, Window.unboundedFollowing)
+    # the next value, looked for backwards so that the frame only grows
+    back = Window.partitionBy("symbol").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = F.first("close", ignorenulls=True).over(whole)
     normed = rows.withColumn("__n", F.when(first > 1e-12, F.col("close") / first).otherwise(1.0))
-    market = F.coalesce(F.last("__n", ignorenulls=True).over(up_to_now()), F.first("__n", ignorenulls=True).over(back), F.lit(1.0))
+    market = F.coalesce(F.last("__n", ignorenulls=True).over(up_to_now()), F.last("__n", ignorenulls=True).over(back), F.lit(1.0))
     return normed.select("symbol", "ts", growth(F.coalesce("strategy_return", F.lit(0.0)), up_to_now()).alias("strategy"), market.alias("market"))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.operators.backtest import backtest, with_threshold
+from marketloom.operators.backtest import grid_backtest
 
 GRID = [round(0.05 * i, 2) for i in range(1, 17)]
 OBJECTIVES = ["avg_cum_return", "median_cum_return", "maximin_cum_return", "risk_penalty", "calmar_proxy"]
@@ -18,15 +18,16 @@ TRADING_DAYS = 42
 
 
 def grid_metrics(tests: DataFrame, thresholds: list[float] | None = None) -> DataFrame:
-    """(split, threshold, metrics) of each split's test bars; bars meet a literal list of thresholds."""
-    return backtest(with_threshold(tests, thresholds or GRID), "threshold", ["split", "threshold"])
+    """(split, threshold, metrics) of each split's test bars, all thresholds in one pass."""
+    return grid_backtest(tests, ["split"], thresholds or GRID)
 
 
 def mean_errors(tests: DataFrame, thresholds: list[float] | None = None, actual: str = "trade_success") -> DataFrame:
     """(threshold, avg_mae_at_threshold): mean over splits of the mean |actual - (probability > threshold)|."""
-    rows = with_threshold(tests, thresholds or GRID)
-    error = F.avg(F.abs(F.col(actual) - (F.col("prob_trade_success") > F.col("threshold")).cast("int")))
-    return rows.groupBy("threshold", "split").agg(error.alias("e")).groupBy("threshold").agg(F.avg("e").alias(LESS_IS_BETTER))
+    levels = thresholds or GRID
+    error = lambda t: F.avg(F.abs(F.col(actual) - (F.col("prob_trade_success") > t).cast("int")))
+    each = tests.groupBy("split").agg(F.array(*(F.struct(F.lit(t).alias("threshold"), error(t).alias("e")) for t in levels)).alias("a"))
+    return each.select(F.inline("a")).groupBy("threshold").agg(F.avg("e").alias(LESS_IS_BETTER))
 
 
 def finite(c: str) -> Column:
@@ -108,9 +109,9 @@ def best_joint(pool: DataFrame, metrics: list[str] | None = None, k_start: int =
     return within.orderBy("mean_rank", F.when(F.col("k").isNotNull(), -F.col("selection_score")), "threshold").limit(1)
 
 
-def optimise(tests: DataFrame, objective: str = "calmar_proxy", joint: bool = False, thresholds: list[float] | None = None, least_trades: int = 5, **limits: float) -> tuple[DataFrame, DataFrame]:
-    """(grid, best row)."""
-    grid = over_splits(grid_metrics(tests, thresholds)).withColumn("selection_score", selection_score(objective))
+def optimise(tests: DataFrame, objective: str = "calmar_proxy", joint: bool = False, thresholds: list[float] | None = None, least_trades: int = 5, metrics: DataFrame | None = None, **limits: float) -> tuple[DataFrame, DataFrame]:
+    """(grid, best row). metrics: those of grid_metrics() where they are there already."""
+    grid = over_splits(grid_metrics(tests, thresholds) if metrics is None else metrics).withColumn("selection_score", selection_score(objective))
     grid = grid.join(mean_errors(tests, thresholds), "threshold", "left")
     pool = eligible(grid, trade_floor(tests, least_trades), **limits)
     return grid, best_joint(pool) if joint else best_single(pool)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.operators import models, vectors
+from marketloom.operators import experiments, models, vectors
 from marketloom.operators.features import numeric, window_features
 from marketloom.operators.labels import trade_labels, walk_forward
 from marketloom.plans.context import LABELS
@@ -25,13 +25,20 @@ def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walk_forward_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # each fit reads its rows many times: they are computed once, in the shared folder
+    # the rounds of the fit read their rows again: they are computed once, in the shared folder
     shared_folder(spark)
-    splits = _splits(spark, sf_dir).checkpoint()
-    scored, _ = models.walk_forward_scores(splits, INPUTS, lambda: models.estimator("logistic_regression", INPUTS, scaled=True))
+    scored = experiments.logistic_scores(_splits(spark, sf_dir).checkpoint(), INPUTS)
     return scored.select("split", "symbol", F.date_format("ts", "yyyy-MM-dd").alias("day"), "trade_success", "prob_trade_success")
 
 
+def walk_forward_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits, scores, errors, the threshold grid and the summary at the best threshold, with the chosen row's place in it."""
+    found = experiments.run_experiment(_splits(spark, sf_dir), INPUTS)
+    whole = found.summary.join(found.best.select(F.col("threshold").alias("best_threshold"), "selection_score", "tier"))
+    numbers = [c for c, t in whole.dtypes if t == "double"]
+    return whole.select(*(c for c in whole.columns if c not in numbers), *rounded(numbers))
+
+
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = trade_labels(tables.bars_daily(spark, sf_dir))
     return models.evaluation(scored).select(*rounded(["mae", "directional_accuracy", "accuracy", "prob_min", "prob_max", "prob_mean"]))
@@ -58,6 +65,7 @@ def streamed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "m17_walk_forward_logistic": walk_forward_logistic,
+    "m17_experiment": walk_forward_experiment,
     "m12_evaluation": evaluation,
     "d3_most_similar": similar,
     "t1_streamed_prices": streamed_prices,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.windows import last_rows
 from marketloom.operators import backtest as trading
-from marketloom.operators import dataset, models, scanner, thresholds
+from marketloom.operators import dataset, experiments, models, scanner
 from marketloom.operators.features import feature_tables, latest, numeric
 from marketloom.operators.labels import trade_labels, walk_forward
 from marketloom.plans import sql
@@ -159,10 +159,11 @@ def split_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of an experiment whose scores are the probabilities of the table."""
     tests = _tests(spark, sf_dir)
-    grid, best = thresholds.optimise(tests)
+    found = experiments.evaluated(tests)
     symbols = sorted(r["symbol"] for r in tests.select("symbol").distinct().collect())
-    out = models.experiment_record("random_forest", "pooled", symbols, models.evaluation(tests), grid.where(F.col("threshold") == LEVEL), best, 71)
+    out = models.experiment_record("table_probability", "pooled", symbols, found.summary, found.best, 1)
     numbers = [c for c, t in out.dtypes if t == "double"]
     return out.select(*(c for c in out.columns if c not in numbers), *rounded(numbers))
 
@@ -247,16 +248,18 @@ ORACLE_SQL = {
     "m09_stored_model": f"WITH RECURSIVE {_GRID} SELECT count(*) AS bars, count(*) AS equal FROM tests WHERE split = 0",
     "b21_split_metrics": f"""WITH RECURSIVE {_GRID} SELECT CAST(split AS INTEGER) AS split, strategy_trade_count, round(cum_return, 6) AS cum_return, round(cum_market_return * 2, 6) AS cum_market_return,
         round(win_rate, 6) AS win_rate, round(max_drawdown, 6) AS max_drawdown FROM metrics WHERE threshold = {LEVEL}""",
-    "m18_experiment": f"""WITH RECURSIVE {_GRID}, e AS (SELECT avg(abs(prob_trade_success - trade_success)) AS mae, avg(CAST(sign(prob_trade_success) = sign(trade_success) AS INTEGER)) AS da,
-          count(DISTINCT symbol) AS n_symbols, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS symbols FROM tests),
+    "m18_experiment": f"""WITH RECURSIVE {_GRID}, said AS (SELECT *, CAST(prob_trade_success > 0.5 AS INTEGER) AS c FROM tests),
+        own AS (SELECT split, avg(abs(c - trade_success)) AS mae, avg(CAST(sign(c) = sign(trade_success) AS INTEGER)) AS da FROM said GROUP BY split),
+        e AS (SELECT avg(mae) AS mae, avg(da) AS da FROM own),
+        names AS (SELECT count(DISTINCT symbol) AS n_symbols, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS symbols FROM tests),
         hits_ AS (SELECT threshold, CAST(sum(strategy_directional_hits) AS BIGINT) AS total_hits FROM metrics GROUP BY threshold),
         t AS (SELECT whole.*, CASE WHEN total_trades >= min_trades THEN 0 ELSE 2 END AS tier FROM whole, floor_),
         best AS (SELECT * FROM t ORDER BY tier, {_CALMAR} DESC, threshold LIMIT 1)
-        SELECT 'random_forest' AS model, 'pooled' AS symbol, CAST(n_symbols AS INTEGER) AS n_symbols, symbols, CAST(71 AS INTEGER) AS features, h.total_hits AS strategy_total_hits,
-          s.total_trades AS strategy_total_trades, b.total_trades AS opt_total_trades, round(mae, 4) AS mae, round(da, 4) AS directional_accuracy,
-          round(s.avg_cum_return, 6) AS cum_strategy_return, round(s.avg_cum_market_return, 6) AS cum_market_return, round(s.avg_cum_market_return, 6) AS cum_market_return_pooled_eqw,
-          round(s.avg_directional_accuracy_strategy, 6) AS directional_accuracy_strategy, round(s.avg_win_rate, 6) AS avg_win_rate, round(s.avg_profit_factor, 6) AS avg_profit_factor,
-          round(s.avg_max_drawdown, 6) AS avg_max_drawdown, round(b.threshold, 6) AS best_threshold, round(b.avg_cum_return, 6) AS opt_avg_cum_return,
+        SELECT 'table_probability' AS model, 'pooled' AS symbol, CAST(n_symbols AS INTEGER) AS n_symbols, symbols, CAST(1 AS INTEGER) AS features, h.total_hits AS strategy_total_hits,
+          b.total_trades AS strategy_total_trades, b.total_trades AS opt_total_trades, round(mae, 4) AS mae, round(da, 4) AS directional_accuracy,
+          round(b.avg_cum_return, 6) AS cum_strategy_return, round(b.avg_cum_market_return, 6) AS cum_market_return, round(b.avg_cum_market_return, 6) AS cum_market_return_pooled_eqw,
+          round(coalesce(100.0 * h.total_hits / nullif(b.total_trades, 0), 0), 6) AS directional_accuracy_strategy, round(b.avg_win_rate, 6) AS avg_win_rate, round(b.avg_profit_factor, 6) AS avg_profit_factor,
+          round(b.avg_max_drawdown, 6) AS avg_max_drawdown, round(b.threshold, 6) AS best_threshold, round(b.avg_cum_return, 6) AS opt_avg_cum_return,
           round(b.avg_cum_market_return, 6) AS opt_avg_cum_market_return, round(b.avg_profit_factor, 6) AS opt_avg_profit_factor, round(b.avg_win_rate, 6) AS opt_avg_win_rate
-        FROM e, whole s JOIN hits_ h USING (threshold), best b WHERE s.threshold = {LEVEL}""",
+        FROM e, names, best b JOIN hits_ h USING (threshold)""",
 }

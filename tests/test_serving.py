@@ -106,10 +106,10 @@ def test_models_are_stored(spark, tmp_path):
 
 
 def test_an_experiment_without_a_best_row(spark):
-    grid = "threshold double, avg_cum_return double, avg_cum_market_return double, avg_directional_accuracy_strategy double, total_trades long, total_hits long, avg_win_rate double, avg_profit_factor double, avg_max_drawdown double"
-    errors = spark.createDataFrame([(0.123456, 0.5)], "mae double, directional_accuracy double")
-    summary = spark.createDataFrame([(0.33, 1.1, 1.0, 50.0, 10, 5, 0.5, 2.0, -0.1)], grid)
-    row = models.experiment_record("random_forest", "pooled", ["A", "B"], errors, summary, summary.limit(0), 71).collect()[0]
+    summary = "avg_mae double, avg_directional_accuracy double, avg_strategy_cum_return double, avg_market_return double, avg_strategy_directional_accuracy double, strategy_total_trades long, strategy_total_hits long, avg_win_rate double, avg_profit_factor double, avg_max_drawdown double"
+    best = "threshold double, avg_cum_return double, avg_cum_market_return double, avg_profit_factor double, avg_win_rate double, total_trades long"
+    one = spark.createDataFrame([(0.123456, 0.5, 1.1, 1.0, 50.0, 10, 5, 0.5, 2.0, -0.1)], summary)
+    row = models.experiment_record("random_forest", "pooled", ["A", "B"], one, spark.createDataFrame([], best), 71).collect()[0]
     assert len(row) == 22 and row.mae == 0.1235 and row.symbols == "A,B" and row.strategy_total_hits == 5 and row.best_threshold is None
     assert models.logged(spark.createDataFrame([tuple(row)[:2]], "a string, b string"), DAY).columns[0] == "logged_at"
 
