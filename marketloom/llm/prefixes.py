@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.shared import join_counted, materialise, written
@@ -43,6 +43,10 @@ def ordered_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tu
     return numbered.join(before, ["conv", "cell", "none"]).select("conv", (F.col("before") + F.col("at") - 1).alias("pos"), "role", "text")
 
 
+def _two_to(power: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), power)
+
+
 def _blocks(turns: DataFrame, lengths: DataFrame) -> tuple[DataFrame, int]:
     """(level, conv, lo, h1, h2, bytes, n) of the blocks of 2^level turns from turn lo on, and the number of levels.
 
@@ -58,10 +62,10 @@ def _blocks(turns: DataFrame, lengths: DataFrame) -> tuple[DataFrame, int]:
         return own.select(F.lit(0).alias("level"), "conv", F.col("pos").alias("lo"), "h1", "h2", "bytes", F.lit(0).cast("long").alias("n")), 0
     levels = (int(longest) + 1).bit_length()
     each = own.unionByName(ends).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-    size = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))
+    size = _two_to(F.col("level"))
     lo = F.col("pos") - F.col("pos") % size
     summed = each.groupBy("level", "conv", lo.alias("lo")).agg(F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"), F.min("bytes").alias("bytes"), F.count("*").alias("n"))
-    return written(summed.where(F.col("n") == size).repartition("level", "conv")), levels
+    return written(summed.where(F.col("n") == size).repartition("level", "conv"), "level"), levels
 
 
 def prefix_trie(turns: DataFrame, convs: DataFrame) -> Trie:
@@ -87,16 +91,17 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> Trie:
     lengths = materialise(convs.select("conv").distinct().join(counted, "conv", "left").select("conv", F.coalesce("n", F.lit(0)).alias("turns")))
     blocks, levels = _blocks(turns, lengths)
     at = lambda level: blocks.where(F.col("level") == level).drop("level", "n")
-    one = materialise(_distinct(at, levels, lengths))
+    one = materialise(_distinct(blocks, levels, lengths))
     first = lengths.agg(F.min("conv")).first()[0]
     path = F.array().cast("array<long>").alias("path")
     parts = one.where("conv = copy_of").select("conv", F.lit(0).cast("long").alias("lo"), F.lit(first).cast("long").alias("root"), "n", (F.col("turns") + 1).alias("length"), path)
+    items = blocks.where("level = 0").count()
     for level in range(levels, 0, -1):
-        parts = materialise(_cut(parts, at(level - 1), 1 << (level - 1)))
+        parts = _cut(parts, at(level - 1), _two_to(levels - 1 - F.size("path")), items)
     named = parts.join(at(0), ["conv", "lo"])
     end = one.where("conv = copy_of").select("conv", F.col("turns").alias("lo"), F.lit(True).alias("is_end"))
     named = materialise(named.join(end, ["conv", "lo"], "left"))
-    groups = named.where("is_end is null").groupBy("lo", "root", "h1", "h2").agg(F.min("conv").alias("conv_id"), F.sum("n").alias("n_convs"), F.min("bytes").alias("bytes"), F.min("path").alias("path"))
+    groups = named.where("is_end is null").groupBy("lo", "root", "h1", "h2").agg(F.min("conv").alias("conv_id"), F.sum("n").alias("n_convs"), F.min("bytes").alias("bytes"), F.min(F.struct("conv", "path"))["path"].alias("path"))
     nodes = groups.select("conv_id", (F.col("lo") + 1).alias("depth"), F.col("root").alias("parent_conv_id"), "n_convs", ((F.col("n_convs") - 1) * F.col("bytes")).alias("saved"), "path")
     nodes = materialise(nodes)
     ends = named.where("is_end").select(F.col("conv").alias("copy_of"), F.col("root").alias("conv_id"), F.col("lo").alias("depth"), "n")
@@ -105,42 +110,38 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> Trie:
     return Trie(_grafted(nodes, levels, first, total), ends)
 
 
-def _distinct(at: Callable[[int], DataFrame], levels: int, lengths: DataFrame) -> DataFrame:
+def _distinct(blocks: DataFrame, levels: int, lengths: DataFrame) -> DataFrame:
     """(conv, turns, copy_of, n): the smallest conversation with the same turns, and how many there are.
 
-    A conversation is known by its length and its blocks of the levels that its length is made of.
+    A conversation is known by its length and the blocks, one for each bit of the length, that it is made of.
     """
     size = F.col("turns") + 1
-    whole = None
-    for level in range(levels):
-        bit = 1 << level
-        used = lengths.where(size.bitwiseAND(F.lit(bit)) != 0).select("conv", (size - size % (2 * bit)).alias("lo"))
-        found = used.join(at(level), ["conv", "lo"]).select("conv", "h1", "h2")
-        whole = found if whole is None else whole.unionByName(found)
-    if whole is None:
-        return lengths.select("conv", "turns", F.col("conv").alias("copy_of"), F.lit(1).cast("long").alias("n"))
-    known = lengths.join(whole.groupBy("conv").agg(F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")), "conv")
-    known = materialise(known)
+    used = lengths.select("conv", size.alias("size"), F.explode(F.sequence(F.lit(0), F.lit(max(0, levels - 1)))).alias("level"))
+    bit = _two_to(F.col("level"))
+    used = used.where(F.col("size").bitwiseAND(bit) != 0).select("level", "conv", (F.col("size") - F.col("size") % (2 * bit)).alias("lo"))
+    whole = used.join(blocks, ["level", "conv", "lo"]).groupBy("conv").agg(F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"))
+    known = materialise(lengths.join(whole, "conv"))
     same = materialise(known.groupBy("turns", "h1", "h2").agg(F.min("conv").alias("copy_of"), F.count("*").alias("k"), F.count("*").alias("n")))
     return join_counted(known, same, ["turns", "h1", "h2"], known.count(), "k").select("conv", "turns", "copy_of", "n")
 
 
-def _cut(parts: DataFrame, halves: DataFrame, half: int) -> DataFrame:
-    """One level of the recursion: parts of at most twice half turns to parts of at most half.
+def _cut(parts: DataFrame, halves: DataFrame, half: Column, items: int) -> DataFrame:
+    """One level of the recursion: parts of less than twice half turns to parts of at most half.
 
     parts: conv, the first turn lo, the name of the prefix before it (root), n conversations, length and
     the names of the cut prefixes that it lies below, one a level (null where it lies above).
     """
-    longer, add = F.col("length") >= half, lambda name: F.concat("path", F.array(name.cast("long")))
-    active = parts.where(longer).join(halves, ["conv", "lo"])
+    sized, add = parts.withColumn("half", half), lambda name: F.concat("path", F.array(name.cast("long"))).alias("path")
+    active = materialise(sized.where("length >= half").join(halves, ["conv", "lo"]))
     key = ["lo", "root", "h1", "h2"]
-    cuts = active.groupBy(*key).agg(F.min("conv").alias("cut"), F.sum("n").alias("n"), F.count("*").alias("k"), F.min("path").alias("path"))
-    upper = cuts.select(F.col("cut").alias("conv"), "lo", "root", "n", F.lit(half).cast("long").alias("length"), add(F.lit(None)).alias("path"))
-    lower = active.where(F.col("length") > half)
-    below = join_counted(lower, cuts.select(*key, "cut", "k"), key, parts.count(), "k")
-    below = below.select("conv", (F.col("lo") + half).alias("lo"), F.col("cut").alias("root"), "n", (F.col("length") - half).alias("length"), add(F.col("cut")).alias("path"))
-    rest = parts.where(~longer).withColumn("path", add(F.lit(None)))
-    return upper.unionByName(below).unionByName(rest)
+    cuts = materialise(active.groupBy(*key).agg(F.min("conv").alias("cut"), F.sum("n").alias("members"), F.count("*").alias("k")))
+    known = join_counted(active, cuts, key, items, "k")
+    upper = F.struct("conv", "lo", "root", F.col("members").alias("n"), F.col("half").alias("length"), add(F.lit(None)))
+    lower = F.struct("conv", (F.col("lo") + F.col("half")).alias("lo"), F.col("cut").alias("root"), "n", (F.col("length") - F.col("half")).alias("length"), add(F.col("cut")))
+    both = F.array(F.when(F.col("conv") == F.col("cut"), upper), F.when(F.col("length") > F.col("half"), lower))
+    new = known.select(F.explode(both).alias("p")).where("p is not null").select("p.*")
+    rest = sized.where("length < half").select("conv", "lo", "root", "n", "length", add(F.lit(None)))
+    return materialise(new.unionByName(rest))
 
 
 def _grafted(nodes: DataFrame, levels: int, first: int | None, total: int) -> DataFrame:
@@ -149,13 +150,15 @@ def _grafted(nodes: DataFrame, levels: int, first: int | None, total: int) -> Da
     grown = nodes.join(children, ["conv_id", "depth"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)).cast("long"))
     grown = materialise(grown.withColumn("n_leaves", (F.col("n_children") == 0).cast("long")))
     every = grown.agg(F.sum("n_leaves"), F.sum("saved"), F.sum((F.col("depth") == 1).cast("long"))).first()
-    for at, level in enumerate(range(levels, 0, -1)):
-        place = F.col("depth") - 1
-        cut = place - place % (1 << (level - 1))
-        sums = grown.where(F.col("path")[at].isNotNull()).groupBy(F.col("path")[at].alias("conv_id"), cut.alias("depth")).agg(F.sum("n_leaves").alias("more_leaves"), F.sum("saved").alias("more_saved"))
+    place, half = F.col("depth") - 1, _two_to(F.size("path") - 1)
+    plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
+    for _ in range(levels):
+        top = F.element_at("path", 1)
+        sums = grown.where(top.isNotNull()).groupBy(top.alias("conv_id"), (place - place % half).alias("depth"))
+        sums = sums.agg(F.sum("n_leaves").alias("more_leaves"), F.sum("saved").alias("more_saved"))
+        rest = F.slice("path", 2, F.size("path")).alias("path")
         grown = grown.join(sums, ["conv_id", "depth"], "left")
-        plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
-        grown = materialise(grown.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", plus("n_leaves", "more_leaves"), plus("saved", "more_saved"), "path"))
+        grown = materialise(grown.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", plus("n_leaves", "more_leaves"), plus("saved", "more_saved"), rest))
     names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved"]
     if first is None:
         return grown.select(*names)

@@ -44,10 +44,10 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows written as Parquet in the shared folder and read again: later readers take only the columns they need."""
+def written(df: DataFrame, *partitions: str) -> DataFrame:
+    """The rows written as Parquet in the shared folder and read again: later readers take only the columns and partitions they need."""
     folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.partitionBy(*partitions).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
