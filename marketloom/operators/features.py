@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from marketloom.functions.smoothing import with_smoothing
 from marketloom.functions.windows import change, gated, last_rows, rolling_mean, series
 from marketloom.schemas import KEY, PRICES, VALUES, z
+from marketloom.session import shared_folder
+from marketloom.sources.keyed import KeyedStore
 
 
 def numeric(bars: DataFrame) -> DataFrame:
@@ -90,6 +92,23 @@ def feature_tables(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
     return features, row_z_scores(features, VALUES).select(*KEY, *z(VALUES))
 
 
+def refill(store: KeyedStore, computed: DataFrame, columns: list[str]) -> int:
+    """Purge stored rows that lack a value and insert the complete computed rows that are not stored; gives the number purged.
+
+    Only symbols with a complete computed row are purged: of all others the stored rows stay as they are.
+    Stored complete rows stay too, whatever was computed (first writer wins).
+    """
+    shared_folder(computed.sparkSession)
+    fresh = complete(computed, columns).checkpoint()
+    symbols = [r["symbol"] for r in fresh.select("symbol").distinct().collect()]
+    lacks = F.lit(False)
+    for c in columns:
+        lacks = lacks | F.col(c).isNull()
+    purged = store.delete(lacks & F.col("symbol").isin(symbols))
+    store.insert(fresh)
+    return purged
+
+
 def parity(features: DataFrame, scores: DataFrame) -> DataFrame:
     """One row: both tables' numbers of rows and how many keys only one of them has."""
     a, b = features.select(*KEY, F.lit(1).alias("a")), scores.select(*KEY, F.lit(1).alias("b"))

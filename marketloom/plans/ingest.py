@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from marketloom.functions import scalars
 from marketloom.operators import backtest as trading
 from marketloom.operators import prices, reports, sentiment, vectors
-from marketloom.operators.features import compute_features
+from marketloom.operators.features import compute_features, refill
 from marketloom.plans import sql
 from marketloom.plans.backtest import _FLAGS
 from marketloom.plans.features import DAY, day, rounded
+from marketloom.schemas import VALUES
 from marketloom.session import shared_folder
 from marketloom.sources import artifacts, keyed, news, tables, universe
 from marketloom.streaming import ingest
@@ -86,16 +87,24 @@ def watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily rows by day, rewritten for the days that arrive anew; then one symbol's rows go."""
-    rows = tables.bars_daily(spark, sf_dir).select("symbol", "ts", F.date_format("ts", "yyyy").alias("year"), "volume", F.lit(1).alias("row_seq"))
-    path = f"{_folder(spark)}/daily"
-    rows.write.partitionBy("year").parquet(path)
-    stored = spark.read.parquet(path).select(rows.columns)
-    again = rows.where("month(ts) = 2 and year >= '1998'").withColumn("volume", F.col("volume") * 2)
-    target = f"{path}-next"
-    keyed.write_last_wins(stored, again, ["symbol", "ts"], target, "year", "row_seq")
-    merged = spark.read.parquet(target)
-    return merged.where("symbol <> 'N05'").groupBy("symbol").agg(F.count("*").alias("bars"), F.sum("volume").alias("volume"))
+    """Daily rows by year: those of some days arrive anew and rewrite their years alone; then one symbol's rows go."""
+    rows = tables.bars_daily(spark, sf_dir).select("symbol", "ts", F.year("ts").alias("year"), "volume", F.lit(1).alias("row_seq"))
+    store = keyed.KeyedStore(spark, f"{_folder(spark)}/daily", ["symbol", "ts"], "year")
+    store.upsert(rows, "row_seq")
+    store.upsert(rows.where("month(ts) = 2 and year >= 1998").withColumn("volume", F.col("volume") * 2), "row_seq")
+    store.delete(F.col("symbol") == "N05")
+    return store.read().groupBy("symbol").agg(F.count("*").alias("bars"), F.sum("volume").alias("volume"))
+
+
+def refilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored features with gaps: rows of a few days lack a value, others are missing; one symbol is not computed anew."""
+    computed = compute_features(tables.bars_daily(spark, sf_dir)).withColumn("year", F.year("ts")).checkpoint()
+    damaged = computed.withColumn("sma_200", F.when(F.dayofmonth("ts") != 7, F.col("sma_200"))).withColumn("close", F.col("close") + F.when(F.dayofmonth("ts") == 9, 1000).otherwise(0))
+    store = keyed.KeyedStore(spark, f"{_folder(spark)}/features", ["symbol", "ts"], "year")
+    store.insert(damaged.where(F.dayofyear("ts") % 5 != 0))
+    purged = refill(store, computed.where("symbol <> 'N05'"), VALUES)
+    out = store.read().groupBy("symbol").agg(F.count("*").alias("bars"), F.round(F.sum("close"), 4).alias("closes"), F.count(F.when(F.col("sma_200").isNull(), 1)).alias("lacking"))
+    return out.withColumn("purged", F.lit(purged).cast("long"))
 
 
 def last_of_instant(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +210,7 @@ def incremental_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "s08_symbol_file": symbol_file, "s04_ticker_news": ticker_news, "s05_article_list": article_list, "s06_filings": filings, "i11_bronze": bronze, "i14_gap_starts": gap_starts,
-    "i07_incomplete": incomplete, "a06_watermarks": watermarks, "i19_daily_upsert": daily_upsert, "u05_last_of_instant": last_of_instant, "k4_stable_order": stable_order,
+    "i07_incomplete": incomplete, "i07_refilled": refilled, "a06_watermarks": watermarks, "i19_daily_upsert": daily_upsert, "u05_last_of_instant": last_of_instant, "k4_stable_order": stable_order,
     "s21_split_artifacts": split_artifacts, "b05_single_equity": single_equity, "x13_trade_rows": trade_rows, "b27_grid_series": grid_series, "f18_decisions": decisions,
     "d1_scored_texts": scored_texts, "d2_embedded_chunks": embedded_chunks, "t2_streamed_again": streamed_again, "t4_incremental_rollup": incremental_rollup,
 }
@@ -232,9 +241,15 @@ ORACLE_SQL = {
         SELECT symbol, count(*) AS rows, strftime(max(ts), '%Y-%m-%d') AS last_day FROM r
         WHERE rn < 200 OR stochastic_k IS NULL OR stochastic_d IS NULL OR bb_pband_20 IS NULL OR volatility_ratio IS NULL GROUP BY symbol""",
     "a06_watermarks": f"WITH {sql.EVENTS} SELECT symbol, strftime(max(published_at), '%Y-%m-%d %H:%M:%S') AS watermark FROM articles GROUP BY symbol",
-    "i19_daily_upsert": f"""WITH {sql.BARS}, y AS (SELECT DISTINCT year(ts) AS y FROM bars WHERE month(ts) = 2 AND year(ts) >= 1998)
-        SELECT symbol, count(*) AS bars, CAST(sum(CASE WHEN month(ts) = 2 THEN volume * 2 ELSE volume END) AS BIGINT) AS volume FROM bars
-        WHERE year(ts) IN (SELECT y FROM y) AND symbol <> 'N05' GROUP BY symbol""",
+    "i19_daily_upsert": f"""WITH {sql.BARS} SELECT symbol, count(*) AS bars, CAST(sum(CASE WHEN month(ts) = 2 AND year(ts) >= 1998 THEN volume * 2 ELSE volume END) AS BIGINT) AS volume
+        FROM bars WHERE symbol <> 'N05' GROUP BY symbol""",
+    "i07_refilled": f"""WITH {sql.BARS}, {sql.window_features("bars")}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM win),
+        k AS (SELECT symbol, ts, close, rn >= 200 AS mean, rn >= 200 AND stochastic_k IS NOT NULL AND stochastic_d IS NOT NULL AND bb_pband_20 IS NOT NULL AND volatility_ratio IS NOT NULL AS whole,
+          dayofyear(ts) % 5 <> 0 AS kept, dayofmonth(ts) = 7 AS hurt, dayofmonth(ts) = 9 AS other FROM r),
+        f AS (SELECT *, kept AND NOT (whole AND NOT hurt) AS lacks, symbol <> 'N05' AND bool_or(whole) OVER (PARTITION BY symbol) AS anew FROM k),
+        o AS (SELECT symbol, close + CASE WHEN other AND kept AND NOT (lacks AND anew) THEN 1000 ELSE 0 END AS close, NOT mean OR hurt AND NOT anew AS no FROM f
+          WHERE CASE WHEN anew THEN kept AND NOT lacks OR whole ELSE kept END)
+        SELECT symbol, count(*) AS bars, round(sum(close), 4) AS closes, count(*) FILTER (no) AS lacking, (SELECT count(*) FROM f WHERE lacks AND anew) AS purged FROM o GROUP BY symbol""",
     "u05_last_of_instant": f"WITH {sql.BARS} SELECT {DAY}, max(symbol) AS symbol FROM bars GROUP BY ts",
     "k4_stable_order": f"WITH {sql.RAW} SELECT symbol, {DAY}, CAST(row_seq AS INTEGER) AS row_seq, CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts, row_seq) - 1 AS INTEGER) AS i FROM raw",
     "s21_split_artifacts": f"""WITH RECURSIVE {_ALL_FLAGS} SELECT CAST(split AS INTEGER) AS split, count(*) AS bars, CAST(sum(entry_trade) AS BIGINT) AS entries, round(sum(strategy_return), 4) AS returns,
