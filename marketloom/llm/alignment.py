@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm import tallies
-from marketloom.llm.packing import WHITE, chunk_starts
+from marketloom.llm.packing import chunk_starts
 from marketloom.llm.shared import bytes_of, id_and_text, materialise, read_bounded, slices, written
 
 #: Chunks that a Python worker remembers in each of two generations, and the longest of them.
@@ -38,16 +38,6 @@ ROOM = 2
 SPACE, LEAD = "▁", "x"
 
 
-class Chunk(NamedTuple):
-    """What a chunk's tokens are: their numbers, the linked pairs (uint32, a << 16 | b) and the groups' text, each group ended by a semicolon."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    pairs: bytes
-    groups: bytes
-
-
 def byte_letters() -> dict[str, int]:
     """The byte that each letter of a byte-level vocabulary stands for: printable Latin-1 is itself, all others follow from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -89,87 +79,96 @@ class Aligner:
         #: A word's marks are aligned apart where no piece of B takes in both.
         self.apart = not any(x.isalpha() and y in ".,!" for x, y in inner)
         self.lead = self.b.encode(LEAD)
-        self.known: dict[bytes, Chunk | None] = {}
-        self.older: dict[bytes, Chunk | None] = {}
+        self.a_text, self.b_text = pa.array(self.a_bytes, pa.large_binary()), pa.array(self.b_bytes, pa.large_binary())
+        #: An id as text: of A before another A id and before B, of B before another B id and at a group's end.
+        self.printed = pa.array([f"{i}{mark}".encode() for i in range(max(len(self.a_bytes), len(self.b_bytes))) for mark in ",|,;"], pa.large_binary())
+        self.known: dict[bytes, tuple[bytes, bytes]] = {}
+        self.older: dict[bytes, tuple[bytes, bytes]] = {}
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[1:-1], 16)]) if self.b.is_byte(i) else piece.replace(SPACE, " ").encode()
 
-    def _fresh(self, parts: list[bytes]) -> list[Chunk | None]:
-        """Chunks that are not remembered; None where the tokens do not give back the text."""
+    def _fresh(self, parts: list[bytes]) -> list[tuple[bytes, bytes]]:
         texts = [p.decode() for p in parts]
-        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        b = [ids[len(self.lead) :] for ids in self.b.encode([LEAD + t for t in texts], num_threads=1)]
-        whole = [b"".join(map(self.a_bytes.__getitem__, x)) == p == b"".join(map(self.b_bytes.__getitem__, y)) for p, x, y in zip(parts, a, b, strict=True)]
-        good = [i for i, ok in enumerate(whole) if ok]
-        out: list[Chunk | None] = [None] * len(parts)
-        if not good:
-            return out
-        flat_a = np.array([x for i in good for x in a[i]], dtype=np.int64)
-        flat_b = np.array([y for i in good for y in b[i]], dtype=np.int64)
-        ends_a, ends_b = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
-        first = np.searchsorted(ends_b, ends_a - self.a_size[flat_a], side="right")
-        links = np.searchsorted(ends_b, ends_a, side="left") - first + 1
-        from_b = np.repeat(first - np.cumsum(links) + links, links) + np.arange(links.sum())
-        pairs = (np.repeat(flat_a, links) << 16 | flat_b[from_b]).astype("<u4").tobytes()
-        shut_a, shut_b = np.isin(ends_a, ends_b, assume_unique=True).tolist(), np.isin(ends_b, ends_a, assume_unique=True).tolist()
-        before = [0, *np.cumsum(links).tolist()]
-        at_a = at_b = 0
-        for i in good:
-            x, y, groups = a[i], b[i], []
-            s, t = at_a, at_b
-            for _ in range(sum(shut_a[at_a : at_a + len(x)])):
-                u, v = shut_a.index(True, s) + 1, shut_b.index(True, t) + 1
-                groups.append(f"{','.join(map(str, x[s - at_a : u - at_a]))}|{','.join(map(str, y[t - at_b : v - at_b]))};")
-                s, t = u, v
-            out[i] = Chunk(len(x), len(y), len(groups), pairs[4 * before[at_a] : 4 * before[at_a + len(x)]], "".join(groups).encode())
-            at_a, at_b = at_a + len(x), at_b + len(y)
-        return out
+        skip = len(self.lead)
+        a = [array("H", e.ids).tobytes() for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        b = [array("H", ids[skip:]).tobytes() for ids in self.b.encode([LEAD + t for t in texts], num_threads=1)]
+        return list(zip(a, b, strict=True))
 
-    def chunks(self, chunks: list[bytes]) -> list[Chunk | None]:
-        """Distinct chunks, aligned."""
+    def chunks(self, chunks: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Ids (16 bits each) of distinct chunks by A and B."""
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        missing = [c for c in chunks if c not in known]
-        split, asked = {}, {}
-        for chunk in missing:
+        found = list(map(known.get, chunks))
+        missing = [at for at, ids in enumerate(found) if ids is None]
+        stems, asked = [], {}
+        for at in missing:
+            chunk = chunks[at]
             stem = chunk.rstrip(b".,!") if self.apart else chunk
             if len(stem) < len(chunk) and stem[-1:].isalpha():
-                split[chunk] = stem
-                asked[stem] = asked[chunk[len(stem) :]] = None
+                asked[chunk[len(stem) :]] = None
             else:
-                asked[chunk] = None
+                stem = chunk
+            stems.append(stem)
+            asked[stem] = None
         fresh = []
         for part in asked:
             if part not in known:
-                if part in older:
-                    known[part] = older[part]
-                else:
+                ids = older.get(part)
+                if ids is None:
                     fresh.append(part)
+                else:
+                    known[part] = ids
         known.update(zip(fresh, self._fresh(fresh), strict=True))
-        for chunk, stem in split.items():
-            one, two = known[stem], known[chunk[len(stem) :]]
-            known[chunk] = Chunk(*(x + y for x, y in zip(one, two, strict=True))) if one is not None and two is not None else None
-        found = [known[c] for c in chunks]
-        for part in [p for p in [*fresh, *missing] if len(p) > LONGEST]:
-            known.pop(part, None)
+        for at, stem in zip(missing, stems, strict=True):
+            chunk, own = chunks[at], known[stem]
+            if len(stem) < len(chunk):
+                marks = known[chunk[len(stem) :]]
+                own = own[0] + marks[0], own[1] + marks[1]
+            found[at] = own
+        for part in [p for p in fresh if len(p) > LONGEST]:
+            del known[part]
+        known.update((chunks[at], found[at]) for at in missing if len(chunks[at]) <= LONGEST)
         return found
 
-    def cut(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The distinct chunks of the texts, each with a space before it, the places of all chunks there in turn, and where each text's begin and end."""
+    def align(self, texts: pa.Array) -> Slice:
+        """The texts, each with a space before it, as ids of both tokenizers."""
         texts = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts.cast(pa.large_string()), pa.scalar("", pa.large_string())).cast(pa.large_binary())
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
         first = int(offsets[0])
         data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[first : offsets[-1]]
         offsets = offsets - first
-        marks = chunk_starts(data) & ~self.uncut[data] & WHITE[data]
+        marks = chunk_starts(data) & ~self.uncut[data]
         marks[offsets[:-1]] = True
         starts = np.append(np.flatnonzero(marks), len(data))
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), texts.buffers()[2].slice(first)])
         coded = pieces.dictionary_encode()
-        return bytes_of(coded.dictionary), np.asarray(coded.indices, dtype=np.int64), np.searchsorted(starts, offsets)
+        found = self.chunks(bytes_of(coded.dictionary))
+        heads = np.searchsorted(starts, offsets)
+        (a, a_at), (b, b_at) = (self._gathered([x[i] for x in found], coded.indices, heads) for i in (0, 1))
+        valid = (np.diff(offsets) > 1) & self._given_back(a, a_at, self.a_text, data, offsets) & self._given_back(b, b_at, self.b_text, data, offsets)
+        return Slice(self, *_kept(a, a_at, valid), *_kept(b, b_at, valid), valid)
+
+    @staticmethod
+    def _gathered(ids: list[bytes], codes: pa.Array, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks in turn, and where each text's begin and end."""
+        taken = pa.array(ids, pa.large_binary()).take(codes)
+        ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[: len(codes) + 1]
+        return np.frombuffer(taken.buffers()[2], dtype=np.uint16)[: ends[-1] // 2].astype(np.int64), ends[heads] // 2
+
+    @staticmethod
+    def _given_back(ids: np.ndarray, at: np.ndarray, tokens: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts the tokens' bytes put together again."""
+        taken = tokens.take(pa.array(ids))
+        ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[: len(ids) + 1][at]
+        made = np.frombuffer(taken.buffers()[2], dtype=np.uint8)[: ends[-1]]
+        same = np.diff(ends) == np.diff(offsets)
+        if not same.all() or not np.array_equal(made, data):
+            for i in np.flatnonzero(same).tolist():
+                same[i] = np.array_equal(made[ends[i] : ends[i + 1]], data[offsets[i] : offsets[i + 1]])
+        return same
 
 
 @lru_cache(maxsize=1)
@@ -177,43 +176,58 @@ def _aligner(a_model: bytes, b_model: bytes) -> Aligner:
     return Aligner(a_model, b_model)
 
 
-@dataclass
-class Slice:
-    """Aligned texts: distinct chunks' tables, all chunks' places in them, where texts begin and end, and which texts have tokens."""
-
-    found: list[Chunk | None]
-    codes: np.ndarray
-    heads: np.ndarray
-    valid: np.ndarray
+def _kept(ids: np.ndarray, at: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of valid texts alone, and each text's number of them."""
+    sizes = np.diff(at)
+    return ids if valid.all() else ids[np.repeat(valid, sizes)], np.where(valid, sizes, 0)
 
-    def __post_init__(self) -> None:
-        self.sizes = np.array([len(c.pairs) // 4 if c else 0 for c in self.found], dtype=np.int64)
-        self.pairs = np.frombuffer(b"".join(c.pairs for c in self.found if c), dtype="<u4").astype(np.int64)
-        self.begins = np.cumsum(self.sizes) - self.sizes
 
-    def sums(self, of_chunk: np.ndarray) -> np.ndarray:
-        """The sum of a chunk's number over each text's chunks; 0 for texts without tokens."""
-        running = np.append(0, np.cumsum(of_chunk[self.codes]))
-        return np.where(self.valid, running[self.heads[1:]] - running[self.heads[:-1]], 0)
+class Slice:
+    """Some texts' tokens side by side. a, b: all ids in turn; n_a, n_b: each text's number of them, 0 where it has none."""
+
+    def __init__(self, aligner: Aligner, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, valid: np.ndarray) -> None:
+        self.aligner, self.a, self.n_a, self.b, self.n_b, self.valid = aligner, a, n_a, b, n_b, valid
+        # valid texts follow each other: tokens of both end where a text does
+        ends_a, ends_b = np.cumsum(aligner.a_size[a]), np.cumsum(aligner.b_size[b])
+        total = int(ends_a[-1]) if len(a) else 0
+        of_a, of_b = np.zeros(total + 1, dtype=bool), np.zeros(total + 1, dtype=bool)
+        of_a[ends_a], of_b[ends_b] = True, True
+        self.shut_a, self.shut_b = of_b[ends_a], of_a[ends_b]
+        # the first B token that ends where an A token ends or behind it, and the one in which the A token begins
+        last = np.cumsum(of_b)[ends_a] - self.shut_a
+        first = np.append(0, (last + self.shut_a)[:-1])[: len(a)]
+        n = last - first + 1
+        before = np.cumsum(n) - n
+        self.pairs = np.repeat(a, n) << 16 | b[np.repeat(first - before, n) + np.arange(n.sum())]
+        self.n_links = self._by_text(n, n_a)
+        self.n_groups = self._by_text(self.shut_a, n_a)
+
+    @staticmethod
+    def _by_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        running = np.append(0, np.cumsum(values, dtype=np.int64))
+        at = np.append(0, np.cumsum(sizes))
+        return running[at[1:]] - running[at[:-1]]
+
+    def link_sums(self, of_link: np.ndarray) -> np.ndarray:
+        return self._by_text(of_link, self.n_links)
 
     def distinct_pairs(self) -> np.ndarray:
         """Each text's distinct pairs."""
-        text = np.repeat(np.arange(len(self.valid)), np.diff(self.heads))
-        used = self.valid[text]
-        own = np.unique(text[used] * len(self.found) + self.codes[used])
-        text, code = np.divmod(own, max(1, len(self.found)))
-        n = self.sizes[code]
-        at = np.repeat(self.begins[code] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.unique(np.repeat(text, n) << 32 | self.pairs[at]) & 0xFFFFFFFF
-
-
-def aligned(aligner: Aligner, texts: pa.Array) -> Slice:
-    distinct, codes, heads = aligner.cut(texts)
-    found = aligner.chunks(distinct)
-    bad = np.array([c is None for c in found], dtype=bool)
-    running = np.append(0, np.cumsum(bad[codes]))
-    filled = np.asarray(pc.binary_length(texts)) > 0
-    return Slice(found, codes, heads, filled & (running[heads[1:]] == running[heads[:-1]]))
+        own = np.repeat(np.arange(len(self.valid)), self.n_links) << 32 | self.pairs
+        own.sort()
+        return own[np.append(True, own[1:] != own[:-1])] & 0xFFFFFFFF if len(own) else own
+
+    def group_texts(self) -> tuple[memoryview, np.ndarray]:
+        """The groups' text of all texts in turn, each group with a semicolon behind it, and where each text's begins and ends."""
+        a_before, b_before = (np.cumsum(x) - x for x in (self.shut_a, self.shut_b))
+        a_ends, b_ends = np.append(0, np.flatnonzero(self.shut_a) + 1), np.append(0, np.flatnonzero(self.shut_b) + 1)
+        order = np.empty(len(self.a) + len(self.b), dtype=np.int64)
+        # a group's A tokens come first: before them all earlier groups' B tokens, before its B tokens its own A tokens too
+        order[np.arange(len(self.a)) + b_ends[a_before]] = 4 * self.a + self.shut_a
+        order[np.arange(len(self.b)) + a_ends[b_before + 1]] = 4 * self.b + 2 + self.shut_b
+        taken = self.aligner.printed.take(pa.array(order))
+        ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[: len(order) + 1]
+        return memoryview(taken.buffers()[2]) if taken.buffers()[2] else memoryview(b""), ends[np.append(0, np.cumsum(self.n_a + self.n_b))]
 
 
 def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -320,7 +334,7 @@ def pair_parts(docs: DataFrame, models: Broadcast) -> DataFrame:
         aligner, tally = _aligner(*models.value), tallies.Tally()
         for batch in batches:
             for part in slices(batch, most=WORK_BYTES):
-                tally.add(aligned(aligner, part.column(1)).distinct_pairs())
+                tally.add(aligner.align(part.column(1)).distinct_pairs())
                 if len(tally.keys) > COUNTED:
                     keys, counts = tally.fold()
                     yield tallies.blocks(keys, counts, bucket_of(keys))
@@ -406,11 +420,10 @@ def looked_up(docs: DataFrame, models: Broadcast, shared: Broadcast | None, with
         counts = _counts(shared) if shared is not None else None
         for batch in batches:
             for part in slices(batch, most=WORK_BYTES):
-                own = aligned(aligner, part.column(1))
-                n, best = counts.of(own.pairs) if counts else (own.pairs * 0, own.pairs < 0)
-                of_chunk = lambda x: np.diff(np.append(0, np.cumsum(x, dtype=np.int64))[np.append(own.begins, own.begins[-1] + own.sizes[-1])])  # noqa: B023, E731
-                numbers = [[c[i] if c else 0 for c in own.found] for i in range(3)]
-                sums = [own.sums(np.array(x, dtype=np.int64)) for x in (*numbers, own.sizes, of_chunk(best), of_chunk(n))]
+                own = aligner.align(part.column(1))
+                pairs, at = np.unique(own.pairs, return_inverse=True)
+                n, best = counts.of(pairs) if counts else (pairs * 0, pairs < 0)
+                sums = [own.n_a, own.n_b, own.n_groups, own.n_links, own.link_sums(best[at]), own.link_sums(n[at])]
                 if more:
                     sums[:4] = [x * 0 for x in sums[:4]]
                 groups, shas = _group_texts(own, with_groups) if not more else ([None] * len(own.valid), [None] * len(own.valid))
@@ -421,10 +434,8 @@ def looked_up(docs: DataFrame, models: Broadcast, shared: Broadcast | None, with
 
 
 def _group_texts(own: Slice, with_groups: bool) -> tuple[list[str | None], list[str]]:
-    taken = pa.array([c.groups if c else b"" for c in own.found], pa.large_binary()).take(pa.array(own.codes))
-    ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[: len(own.codes) + 1]
-    body = memoryview(taken.buffers()[2])
-    cuts = ends[own.heads].tolist()
+    body, cuts = own.group_texts()
+    cuts = cuts.tolist()
     texts, shas = [], []
     for ok, a, b in zip(own.valid.tolist(), cuts, cuts[1:], strict=False):
         text = body[a : b - 1] if ok else b""
