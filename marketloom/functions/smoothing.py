@@ -1,4 +1,4 @@
-"""Exponential smoothing of sorted series, batch by batch with a fixed amount of state."""
+"""Exponential smoothing of sorted series: batch by batch with a fixed amount of state, or block by block in parallel."""
 
 from __future__ import annotations
 
@@ -8,10 +8,14 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from marketloom.functions.batches import doubles, series_cuts
+from marketloom.functions.windows import running
 
 SPANS = (10, 20, 50, 100, 200)
 SMOOTHED = [*(f"ema_{s}" for s in SPANS), "ema_slope_20", "rsi_14", "rsi_21", "macd", "macd_signal", "atr_14"]
@@ -46,7 +50,8 @@ class Smoother:
             alpha = 2 / (span + 1)
             out[f"ema_{span}"] = self._run(span, close, alpha, 0.0) / (1 - (1 - alpha) ** row)
         back = np.concatenate([self.tail, out["ema_20"]])
-        before = np.concatenate([np.full(max(0, 5 + n - len(back)), np.nan), back[: max(0, len(back) - 5)][-n:]])
+        early = min(n, 5 - len(self.tail))
+        before = np.concatenate([np.full(early, np.nan), back[: n - early]])
         with np.errstate(divide="ignore", invalid="ignore"):
             slope = (out["ema_20"] - before) / before
         out["ema_slope_20"] = np.where(np.isfinite(slope), slope, np.nan)
@@ -83,6 +88,135 @@ class Smoother:
         return out
 
 
+    #: Recursions that follow the close from 0 on, their weights, and all that make up a state.
+    CLOSES = [*((s, 2 / (s + 1)) for s in SPANS), (("macd", 12), 2 / 13), (("macd", 26), 2 / 27)]
+    STEPS = [((way, length), 1 / length) for length in (14, 21) for way in ("up", "down")]
+    KEYS = [*(k for k, _ in CLOSES), *(k for k, _ in STEPS), "signal", "atr"]
+
+    def state(self) -> list[float]:
+        """The state as numbers: rows, last close, KEYS and the last five ema_20. Behind the warm-up alone (34 rows)."""
+        return [float(self.rows), float(self.close), *(float(self.last[k]) for k in self.KEYS), *self.tail.tolist()]
+
+    @classmethod
+    def resumed(cls, state: list[float]) -> Smoother:
+        own, n = cls(), len(cls.KEYS)
+        own.rows, own.close = int(state[0]), state[1]
+        own.last, own.tail = dict(zip(cls.KEYS, state[2 : 2 + n], strict=True)), np.array(state[2 + n :])
+        return own
+
+
+#: Weight of the macd signal.
+SIGNAL = 2 / 10
+
+
+def block_offsets(close: np.ndarray, high: np.ndarray, low: np.ndarray) -> list[float]:
+    """What a block of rows adds to a state of zeros, in the order of KEYS; the first row's change and range are not known here and count as 0."""
+    fold = lambda x, alpha: recursion(x, alpha, 0.0)
+    step = np.diff(close, prepend=close[0])
+    ranges = np.maximum(high[1:] - low[1:], np.maximum(np.abs(high[1:] - close[:-1]), np.abs(low[1:] - close[:-1])))
+    of_close = [fold(close, alpha) for _, alpha in Smoother.CLOSES]
+    of_step = [fold(np.maximum(step if way == "up" else -step, 0.0), alpha)[-1] for (way, _), alpha in Smoother.STEPS]
+    signal = fold(of_close[-2] - of_close[-1], SIGNAL)[-1]
+    return [*(float(y[-1]) for y in of_close), *map(float, of_step), float(signal), float(fold(np.append(0.0, ranges), 1 / 14)[-1])]
+
+
+def carried(state: list[float], n: int, first: list[float], last: list[float], offsets: list[float]) -> list[float]:
+    """The state behind a block of n rows. first: its first close, high and low; last: its last five closes, at least.
+
+    Every recursion is an affine map of the state: it shrinks by the block's decay and the block's own part is
+    added. The signal follows two of them and takes in what is left of both.
+    """
+    rows, before = int(state[0]), state[1]
+    own = dict(zip(Smoother.KEYS, state[2:], strict=False))
+    add = dict(zip(Smoother.KEYS, offsets, strict=True))
+    close, high, low = first
+    decayed = lambda key, alpha, head=0.0: (1 - alpha) ** n * own[key] + add[key] + alpha * (1 - alpha) ** (n - 1) * head
+    out = {key: decayed(key, alpha) for key, alpha in Smoother.CLOSES}
+    out |= {(way, length): decayed((way, length), alpha, max(close - before if way == "up" else before - close, 0.0)) for (way, length), alpha in Smoother.STEPS}
+    g = 1 - SIGNAL
+    left = lambda d: d * (g**n - d**n) / (g - d)
+    out["signal"] = g**n * own["signal"] + add["signal"] + SIGNAL * (own["macd", 12] * left(1 - 2 / 13) - own["macd", 26] * left(1 - 2 / 27))
+    out["atr"] = decayed("atr", 1 / 14, max(high - low, abs(high - before), abs(low - before)))
+    alpha, y, tail = 2 / 21, out[20], []
+    for back, x in enumerate(reversed(last[-5:])):
+        tail.append(y / (1 - (1 - alpha) ** (rows + n - back)))
+        y = (y - alpha * x) / (1 - alpha)
+    return [float(rows + n), last[-1], *(out[k] for k in Smoother.KEYS), *reversed(tail)]
+
+
+def with_smoothing_in_blocks(bars: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """with_smoothing() with tasks that are bounded by blocks of rows, not by series.
+
+    Bars are numbered by calendar units and cut in blocks. Each block adds up its own part of every
+    recursion, all at once; one row a block then passes through its series in order, which gives each block
+    the state it starts from; blocks are smoothed from there, again all at once. No task holds more than a block.
+    """
+    if block < 64:
+        raise ValueError("a block must have 64 rows at least: the first one holds the warm-up")
+    there = F.lit(True)
+    for c in ("close", "high", "low"):
+        x = F.col(c).cast("double")
+        there = there & x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    numbered = running(bars.withColumn("__there", there), ["symbol"], {"__i": (F.sum, F.col("__there").cast("long"))})
+    cut = numbered.withColumn("__block", F.floor(F.greatest(F.col("__i") - 1, F.lit(0)) / block))
+    keys = ["symbol", "__block"]
+    kind = bars.schema["symbol"]
+    summary = T.StructType([kind, T.StructField("__block", T.LongType()), T.StructField("n", T.LongType()), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("first", "last", "offsets", "state"))])
+    states = T.StructType([kind, T.StructField("__block", T.LongType()), T.StructField("state", T.ArrayType(T.DoubleType()))])
+
+    def arranged(table: pa.Table) -> tuple[pa.Table, np.ndarray, list[np.ndarray]]:
+        """The block in order, the places of its complete rows, and these rows' prices."""
+        table = table.combine_chunks().sort_by([("__i", "ascending"), ("ts", "ascending")])
+        at = np.flatnonzero(np.asarray(table.column("__there")))
+        prices = [pc.cast(table.column(c), pa.float64()).to_numpy()[at] for c in ("close", "high", "low")]
+        return table, at, prices
+
+    def summed(key: tuple, table: pa.Table) -> pa.Table:
+        _, at, (close, high, low) = arranged(table)
+        state: list[float] | None = None
+        offsets: list[float] | None = None
+        if len(at) and key[1].as_py() == 0:
+            own = Smoother()
+            own.feed(close, high, low)
+            state = own.state() if len(at) >= 34 else None
+        elif len(at):
+            offsets = block_offsets(close, high, low)
+        first = [float(x[0]) for x in (close, high, low)] if len(at) else None
+        row = {"symbol": key[0].as_py(), "__block": key[1].as_py(), "n": len(at), "first": first, "last": close[-5:].tolist(), "offsets": offsets, "state": state}
+        return pa.Table.from_pylist([row], schema=to_arrow_schema(summary))
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol: str | None = None
+        state: list[float] | None = None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["__block"] == 0 or r["symbol"] != symbol:
+                    symbol, state = r["symbol"], r["state"]
+                    continue
+                out.append({"symbol": symbol, "__block": r["__block"], "state": state})
+                state = carried(state, r["n"], r["first"], r["last"], r["offsets"])
+            yield pa.RecordBatch.from_pylist(out, schema=to_arrow_schema(states))
+
+    added = T.StructType([T.StructField(c, T.DoubleType()) for c in SMOOTHED])
+    schema = T.StructType([*bars.schema.fields, *added.fields])
+
+    def smoothed(key: tuple, table: pa.Table, starts: pa.Table) -> pa.Table:
+        table, at, prices = arranged(table)
+        own = Smoother.resumed(starts.column("state")[0].as_py()) if starts.num_rows else Smoother()
+        found = own.feed(*prices) if len(at) else {}
+        for c in SMOOTHED:
+            y = np.full(table.num_rows, np.nan)
+            if len(at):
+                y[at] = found[c]
+            table = table.append_column(c, pa.array(y, from_pandas=True))
+        return table.select(schema.names)
+
+    blocks = cut.select(*keys, "ts", "__i", "__there", "close", "high", "low").groupBy(*keys).applyInArrow(summed, summary)
+    starts = blocks.repartition("symbol").sortWithinPartitions("symbol", "__block").mapInArrow(carry, states)
+    return cut.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInArrow(smoothed, schema)
+
+
 def with_smoothing(bars: DataFrame) -> DataFrame:
     """Add SMOOTHED to bars (symbol, ts, close, high, low, ...).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.functions.smoothing import SMOOTHED, with_smoothing
+from marketloom.functions.smoothing import SMOOTHED, with_smoothing, with_smoothing_in_blocks
 from marketloom.operators import features as ops
 from marketloom.plans import sql
 from marketloom.schemas import FEATURES, VALUES, z
@@ -34,6 +34,11 @@ def smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_smoothing(tables.bars_daily(spark, sf_dir)).select("symbol", day(), *rounded(SMOOTHED))
 
 
+def smoothing_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same values with series cut in blocks, as for bars of seconds."""
+    return with_smoothing_in_blocks(tables.bars_daily(spark, sf_dir), 128).select("symbol", day(), *rounded(SMOOTHED))
+
+
 def latest_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     features, _ = ops.feature_tables(tables.bars_daily(spark, sf_dir))
     return ops.latest(features).select("symbol", day(), *rounded(VALUES))
@@ -63,6 +68,7 @@ def batch_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "w01_window_features": window_features,
     "w03_smoothing": smoothing,
+    "w03_smoothing_in_blocks": smoothing_in_blocks,
     "w18_row_z_scores": row_scores,
     "k1_latest_features": latest_features,
     "k1_latest_scores": latest_scores,
@@ -86,3 +92,4 @@ ORACLE_SQL = {
     "i09_batch_slice": f"""WITH {sql.BARS} SELECT symbol, count(*) AS bars, round(sum(close), 4) AS closes
         FROM bars WHERE symbol >= 'N12' GROUP BY symbol""",
 }
+ORACLE_SQL["w03_smoothing_in_blocks"] = ORACLE_SQL["w03_smoothing"]
