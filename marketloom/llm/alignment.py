@@ -22,7 +22,7 @@ from marketloom.llm.shared import bytes_of, id_and_text, materialise, read_bound
 
 #: Chunks that a Python worker remembers in each of two generations, and the longest of them.
 REMEMBERED, LONGEST = 150_000, 64
-#: Text bytes that are aligned at once.
+#: Text bytes that are encoded at once.
 WORK_BYTES = 4 << 20
 #: Buckets by which A ids are dealt; a pair's bucket is that of its A id.
 BUCKETS = 512
@@ -133,8 +133,8 @@ class Aligner:
         known.update((chunks[at], found[at]) for at in missing if len(chunks[at]) <= LONGEST)
         return found
 
-    def align(self, texts: pa.Array) -> Slice:
-        """The texts, each with a space before it, as ids of both tokenizers."""
+    def encode(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """The texts, each with a space before it, as ids of both tokenizers (16 bits each); none where these do not give back the text."""
         texts = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts.cast(pa.large_string()), pa.scalar("", pa.large_string())).cast(pa.large_binary())
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
         first = int(offsets[0])
@@ -149,7 +149,7 @@ class Aligner:
         heads = np.searchsorted(starts, offsets)
         (a, a_at), (b, b_at) = (self._gathered([x[i] for x in found], coded.indices, heads) for i in (0, 1))
         valid = (np.diff(offsets) > 1) & self._given_back(a, a_at, self.a_text, data, offsets) & self._given_back(b, b_at, self.b_text, data, offsets)
-        return Slice(self, *_kept(a, a_at, valid), *_kept(b, b_at, valid), valid)
+        return _packed(a, a_at, valid), _packed(b, b_at, valid)
 
     @staticmethod
     def _gathered(ids: list[bytes], codes: pa.Array, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,17 +176,30 @@ def _aligner(a_model: bytes, b_model: bytes) -> Aligner:
     return Aligner(a_model, b_model)
 
 
-def _kept(ids: np.ndarray, at: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of valid texts alone, and each text's number of them."""
+def _packed(ids: np.ndarray, at: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """The ids of each valid text as bytes."""
     sizes = np.diff(at)
-    return ids if valid.all() else ids[np.repeat(valid, sizes)], np.where(valid, sizes, 0)
+    kept = ids if valid.all() else ids[np.repeat(valid, sizes)]
+    ends = np.append(0, np.cumsum(np.where(valid, sizes, 0))) * 2
+    return pa.Array.from_buffers(pa.large_binary(), len(valid), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(kept.astype("<u2").tobytes())]).cast(pa.binary())
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' ids in turn, and each text's number of them."""
+    sizes = np.asarray(pc.binary_length(column), dtype=np.int64) // 2
+    start = int(np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset])
+    data = column.buffers()[2]
+    return np.frombuffer(data, dtype="<u2", count=int(sizes.sum()), offset=start).astype(np.int64) if data and sizes.sum() else np.zeros(0, dtype=np.int64), sizes
 
 
 class Slice:
     """Some texts' tokens side by side. a, b: all ids in turn; n_a, n_b: each text's number of them, 0 where it has none."""
 
-    def __init__(self, aligner: Aligner, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, valid: np.ndarray) -> None:
-        self.aligner, self.a, self.n_a, self.b, self.n_b, self.valid = aligner, a, n_a, b, n_b, valid
+    def __init__(self, aligner: Aligner, of_a: pa.Array, of_b: pa.Array) -> None:
+        self.aligner = aligner
+        (self.a, self.n_a), (self.b, self.n_b) = _unpacked(of_a), _unpacked(of_b)
+        self.valid = self.n_a > 0
+        a, b, n_a = self.a, self.b, self.n_a
         # valid texts follow each other: tokens of both end where a text does
         ends_a, ends_b = np.cumsum(aligner.a_size[a]), np.cumsum(aligner.b_size[b])
         total = int(ends_a[-1]) if len(a) else 0
@@ -327,14 +340,26 @@ def _assembled(blocks: list[tuple[int, bytes]], n: int) -> np.ndarray:
     return vector
 
 
-def pair_parts(docs: DataFrame, models: Broadcast) -> DataFrame:
-    """(bucket, keys, counts): each task's distinct pairs with the number of its documents that hold them linked. docs: id, text."""
+def encoded(docs: DataFrame, models: Broadcast) -> DataFrame:
+    """(id, a, b): every text's ids by both tokenizers as bytes, empty where it has no tokens. docs: id, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = _aligner(*models.value)
+        for batch in batches:
+            for part in slices(batch, most=WORK_BYTES):
+                yield pa.RecordBatch.from_arrays([part.column(0), *aligner.encode(part.column(1))], ["id", "a", "b"])
+
+    return docs.mapInArrow(run, "id long, a binary, b binary")
+
+
+def pair_parts(coded: DataFrame, models: Broadcast) -> DataFrame:
+    """(bucket, keys, counts): each task's distinct pairs with the number of its documents that hold them linked."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, tally = _aligner(*models.value), tallies.Tally()
         for batch in batches:
-            for part in slices(batch, most=WORK_BYTES):
-                tally.add(aligner.align(part.column(1)).distinct_pairs())
+            for part in slices(batch, text_at=0):
+                tally.add(Slice(aligner, part.column(0), part.column(1)).distinct_pairs())
                 if len(tally.keys) > COUNTED:
                     keys, counts = tally.fold()
                     yield tallies.blocks(keys, counts, bucket_of(keys))
@@ -342,7 +367,7 @@ def pair_parts(docs: DataFrame, models: Broadcast) -> DataFrame:
         keys, counts = tally.fold()
         yield tallies.blocks(keys, counts, bucket_of(keys))
 
-    return docs.mapInArrow(count, tallies.SCHEMA)
+    return coded.select("a", "b").mapInArrow(count, tallies.SCHEMA)
 
 
 def hashed_pairs(parts: DataFrame) -> DataFrame:
@@ -412,25 +437,25 @@ def tree_summed(parts: DataFrame, shared: Broadcast) -> list[tuple[int, bytes]]:
 RESULT = "row long, id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string, groups_sha256 string"
 
 
-def looked_up(docs: DataFrame, models: Broadcast, shared: Broadcast | None, with_groups: bool, more: bool = False) -> DataFrame:
-    """The rows of RESULT: texts aligned anew, with the counts of a shard's pairs. docs: id, text and the row's number. more: sums alone."""
+def looked_up(coded: DataFrame, models: Broadcast, shared: Broadcast | None, with_groups: bool, more: bool = False) -> DataFrame:
+    """The rows of RESULT: texts aligned anew, with the counts of a shard's pairs. coded: id, a, b and the row's number. more: sums alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(*models.value)
         counts = _counts(shared) if shared is not None else None
         for batch in batches:
-            for part in slices(batch, most=WORK_BYTES):
-                own = aligner.align(part.column(1))
+            for part in slices(batch):
+                own = Slice(aligner, part.column(1), part.column(2))
                 pairs, at = np.unique(own.pairs, return_inverse=True)
                 n, best = counts.of(pairs) if counts else (pairs * 0, pairs < 0)
                 sums = [own.n_a, own.n_b, own.n_groups, own.n_links, own.link_sums(best[at]), own.link_sums(n[at])]
                 if more:
                     sums[:4] = [x * 0 for x in sums[:4]]
                 groups, shas = _group_texts(own, with_groups) if not more else ([None] * len(own.valid), [None] * len(own.valid))
-                columns = [part.column(2), part.column(0), *map(pa.array, sums), pa.array(groups, pa.string()), pa.array(shas, pa.string())]
+                columns = [part.column(3), part.column(0), *map(pa.array, sums), pa.array(groups, pa.string()), pa.array(shas, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in RESULT.split(", ")])
 
-    return docs.mapInArrow(run, RESULT)
+    return coded.mapInArrow(run, RESULT)
 
 
 def _group_texts(own: Slice, with_groups: bool) -> tuple[list[str | None], list[str]]:
@@ -454,7 +479,7 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, id_col: str = "d
     count is the highest of their A id, count_sum the sum over all links. groups (with_groups) is
     `a1,a2|b1;a3|b2,b3`, groups_sha256 its digest.
 
-    The first pass counts pairs in tasks. Distinct pairs get a minimal perfect hash, bucket by bucket; the
+    Texts are encoded once and their ids written. The first pass over them counts pairs in tasks. Distinct pairs get a minimal perfect hash, bucket by bucket; the
     tasks' counts become dense vectors indexed by it, which are summed in a tree. The second pass aligns the
     texts anew and looks their pairs up, each key verified. Index and vector are broadcast for 6 million pairs
     at most; where there are more, buckets are taken in several passes and a document's sums are added up.
@@ -466,8 +491,8 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, id_col: str = "d
     spark = docs.sparkSession
     context = spark.sparkContext
     models = context.broadcast((read_bounded(a_path), read_bounded(b_path)))
-    rows = id_and_text(docs, id_col, text_col)
-    parts = written(pair_parts(rows, models))
+    coded = written(encoded(id_and_text(docs, id_col, text_col), models))
+    parts = written(pair_parts(coded, models))
     hashed = materialise(hashed_pairs(parts))
     sizes = sorted((r["bucket"], r["n"]) for r in hashed.groupBy("bucket").agg(F.sum("n").alias("n")).collect())
     shards: list[list[int]] = []
@@ -478,9 +503,7 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, id_col: str = "d
             room = SHARD_PAIRS
         shards[-1].append(bucket)
         room -= n
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    if len(shards) > 1:
-        numbered = written(numbered)
+    numbered = coded.withColumn("row", F.monotonically_increasing_id())
     found = None
     for at, buckets in enumerate(shards or [None]):
         shared = None
