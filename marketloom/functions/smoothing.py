@@ -18,6 +18,8 @@ from marketloom.functions.batches import doubles, series_cuts
 from marketloom.functions.windows import running
 
 SPANS = (10, 20, 50, 100, 200)
+#: Bars after which every recursion has begun: from there on a state is a fixed list of numbers.
+WARM_UP = 34
 SMOOTHED = [*(f"ema_{s}" for s in SPANS), "ema_slope_20", "rsi_14", "rsi_21", "macd", "macd_signal", "atr_14"]
 
 
@@ -94,7 +96,7 @@ class Smoother:
     KEYS = [*(k for k, _ in CLOSES), *(k for k, _ in STEPS), "signal", "atr"]
 
     def state(self) -> list[float]:
-        """The state as numbers: rows, last close, KEYS and the last five ema_20. Behind the warm-up alone (34 rows)."""
+        """The state as numbers: rows, last close, KEYS and the last five ema_20; behind the warm-up alone."""
         return [float(self.rows), float(self.close), *(float(self.last[k]) for k in self.KEYS), *self.tail.tolist()]
 
     @classmethod
@@ -178,7 +180,7 @@ def with_smoothing_in_blocks(bars: DataFrame, block: int = 1 << 16) -> DataFrame
         if len(at) and key[1].as_py() == 0:
             own = Smoother()
             own.feed(close, high, low)
-            state = own.state() if len(at) >= 34 else None
+            state = own.state() if len(at) >= WARM_UP else None
         elif len(at):
             offsets = block_offsets(close, high, low)
         first = [float(x[0]) for x in (close, high, low)] if len(at) else None
@@ -225,24 +227,53 @@ def with_smoothing(bars: DataFrame) -> DataFrame:
     series follow each other and leave a few numbers of state, whatever the series' length. Bars
     with a null price leave the state as it is and get nulls.
     """
+    return _smoothed(bars, resumed=False)
+
+
+def with_resumed_smoothing(bars: DataFrame) -> DataFrame:
+    """Add SMOOTHED and new_state to bars that go on where earlier ones of their symbol ended.
+
+    bars: as for with_smoothing(), with state (of the earlier bars, the same in all rows of a symbol) and
+    seen, true for earlier bars that are here for windows' sake. A symbol with a state is smoothed from it
+    and its seen bars get nulls; one without, which has fewer than 34 earlier bars, is smoothed from all of them.
+    new_state is there on some rows; the one of a symbol's last such row is the state behind its bars.
+    """
+    return _smoothed(bars, resumed=True)
+
+
+def _smoothed(bars: DataFrame, resumed: bool) -> DataFrame:
     added = T.StructType([T.StructField(c, T.DoubleType()) for c in SMOOTHED])
-    schema = T.StructType([*bars.schema.fields, *added.fields])
+    more = [T.StructField("new_state", T.ArrayType(T.DoubleType()))] if resumed else []
+    schema = T.StructType([*bars.schema.fields, *added.fields, *more])
+
+    def begun(batch: pa.RecordBatch, at: int) -> Smoother:
+        state = batch.column("state")[at].as_py() if resumed else None
+        return Smoother.resumed(state) if state else Smoother()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol, state = None, Smoother()
         for batch in batches:
             values = np.stack(doubles(batch, "close", "high", "low"))
+            there = np.isfinite(values).all(axis=0)
+            if resumed:
+                # what a state holds already is not fed again
+                there &= ~(batch.column("seen").to_numpy(zero_copy_only=False) & batch.column("state").is_valid().to_numpy(zero_copy_only=False))
             out = np.full((len(SMOOTHED), batch.num_rows), np.nan)
+            states: list[list[float] | None] = [None] * batch.num_rows
             for lo, hi in series_cuts(batch, ["symbol"]):
                 now = batch.column("symbol")[lo].as_py()
                 if now != symbol:
-                    symbol, state = now, Smoother()
-                whole = lo + np.flatnonzero(np.isfinite(values[:, lo:hi]).all(axis=0))
+                    symbol, state = now, begun(batch, lo)
+                whole = lo + np.flatnonzero(there[lo:hi])
                 if len(whole):
                     found = state.feed(*values[:, whole])
                     for at, c in enumerate(SMOOTHED):
                         out[at, whole] = found[c]
+                if state.rows >= WARM_UP:
+                    states[hi - 1] = state.state()
             columns = [*batch.columns, *(pa.array(y, from_pandas=True) for y in out)]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *SMOOTHED])
+            if resumed:
+                columns.append(pa.array(states, pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return bars.repartition("symbol").sortWithinPartitions("symbol", "ts").mapInArrow(run, schema)

@@ -55,9 +55,12 @@ def compute_features(bars: DataFrame) -> DataFrame:
 
     Values without enough history are null; ratios with a zero below are null.
     """
-    smooth = with_smoothing(window_features(numeric(bars)))
+    return with_trend(with_smoothing(window_features(numeric(bars)))).select(*KEY, *VALUES)
+
+
+def with_trend(smooth: DataFrame) -> DataFrame:
     bull = (F.col("ema_20") > F.col("sma_50")) & (F.col("ema_50") > F.col("ema_100"))
-    return smooth.withColumn("ema_trend_bull", F.when(F.coalesce(bull, F.lit(False)), 1.0).otherwise(0.0)).select(*KEY, *VALUES)
+    return smooth.withColumn("ema_trend_bull", F.when(F.coalesce(bull, F.lit(False)), 1.0).otherwise(0.0))
 
 
 def row_z_scores(features: DataFrame, columns: list[str]) -> DataFrame:

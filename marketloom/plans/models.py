@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from marketloom.operators import experiments, models, vectors
 from marketloom.operators.features import numeric, window_features
+from marketloom.operators.incremental import FeatureStore
 from marketloom.operators.labels import trade_labels, walk_forward
+from marketloom.plans import sql
 from marketloom.plans.context import LABELS
-from marketloom.plans.features import rounded
+from marketloom.plans.features import DAY, rounded
 from marketloom.session import shared_folder
 from marketloom.sources import tables
 from marketloom.streaming import ingest
 
+STREAMED = ["close", "return_20d", "sma_200", "ema_200", "ema_slope_20", "rsi_21", "macd_signal", "atr_14", "volatility_100", "stochastic_d", "bb_pband_20"]
 INPUTS = ["return_1d", "return_5d", "roc_10", "bb_pband_20", "stochastic_k", "volatility_10"]
 
 
@@ -63,7 +66,19 @@ def streamed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.current(spark, f"{folder}/table", ["symbol", "ts"], "line").groupBy("symbol").agg(F.count("*").alias("bars"))
 
 
+def incremental_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars that land in three parts, each streamed into features from the states that the earlier ones left."""
+    folder = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
+    bars = tables.bars_daily(spark, sf_dir).select("symbol", "ts", "open", "high", "low", "close", "volume")
+    landed, store = f"{folder}/landed", FeatureStore(spark, f"{folder}/store")
+    for part in ("ts < '1997-06-01'", "ts >= '1997-06-01' and ts < '2000-01-15'", "ts >= '2000-01-15'"):
+        bars.where(part).write.mode("append").parquet(landed)
+        ingest.start(ingest.files(spark, landed, bars.schema, 10_000), f"{folder}/offsets", ingest.features_into(store)).awaitTermination()
+    return store.features.read().select("symbol", F.date_format("ts", "yyyy-MM-dd").alias("day"), *rounded(STREAMED))
+
+
 QUERIES = {
+    "t3_incremental_features": incremental_features,
     "m17_walk_forward_logistic": walk_forward_logistic,
     "m17_experiment": walk_forward_experiment,
     "m12_evaluation": evaluation,
@@ -72,6 +87,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "t3_incremental_features": f"WITH RECURSIVE {sql.BARS}, {sql.features('bars')} SELECT symbol, {DAY}, {sql.rounded(STREAMED)} FROM features",
     "m12_evaluation": f"""WITH {LABELS}, k AS (SELECT prob_trade_success AS p, trade_success AS y FROM bars JOIN labels USING (symbol, ts) WHERE trade_success IS NOT NULL)
         SELECT round(avg(abs(p - y)), 6) AS mae, round(avg(CAST(sign(p) = sign(y) AS INTEGER)), 6) AS directional_accuracy,
           round(avg(CAST(CAST(p > 0.5 AS INTEGER) = y AS INTEGER)), 6) AS accuracy, round(min(p), 6) AS prob_min, round(max(p), 6) AS prob_max, round(avg(p), 6) AS prob_mean FROM k""",

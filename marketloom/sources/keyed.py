@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketloom.session import shared_folder
 
@@ -64,22 +65,29 @@ class KeyedStore:
     def _manifest(self, commit: int | None) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/manifest/commit={commit}").where("version is not null")
 
+    def _data(self) -> DataFrame:
+        """All versions of all rows; an empty file keeps the columns, as a table may have no rows."""
+        columns = self.spark.read.parquet(f"{self.path}/schema").schema
+        return self.spark.read.schema(T.StructType([*columns.fields, T.StructField("version", T.StringType())])).parquet(f"{self.path}/data")
+
     def read(self, commit: int | None = None) -> DataFrame | None:
         """The rows as of a commit (else the last one); None before the first. Only listed versions are read."""
         commits = self.commits
         if not commits:
             return None
         live = self._manifest(commits[-1] if commit is None else commit)
-        rows = self.spark.read.option("basePath", f"{self.path}/data").parquet(f"{self.path}/data")
+        rows = self._data()
         shared = F.broadcast(live.withColumnRenamed(self.partition, "__p").withColumnRenamed("version", "__v"))
         return rows.join(shared, F.col(self.partition).cast("string").eqNullSafe(F.col("__p")) & (F.col("version") == F.col("__v")), "left_semi").drop("version")
 
     def _commit(self, rows: DataFrame, touched: DataFrame, before: int | None) -> None:
         """Write the touched partitions' rows and make them the table's. touched: all partitions that rows replace, those left empty included."""
         version = uuid.uuid4().hex
+        if before is None:
+            rows.limit(0).write.mode("overwrite").parquet(f"{self.path}/schema")
         rows.withColumn("version", F.lit(version)).write.mode("append").partitionBy(self.partition, "version").parquet(f"{self.path}/data")
         name = F.col(self.partition).cast("string").alias(self.partition)
-        there = self.spark.read.option("basePath", f"{self.path}/data").parquet(f"{self.path}/data").where(F.col("version") == version).select(name, "version").distinct()
+        there = self._data().where(F.col("version") == version).select(name, "version").distinct()
         # a row without a version stands for the commit itself: a table may be empty
         live = there.unionByName(self.spark.range(1).select(F.lit(None).cast("string").alias(self.partition), F.lit(None).cast("string").alias("version")))
         if before is not None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from marketloom.operators.incremental import FeatureStore
 from marketloom.sources.keyed import keep_last
 
 
@@ -43,3 +44,12 @@ def without_copies(stream: DataFrame, key: str = "content_sha256", time: str = "
 def windowed_counts(stream: DataFrame, time: str = "published_at", width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Articles and mean score of each symbol in tumbling windows."""
     return stream.withWatermark(time, delay).groupBy(F.window(time, width), "symbol").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
+
+
+def features_into(store: FeatureStore) -> Callable[[DataFrame, int], None]:
+    """Each batch of bars goes on where the last one ended; a batch that runs again adds nothing twice."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        store.advance(batch)
+
+    return handle
