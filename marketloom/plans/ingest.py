@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalars
@@ -19,7 +19,7 @@ from marketloom.plans.features import DAY, day, rounded
 from marketloom.schemas import VALUES
 from marketloom.session import shared_folder
 from marketloom.sources import artifacts, keyed, news, tables, universe
-from marketloom.streaming import ingest
+from marketloom.streaming import ingest, items
 
 
 def _folder(spark: SparkSession) -> str:
@@ -201,6 +201,43 @@ def streamed_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.current(spark, f"{folder}/table", ["symbol", "ts"], "volume").groupBy("symbol").agg(F.count("*").alias("bars"), F.sum("volume").alias("volume"))
 
 
+def _slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as items of a file: the first characters are the title, the next the summary; three documents in a row share an id."""
+    part = lambda a, n: F.trim(F.substring("text", a, n))
+    rows = tables.table(spark, sf_dir, "documents").select(
+        F.lit("file").alias("source"), F.upper("source").alias("symbol"), F.floor(F.col("doc_id") / 3).cast("string").alias("external_id"), part(1, 60).alias("title"), part(61, 200).alias("summary"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") % 100000 * 60).alias("published_at"), F.concat(F.lit("https://ex/"), F.col("doc_id").cast("string")).alias("url"), F.col("doc_id").alias("row_seq"),
+    )
+    rows = rows.withColumns({"title": F.coalesce("title", F.lit("")), "summary": F.coalesce("summary", F.lit(""))})
+    return rows.withColumns({"content_sha256": scalars.content_hash(F.col("title"), F.col("summary")), "text_for_score": scalars.headline_text(F.col("title"), F.col("summary"))}).select("source", *news.ITEM)
+
+
+def streamed_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that land in two parts, the second of which brings some of the first again: what each run counted, and what the tables hold."""
+    folder = _folder(spark)
+    rows = _slices(spark, sf_dir)
+    store = items.NewsStore(spark, f"{folder}/news", _word_model)
+    for part in ("row_seq % 2 = 0", "row_seq % 2 = 1 or row_seq % 4 = 0"):
+        rows.where(part).write.mode("append").parquet(f"{folder}/landed")
+        items.run(ingest.files(spark, f"{folder}/landed", rows.schema, 10_000), store, f"{folder}/offsets")
+    # a row a run
+    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("batch")) - 1
+    runs = store.counts().select(F.concat(F.lit("run "), number.cast("string")).alias("what"), "items", "raw_added", "clean_added", "scored")
+    chars = lambda name, rows: rows.agg(F.lit(name).alias("what"), F.count("*").alias("items"), F.sum(F.length("title")).alias("raw_added"), F.sum(F.length("summary")).alias("clean_added"))
+    held = chars("raw", store.raw()).withColumn("scored", F.lit(None).cast("long"))
+    clean = chars("clean", store.clean()).join(store.clean().agg(F.round(F.sum("score") * 1000).cast("long").alias("scored")))
+    return runs.unionByName(held).unionByName(clean)
+
+
+def hybrid_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two providers in order: the second one's items that the first one has are left out, and each one's counts."""
+    rows = _slices(spark, sf_dir)
+    second = rows.where("row_seq % 3 <> 1").withColumn("url", F.lit("second"))
+    found, counts = items.united([rows.where("row_seq % 2 = 0"), second])
+    own = found.groupBy("provider").agg(F.sum("row_seq").alias("row_sum"), F.sum(F.length("title")).alias("title_chars"))
+    return counts.join(own, "provider", "left")
+
+
 def incremental_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = tables.feature_days(spark, sf_dir)
     stored = days.where("symbol <> 'U3'").withColumn("as_of_date", F.date_add("as_of_date", 50))
@@ -212,14 +249,30 @@ QUERIES = {
     "s08_symbol_file": symbol_file, "s04_ticker_news": ticker_news, "s05_article_list": article_list, "s06_filings": filings, "i11_bronze": bronze, "i14_gap_starts": gap_starts,
     "i07_incomplete": incomplete, "i07_refilled": refilled, "a06_watermarks": watermarks, "i19_daily_upsert": daily_upsert, "u05_last_of_instant": last_of_instant, "k4_stable_order": stable_order,
     "s21_split_artifacts": split_artifacts, "b05_single_equity": single_equity, "x13_trade_rows": trade_rows, "b27_grid_series": grid_series, "f18_decisions": decisions,
-    "d1_scored_texts": scored_texts, "d2_embedded_chunks": embedded_chunks, "t2_streamed_again": streamed_again, "t4_incremental_rollup": incremental_rollup,
+    "d1_scored_texts": scored_texts, "d2_embedded_chunks": embedded_chunks, "t2_streamed_again": streamed_again, "t5_streamed_news": streamed_news, "i15_hybrid_union": hybrid_union, "t4_incremental_rollup": incremental_rollup,
 }
 
 _NEWS = "n AS (SELECT upper(source) AS symbol, doc_id, CAST(doc_id AS VARCHAR) AS number, TIMESTAMP '2024-01-01' + doc_id % 100000 * INTERVAL 1 MINUTE AS pub FROM documents)"
 _ISO = "strftime(pub, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
 _ALL_FLAGS = f"{_FLAGS}, f AS (SELECT flags.*, close, high, low, year(flags.ts) AS split FROM flags JOIN bars USING (symbol, ts))"
 
+_SLICES = """s AS (SELECT doc_id, doc_id // 3 AS ext, coalesce(trim(substring(text, 1, 60)), '') AS title, coalesce(trim(substring(text, 61, 200)), '') AS summary FROM documents),
+i AS (SELECT *, sha256(title || '|' || summary) AS sha, concat_ws('. ', nullif(trim(title), ''), nullif(trim(summary), '')) AS body FROM s)"""
+
 ORACLE_SQL = {
+    "t5_streamed_news": f"""WITH {_SLICES}, d AS (SELECT *, 0 AS run FROM i WHERE doc_id % 2 = 0 UNION ALL SELECT *, 1 FROM i WHERE doc_id % 2 = 1 OR doc_id % 4 = 0),
+        k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY ext, sha ORDER BY run, doc_id) = 1),
+        raw AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY ext ORDER BY run DESC, doc_id DESC) = 1),
+        born AS (SELECT ext, min(run) AS run FROM k GROUP BY ext), clean AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY sha ORDER BY run, doc_id) = 1),
+        w AS (SELECT *, CASE WHEN trim(body) <> '' THEN len(string_split(trim(body), ' ')) END AS score FROM clean)
+        SELECT 'run ' || run AS what, (SELECT count(*) FROM k WHERE k.run = r.run) AS items, (SELECT count(*) FROM born b WHERE b.run = r.run) AS raw_added,
+          (SELECT count(*) FROM clean c WHERE c.run = r.run) AS clean_added, (SELECT count(score) FROM w WHERE w.run = r.run) AS scored FROM (VALUES (0), (1)) r(run)
+        UNION ALL SELECT 'raw', count(*), CAST(sum(length(title)) AS BIGINT), CAST(sum(length(summary)) AS BIGINT), NULL FROM raw
+        UNION ALL SELECT 'clean', count(*), CAST(sum(length(title)) AS BIGINT), CAST(sum(length(summary)) AS BIGINT), CAST(sum(score) AS BIGINT) FROM w""",
+    "i15_hybrid_union": f"""WITH {_SLICES}, d AS (SELECT *, 0 AS provider FROM i WHERE doc_id % 2 = 0 UNION ALL SELECT *, 1 FROM i WHERE doc_id % 3 <> 1),
+        k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY ext, sha ORDER BY provider, doc_id) = 1)
+        SELECT provider, count(*) AS fetched, (SELECT count(*) FROM k WHERE k.provider = d.provider) AS kept, (SELECT CAST(sum(doc_id) AS BIGINT) FROM k WHERE k.provider = d.provider) AS row_sum,
+          (SELECT CAST(sum(length(title)) AS BIGINT) FROM k WHERE k.provider = d.provider) AS title_chars FROM d GROUP BY provider""",
     "t4_incremental_rollup": f"""WITH {sql.EVENTS}, d AS (SELECT DISTINCT symbol, CAST(ts AS DATE) AS day FROM hourly),
         k AS (SELECT *, max(day) OVER (PARTITION BY symbol) AS last FROM d), a AS (SELECT symbol, CAST(published_at AS DATE) AS day, count(*) AS n FROM articles GROUP BY ALL)
         SELECT symbol, count(*) AS days, strftime(min(day), '%Y-%m-%d') AS first_day, CAST(sum(coalesce(n, 0)) AS BIGINT) AS articles FROM k LEFT JOIN a USING (symbol, day)
