@@ -11,6 +11,9 @@ from marketloom.schemas import SENTIMENT_ALL
 from marketloom.sources.keyed import keep_last
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
+#: Trailing windows by name, and the stretch of time whose rows stand in one window: a symbol's rows are many groups.
+TRAILING = {"h1": HOUR, "h24": DAY, "d3": 3 * DAY}
+STRETCH = 16 * DAY
 NEWS = "published_at"
 
 
@@ -35,21 +38,32 @@ def _stats(w: Window, prefix: str) -> dict[str, Column]:
     }
 
 
+def _trailing(both: DataFrame) -> DataFrame:
+    """The probes of _both() with the statistics of TRAILING, whose windows are open at their start.
+
+    Time is cut in stretches. An article stands in its own and, where a window of the next one reaches back
+    to it, in that one too; a probe stands in its own alone. So no window holds more than a stretch of a symbol.
+    """
+    widest = max(TRAILING.values())
+    own, last = (F.floor(x / STRETCH) for x in (F.col("us"), F.col("us") + (widest - 1)))
+    cut = both.withColumn("stretch", F.explode(F.when(F.col("probe"), F.array(own)).otherwise(F.sequence(own, last))))
+    w = Window.partitionBy("symbol", "stretch").orderBy("us")
+    for name, size in TRAILING.items():
+        cut = cut.withColumns(_stats(w.rangeBetween(1 - size, 0), name))
+    return cut.where("probe").drop("stretch")
+
+
 def as_of_sentiment(bars: DataFrame, articles: DataFrame, market: str = "SPY") -> DataFrame:
     """Bars with SENTIMENT_ALL, from articles published at or before each bar alone.
 
     Trailing windows are open at their start. The day's statistics run from midnight (UTC). A null
-    score counts as 0; no articles give 0. Bars and articles share one exchange by symbol, or by
-    symbol and day; the market's own statistics are computed once for each instant.
+    score counts as 0; no articles give 0. Windows stand over a day, or a stretch of days, of a symbol, never
+    over all of its rows; the market's own statistics are computed once for each instant.
     """
-    by_symbol = Window.partitionBy("symbol").orderBy("us")
-    trailing = {f"{name}": by_symbol.rangeBetween(1 - size, 0) for name, size in (("h1", HOUR), ("h24", DAY), ("d3", 3 * DAY))}
     today = Window.partitionBy("symbol", "day").orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
     both = _both(bars.select("symbol", "ts").distinct(), articles).withColumn("day", F.to_date("ts"))
-    both = both.withColumns(_stats(today, "sym"))
-    for name, w in trailing.items():
-        both = both.withColumns(_stats(w, name))
-    own = both.where("probe").select(
+    # what the probes need of the day is computed where the day's rows are; articles go on as they are
+    own = _trailing(both.withColumns(_stats(today, "sym"))).select(
         "symbol", "ts",
         F.col("h24_mean").alias("news_sentiment_mean_z"), F.col("h1_mean").alias("sentiment_1h"), F.col("h24_mean").alias("sentiment_24h"),
         F.col("d3_mean").alias("sentiment_3d"), F.col("h24_n").alias("news_volume"), F.col("d3_sd").alias("sentiment_volatility"),
@@ -88,11 +102,7 @@ def daily_rollup(days: DataFrame, articles: DataFrame, cutoff: Column | None = N
     cutoff serve as history only.
     """
     ends = days.select("symbol", F.col("as_of_date")).distinct().withColumn("ts", F.date_add("as_of_date", 1).cast("timestamp"))
-    by_symbol = Window.partitionBy("symbol").orderBy("us")
-    both = _both(ends, articles)
-    for name, size in (("h1", HOUR), ("h24", DAY), ("d3", 3 * DAY)):
-        both = both.withColumns(_stats(by_symbol.rangeBetween(1 - size, 0), name))
-    rows = both.where("probe").withColumn("as_of_date", F.date_sub(F.to_date("ts"), 1))
+    rows = _trailing(_both(ends, articles)).withColumn("as_of_date", F.date_sub(F.to_date("ts"), 1))
     per_day = articles.groupBy("symbol", F.to_date(NEWS).alias("as_of_date")).agg(F.count("*").alias("article_count"), F.avg(F.coalesce("finbert_scalar", F.lit(0.0))).alias("mean_score"))
     rows = rows.join(per_day, ["symbol", "as_of_date"], "left").na.fill(0, ["article_count"]).na.fill(0.0, ["mean_score"])
     rows = rows.withColumn("ts", F.col("as_of_date"))

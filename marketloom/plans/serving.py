@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.windows import last_rows
 from marketloom.operators import backtest as trading
 from marketloom.operators import dataset, experiments, models, scanner
-from marketloom.operators.features import feature_tables, latest, numeric
+from marketloom.operators.features import feature_tables, latest, numeric, window_features
 from marketloom.operators.labels import trade_labels, walk_forward
 from marketloom.plans import sql
 from marketloom.plans.backtest import _CALMAR, _GRID
@@ -19,7 +19,7 @@ from marketloom.plans.features import DAY, day, rounded
 from marketloom.plans.prices import CLEAN
 from marketloom.schemas import CHART, CONTEXT, MODEL_VECTOR, VALUES
 from marketloom.session import shared_folder
-from marketloom.sources import ohlcv, tables
+from marketloom.sources import ohlcv, series, tables
 
 LEVEL = 0.35
 CLOSE = "2001-10-01"
@@ -43,6 +43,32 @@ def training_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("symbol", day(), "trade_success", *rounded(SHOWN), F.size(F.array(*MODEL_VECTOR)).alias("columns"))
 
 
+def latest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanner's rows: the last of each symbol, with context and sentiment; and how far each symbol's stages got."""
+    bars, market = numeric(tables.bars_daily(spark, sf_dir)), numeric(tables.market_bars(spark, sf_dir))
+    features, scores = feature_tables(bars)
+    # some symbols' z-scores end earlier, so that their last rows do not meet
+    scores = scores.where(~F.col("symbol").endswith("4") | (F.col("ts") < "2001-06-01"))
+    of = {name: feature_tables(market.where(F.col("symbol") == name))[1] for name in ("SPY", "QQQ", "^VIX")}
+    rows, stages = dataset.latest_rows(features, scores, of["SPY"], of["QQQ"], of["^VIX"], tables.articles(spark, sf_dir))
+    shown = rows.select("symbol", *rounded(["close", *SHOWN]))
+    at = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return stages.select("symbol", *(at(c) for c in ("latest_features", "latest_scores", "latest_context", "latest_merged"))).join(shown, "symbol", "left")
+
+
+def stored_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices and features of some symbols up to a day, from two tables that are joined bucket by bucket."""
+    name, folder = uuid.uuid4().hex, f"{shared_folder(spark)}/series-{uuid.uuid4().hex}"
+    bars = numeric(tables.bars_daily(spark, sf_dir)).drop("prob_trade_success")
+    prices, values = (series.SeriesTable(spark, f"{n}_{name}", f"{folder}/{n}", 16) for n in ("prices", "features"))
+    prices.save(bars)
+    values.save(window_features(bars.where(F.dayofmonth("ts") != 5)).na.drop("any", subset=["sma_50"]).select("symbol", "ts", "close", "sma_50", "return_5d"))
+    symbols = bars.select("symbol").distinct().where("symbol < 'N20'")
+    rows = series.joined(prices, values, symbols, "2000-12-31")
+    few = series.joined(prices, values, [" n03 ", "N07", "N07"], "1999-12-31").select("symbol", "ts", F.lit(True).alias("listed"))
+    return rows.join(few, ["symbol", "ts"], "left").select("symbol", day(), *rounded(["open", "close", "volume", "sma_50", "return_5d"]), "listed")
+
+
 def shared_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = tables.bars_daily(spark, sf_dir)
     rows = bars.withColumn("spy", F.dayofyear("ts")).withColumn("own", F.when(F.col("symbol") == "N03", F.col("close")))
@@ -169,7 +195,7 @@ def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "s01_ohlcv": ohlcv_prices, "m14_training_dataset": training_dataset, "p09_shared_context": shared_context, "a19_stage_times": stage_times,
+    "s01_ohlcv": ohlcv_prices, "m14_training_dataset": training_dataset, "x5_latest_rows": latest_rows, "s11_stored_series": stored_series, "p09_shared_context": shared_context, "a19_stage_times": stage_times,
     "k8_first_symbols": first_symbols, "x3_refresh": refresh, "x2_overall": overall, "x8_decisions": decisions, "x9_explained_decisions": explained_decisions,
     "x14_chart_history": chart, "f25_headline_digest": digests, "x10_rationale": rationales, "m16_predictions": predictions,
     "m09_stored_model": stored_model, "b21_split_metrics": split_metrics, "m18_experiment": experiment,
@@ -209,6 +235,16 @@ ORACLE_SQL = {
     "s01_ohlcv": f"""WITH {sql.BARS} SELECT symbol, strftime(ts + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M') AS at, {sql.rounded(["open", "high", "low", "close"])}, volume FROM bars""",
     "m14_training_dataset": f"""WITH RECURSIVE {_DATASET} SELECT n.symbol, {DAY.replace("ts,", "n.ts,")}, CASE WHEN hit IS NOT NULL THEN hit ELSE 0 END AS trade_success,
         {sql.rounded(SHOWN)}, CAST({len(MODEL_VECTOR)} AS INTEGER) AS columns FROM n LEFT JOIN hits USING (symbol, rn) WHERE hit IS NOT NULL OR total - rn >= 15""",
+    "x5_latest_rows": f"""WITH RECURSIVE {_DATASET.split("whole AS", 1)[0].replace("held AS (SELECT s.*,", "last_z AS (SELECT * FROM scores WHERE NOT (symbol LIKE '%4' AND ts >= TIMESTAMP '2001-06-01') QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1), held AS (SELECT s.*,").replace("FROM scores s JOIN spy", "FROM last_z s JOIN spy")}
+        last_f AS (SELECT symbol, ts, close FROM features WHERE symbol NOT IN ('SPY', 'QQQ', '^VIX') QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)
+        SELECT f.symbol, strftime(f.ts, '%Y-%m-%d') AS latest_features, strftime(z.ts, '%Y-%m-%d') AS latest_scores, strftime(ctx.ts, '%Y-%m-%d') AS latest_context,
+          CASE WHEN ctx.ts = f.ts THEN strftime(f.ts, '%Y-%m-%d') END AS latest_merged, CASE WHEN ctx.ts = f.ts THEN round(f.close, 6) END AS close,
+          {", ".join(f"CASE WHEN ctx.ts = f.ts THEN round(ctx.{c}, 6) END AS {c}" for c in SHOWN)}
+        FROM last_f f LEFT JOIN last_z z USING (symbol) LEFT JOIN ctx USING (symbol)""",
+    "s11_stored_series": f"""WITH {sql.BARS}, f AS (SELECT symbol, ts, CASE WHEN count(*) OVER w >= 50 THEN avg(close) OVER w END AS sma_50, close / lag(close, 5) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS return_5d
+          FROM bars WHERE dayofmonth(ts) <> 5 WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))
+        SELECT symbol, {DAY}, {sql.rounded(["open", "close"])}, round(CAST(volume AS DOUBLE), 6) AS volume, {sql.rounded(["sma_50", "return_5d"])}, CASE WHEN symbol IN ('N03', 'N07') AND ts <= TIMESTAMP '1999-12-31' THEN true END AS listed
+        FROM bars JOIN f USING (symbol, ts) WHERE sma_50 IS NOT NULL AND symbol < 'N20' AND ts <= TIMESTAMP '2000-12-31'""",
     "p09_shared_context": f"""WITH {sql.BARS} SELECT {DAY}, count(DISTINCT symbol) AS symbols, count(*) FILTER (symbol = 'N03') = 0 AS same
         FROM bars GROUP BY ts HAVING count(DISTINCT symbol) > 1""",
     "a19_stage_times": f"""WITH {sql.BARS}, e AS (SELECT symbol, max(ts) FILTER (dayofmonth(ts) % 2 = 0) AS f, max(ts) FILTER (symbol <> 'N07') AS s,
