@@ -21,9 +21,9 @@ from marketloom.llm.packing import chunk_starts
 from marketloom.llm.shared import bytes_of, id_and_text, materialise, read_bounded, slices, written
 
 #: Chunks that a Python worker remembers in each of two generations, and the longest of them.
-REMEMBERED, LONGEST = 150_000, 64
+REMEMBERED, LONGEST = 100_000, 64
 #: Text bytes that are encoded at once.
-WORK_BYTES = 4 << 20
+WORK_BYTES = 2 << 20
 #: Buckets by which A ids are dealt; a pair's bucket is that of its A id.
 BUCKETS = 512
 #: Distinct pairs that a task counts before it hands them on.
