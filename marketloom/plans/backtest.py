@@ -10,6 +10,7 @@ from marketloom.operators import thresholds
 from marketloom.operators.labels import trade_labels, walk_forward
 from marketloom.plans.context import LABELS
 from marketloom.plans.features import DAY, day, rounded
+from marketloom.session import shared_folder
 from marketloom.sources import tables
 
 LEVEL = 0.5
@@ -82,7 +83,21 @@ def floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return thresholds.trade_floor(_tests(spark, sf_dir))
 
 
+def objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best threshold by each objective, over one grid."""
+    tests = _tests(spark, sf_dir)
+    shared_folder(spark)
+    metrics = thresholds.grid_metrics(tests).checkpoint()
+    out = None
+    for name in thresholds.OBJECTIVES:
+        _, best = thresholds.optimise(tests, name, metrics=metrics)
+        own = best.select(F.lit(name).alias("objective"), "threshold", F.round("selection_score", 6).alias("selection_score"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 QUERIES = {
+    "b15_objectives": objectives,
     "b02_trades": trades,
     "b03_flagged_bars": flagged,
     "b12_symbol_metrics": symbol_metrics,
@@ -215,5 +230,8 @@ ORACLE_SQL = {
         k AS (SELECT *, CAST(greatest(3, min(max_rank) OVER ()) AS INTEGER) AS k FROM r)
         SELECT threshold, max_rank, k, round(mean_rank, 6) AS mean_rank, round(s, 6) AS selection_score FROM k WHERE max_rank <= k
         ORDER BY mean_rank, s DESC, threshold LIMIT 1""",
+    "b15_objectives": f"""WITH RECURSIVE {_GRID}, t AS (SELECT *, CASE WHEN total_trades >= min_trades THEN 0 ELSE 2 END AS tier FROM whole, floor_),
+        o AS (SELECT unnest({thresholds.OBJECTIVES!r}) AS objective, unnest([avg_cum_return, median_cum_return, min_cum_return, avg_cum_return - 1 - abs(avg_max_drawdown), {_CALMAR}]) AS score, threshold, tier FROM t)
+        SELECT objective, threshold, round(score, 6) AS selection_score FROM o QUALIFY row_number() OVER (PARTITION BY objective ORDER BY tier, score DESC, threshold) = 1""",
     "b16_trade_floor": f"WITH RECURSIVE {_GRID} SELECT trading_days, min_trades FROM floor_",
 }

@@ -78,7 +78,23 @@ def sentiment_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", F.date_format("ts", "yyyy-MM-dd").alias("day"), "news_volume", *rounded(["news_sentiment_mean_z", "sentiment_24h"]))
 
 
+def sentiment_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bars with each source of sentiment in turn: articles, the daily table, the cache, none."""
+    bars, articles = tables.bars_hourly(spark, sf_dir), tables.articles(spark, sf_dir)
+    daily = articles.select("symbol", F.to_date("published_at").alias("as_of_date"), F.col("finbert_scalar").alias("sentiment_24h"), F.col("article_id").alias("row_seq"))
+    cache = daily.where("row_seq % 3 = 0").select("symbol", F.col("as_of_date").cast("timestamp").alias("ts"), "sentiment_24h", "row_seq")
+    none = articles.limit(0)
+    turns = {"articles": (articles, daily, cache), "gold": (none, daily, cache), "cache": (none, daily.limit(0), cache), "neutral": (None, None, None)}
+    out = None
+    for name, sources in turns.items():
+        found = sentiment.attach_sentiment(bars, *sources).groupBy("symbol").agg(F.count("*").alias("bars"), F.round(F.sum("news_volume"), 4).alias("news"), F.round(F.sum("sentiment_24h"), 4).alias("score"))
+        own = found.select(F.lit(name).alias("source"), "*")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 QUERIES = {
+    "j08_sentiment_sources": sentiment_sources,
     "m01_trade_labels": trade_labels,
     "a15_label_counts": label_counts,
     "m02_chronological_split": chronological_split,
@@ -166,6 +182,15 @@ ORACLE_SQL = {
           QUALIFY row_number() OVER (PARTITION BY symbol, CAST(published_at AS DATE) ORDER BY article_id DESC) = 1)
         SELECT h.symbol, {TS.replace("ts,", "h.ts,")} AS ts, round(coalesce(finbert_scalar, 0), 6) AS sentiment_24h, 0.0 AS sentiment_1h
         FROM hourly h LEFT JOIN d ON d.symbol = h.symbol AND d.day = CAST(h.ts AS DATE)""",
+    "j08_sentiment_sources": f"""WITH {sql.EVENTS}, h AS (SELECT symbol, ts FROM hourly),
+        w AS (SELECT h.symbol, h.ts, count(a.article_id) AS n, coalesce(avg(coalesce(a.finbert_scalar, 0)) FILTER (a.article_id IS NOT NULL), 0) AS m
+          FROM h LEFT JOIN articles a ON a.symbol = h.symbol AND a.published_at > h.ts - INTERVAL 24 HOUR AND a.published_at <= h.ts GROUP BY h.symbol, h.ts),
+        d AS (SELECT symbol, CAST(published_at AS DATE) AS day, finbert_scalar FROM articles QUALIFY row_number() OVER (PARTITION BY symbol, CAST(published_at AS DATE) ORDER BY article_id DESC) = 1),
+        c AS (SELECT symbol, CAST(published_at AS DATE) AS day, finbert_scalar FROM articles WHERE article_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY symbol, CAST(published_at AS DATE) ORDER BY article_id DESC) = 1)
+        SELECT 'articles' AS source, symbol, count(*) AS bars, round(CAST(sum(n) AS DOUBLE), 4) AS news, round(sum(m), 4) AS score FROM w GROUP BY symbol
+        UNION ALL SELECT 'gold', h.symbol, count(*), 0.0, round(sum(coalesce(finbert_scalar, 0)), 4) FROM h LEFT JOIN d ON d.symbol = h.symbol AND d.day = CAST(h.ts AS DATE) GROUP BY h.symbol
+        UNION ALL SELECT 'cache', h.symbol, count(*), 0.0, round(sum(coalesce(finbert_scalar, 0)), 4) FROM h LEFT JOIN c ON c.symbol = h.symbol AND c.day = CAST(h.ts AS DATE) GROUP BY h.symbol
+        UNION ALL SELECT 'neutral', symbol, count(*), 0.0, 0.0 FROM h GROUP BY symbol""",
     "s20_sentiment_cache": f"""WITH {sql.EVENTS}, days AS (SELECT DISTINCT symbol, CAST(ts AS DATE) AS day FROM hourly),
         last AS (SELECT * FROM days QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY day DESC) <= 20),
         a AS (SELECT symbol, CAST(published_at AS DATE) AS day, avg(finbert_scalar) AS s, count(*) AS n FROM articles GROUP BY ALL),

@@ -139,8 +139,7 @@ def split_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def single_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = _flags(spark, sf_dir).where("symbol = 'N04'")
-    return trading.equity(flags, ["symbol"]).select("symbol", day(), *rounded(["cum_strategy_return"]))
+    return trading.equity(_flags(spark, sf_dir), ["symbol"]).select("symbol", day(), *rounded(["cum_strategy_return"]))
 
 
 def trade_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,7 +306,7 @@ ORACLE_SQL = {
     "k4_stable_order": f"WITH {sql.RAW} SELECT symbol, {DAY}, CAST(row_seq AS INTEGER) AS row_seq, CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts, row_seq) - 1 AS INTEGER) AS i FROM raw",
     "s21_split_artifacts": f"""WITH RECURSIVE {_ALL_FLAGS} SELECT CAST(split AS INTEGER) AS split, count(*) AS bars, CAST(sum(entry_trade) AS BIGINT) AS entries, round(sum(strategy_return), 4) AS returns,
         CASE WHEN split = (SELECT max(split) FROM f) THEN least(count(*), 5) END AS heads, CAST(0.45 AS DOUBLE) AS threshold, CAST(0.33 AS DOUBLE) AS fallback, CAST(60 AS DOUBLE) AS most, CAST(2 AS BIGINT) AS runs FROM f GROUP BY split""",
-    "b05_single_equity": f"""WITH RECURSIVE {_ALL_FLAGS} SELECT symbol, {DAY}, round(exp(sum(ln(1 + strategy_return)) OVER (ORDER BY ts)), 6) AS cum_strategy_return FROM f WHERE symbol = 'N04'""",
+    "b05_single_equity": f"""WITH RECURSIVE {_ALL_FLAGS} SELECT symbol, {DAY}, round(exp(sum(ln(1 + strategy_return)) OVER (PARTITION BY symbol ORDER BY ts)), 6) AS cum_strategy_return FROM f""",
     "x13_trade_rows": f"""WITH RECURSIVE {_ALL_FLAGS}, o AS (SELECT * FROM f WHERE split = 1997),
         e AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM o WHERE entry_trade = 1),
         x AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM o WHERE exit_trade = 1)

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.operators import experiments, models, vectors
+from marketloom.functions.windows import last_rows
+from marketloom.operators import experiments, forests, models, scanner, vectors
 from marketloom.operators.features import numeric, window_features
 from marketloom.operators.incremental import FeatureStore
-from marketloom.operators.labels import trade_labels, walk_forward
+from marketloom.operators.labels import chronological, trade_labels, walk_forward
 from marketloom.plans import sql
 from marketloom.plans.context import LABELS
 from marketloom.plans.features import DAY, rounded
@@ -42,6 +43,31 @@ def walk_forward_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select(*(c for c in whole.columns if c not in numbers), *rounded(numbers))
 
 
+def _forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with a label and the forest's nodes, fitted to each symbol's first rows."""
+    shared_folder(spark)
+    rows = chronological(trade_labels(window_features(numeric(tables.bars_daily(spark, sf_dir)))).na.drop("any", subset=INPUTS)).checkpoint()
+    model = models.estimator("random_forest", INPUTS).fit(rows.where("part = 'train'"))
+    scored = models.with_probability(model, rows.where("part = 'test'").drop("prob_trade_success"))
+    return scored, forests.forest_nodes(model, INPUTS)
+
+
+def forest_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the forest splits by, with its held-out errors."""
+    scored, nodes = _forest(spark, sf_dir)
+    errors = models.evaluation(scored).select(*rounded(["accuracy", "prob_mean"]))
+    return forests.forest_importances(nodes).select("feature", F.round("importance", 6).alias("importance"), "splits").join(errors)
+
+
+def forest_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each symbol's last decision by the forest, explained by its own importances."""
+    scored, nodes = _forest(spark, sf_dir)
+    rows = scored.withColumns({"probability": F.col("prob_trade_success"), "volume_sma_20": F.avg("volume").over(last_rows(20)), "ema_10": F.col("sma_10"), "ema_20": F.col("sma_20"), "macd": F.lit(0.0), "macd_signal": F.lit(0.0), "rsi_14": F.lit(50.0), "sym_sentiment_d1": F.lit(None).cast("double"), "spy_sentiment_d1": F.lit(None).cast("double")})
+    out = scanner.explained_decisions(rows, 0.33, INPUTS, forests.forest_importances(nodes), magnitudes=3, bars=30)
+    names = lambda c: F.array_join(F.col(f"{c}.feature"), ",").alias(c)
+    return out.select("symbol", "should_trade", "reason", names("top_feature_magnitudes"), names("global_feature_importance"), F.size("chart_history").alias("bars"))
+
+
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = trade_labels(tables.bars_daily(spark, sf_dir))
     return models.evaluation(scored).select(*rounded(["mae", "directional_accuracy", "accuracy", "prob_min", "prob_max", "prob_mean"]))
@@ -81,6 +107,8 @@ QUERIES = {
     "t3_incremental_features": incremental_features,
     "m17_walk_forward_logistic": walk_forward_logistic,
     "m17_experiment": walk_forward_experiment,
+    "m05_forest_importances": forest_importances,
+    "x9_forest_decisions": forest_decisions,
     "m12_evaluation": evaluation,
     "d3_most_similar": similar,
     "t1_streamed_prices": streamed_prices,

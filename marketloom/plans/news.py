@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from marketloom.operators import scanner
 from marketloom.operators.features import latest
 from marketloom.plans import sql
 from marketloom.plans.features import rounded
+from marketloom.session import shared_folder
 from marketloom.sources import news, tables
 
 START, END = "2024-01-01", "2030-12-31"
@@ -37,6 +40,22 @@ def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _items(spark, sf_dir).select("symbol", "external_id", "content_sha256", scalars.iso(F.col("published_at")).alias("published_at"), F.length("text_for_score").alias("chars"), "row_seq")
 
 
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same items read from a Parquet file and from CSV, texts with line breaks and quotes included."""
+    folder = f"{shared_folder(spark)}/news-{uuid.uuid4().hex}"
+    # CSV has one null: an empty text comes back as none, and both count as empty
+    rows = _rows(spark, sf_dir).select("ticker", "published_at", "headline", "summary", "text", "url", "doc_id")
+    rows.where("doc_id % 2 = 0").write.parquet(f"{folder}/even.parquet")
+    rows.where("doc_id % 2 = 1").write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/odd")
+    out = None
+    for name in ("even.parquet", "odd"):
+        own = news.read_file(spark, f"{folder}/{name}")
+        symbols = own.select(F.col("ticker").alias("symbol")).where("symbol <> 'SRC3'").distinct()
+        found = news.mapped(own, news.MAPPINGS["ticker_news"], symbols, START, END, F.col("doc_id").cast("long"))
+        out = found if out is None else out.unionByName(found)
+    return out.select("symbol", "external_id", "content_sha256", scalars.iso(F.col("published_at")).alias("published_at"), F.length("text_for_score").alias("chars"), "row_seq")
+
+
 def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = _items(spark, sf_dir)
     later = _rows(spark, sf_dir).where("doc_id % 3 = 0").withColumn("published_at", F.date_format(F.to_timestamp("published_at") + F.expr("INTERVAL 20 SECONDS"), "yyyy-MM-dd HH:mm:ss"))
@@ -127,7 +146,7 @@ def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "s03_mapped_news": mapped, "u02_combined_news": combined, "i12_silver_news": silver, "f09_relevance": relevance, "f15_chunks": chunks,
+    "s03_mapped_news": mapped, "s02_news_files": files, "u02_combined_news": combined, "i12_silver_news": silver, "f09_relevance": relevance, "f15_chunks": chunks,
     "f14_signed_scores": signed_scores, "k2_recent_news": recent, "x1_freshness": freshness, "x7_ranking": ranking, "x6_skip_reasons": skips,
     "x10_trade_analysis": analysis, "f21_context_tags": tags, "k6_top_magnitudes": magnitudes, "f12_session_close": closes, "f19_payloads": payloads,
 }
@@ -197,3 +216,4 @@ ORACLE_SQL = {
         SELECT event_id, strftime(close_ts, '%Y-%m-%d %H:%M') AS close, strftime(CAST(day AS TIMESTAMP) + INTERVAL 21 HOUR, '%Y-%m-%d %H:%M') AS plain
         FROM v ASOF LEFT JOIN c ON v.ts >= c.close_ts""",
 }
+ORACLE_SQL["s02_news_files"] = ORACLE_SQL["s03_mapped_news"]

@@ -43,6 +43,15 @@ def training_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("symbol", day(), "trade_success", *rounded(SHOWN), F.size(F.array(*MODEL_VECTOR)).alias("columns"))
 
 
+def inference_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dataset without labels: each symbol's last rows stay. Rows a symbol and year, with their last day."""
+    bars, market = numeric(tables.bars_daily(spark, sf_dir)), numeric(tables.market_bars(spark, sf_dir))
+    features, scores = feature_tables(bars)
+    of = {name: feature_tables(market.where(F.col("symbol") == name))[1] for name in ("SPY", "QQQ", "^VIX")}
+    rows = dataset.model_matrix(dataset.dataset(features, scores, of["SPY"], of["QQQ"], of["^VIX"], tables.articles(spark, sf_dir), labelled=False))
+    return rows.groupBy("symbol", F.year("ts").alias("year")).agg(F.count("*").alias("bars"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("last_day"), F.round(F.sum("vix_level_z"), 4).alias("level"))
+
+
 def latest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scanner's rows: the last of each symbol, with context and sentiment; and how far each symbol's stages got."""
     bars, market = numeric(tables.bars_daily(spark, sf_dir)), numeric(tables.market_bars(spark, sf_dir))
@@ -162,14 +171,14 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of a fitted model and of the same model after it was stored and read again."""
     columns = ["open", "close"]
-    rows = walk_forward(trade_labels(tables.bars_daily(spark, sf_dir)), 250, 60, 60).where("split = 0")
-    rows = rows.drop("prob_trade_success")
-    model = models.estimator("logistic_regression", columns, scaled=True).fit(rows.where("part = 'train'"))
+    rows = walk_forward(trade_labels(tables.bars_daily(spark, sf_dir)), 250, 60, 60).drop("prob_trade_success")
+    model = models.estimator("logistic_regression", columns, scaled=True).fit(rows.where("part = 'train' and split = 0"))
     path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
     models.save_model(model, columns, path)
     again, names = models.load_model(path)
-    test = rows.where("part = 'test'").select("symbol", "ts", *names)
-    both = models.with_probability(model, test, "before").join(models.with_probability(again, test, "after"), ["symbol", "ts"])
+    # the first split's model scores the test rows of all splits
+    test = rows.where("part = 'test'").select("split", "symbol", "ts", *names)
+    both = models.with_probability(model, test, "before").join(models.with_probability(again, test, "after"), ["split", "symbol", "ts"])
     return both.agg(F.count("*").alias("bars"), F.count(F.when(F.col("before") == F.col("after"), 1)).alias("equal"))
 
 
@@ -195,7 +204,7 @@ def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "s01_ohlcv": ohlcv_prices, "m14_training_dataset": training_dataset, "x5_latest_rows": latest_rows, "s11_stored_series": stored_series, "p09_shared_context": shared_context, "a19_stage_times": stage_times,
+    "s01_ohlcv": ohlcv_prices, "m14_training_dataset": training_dataset, "m15_inference_dataset": inference_dataset, "x5_latest_rows": latest_rows, "s11_stored_series": stored_series, "p09_shared_context": shared_context, "a19_stage_times": stage_times,
     "k8_first_symbols": first_symbols, "x3_refresh": refresh, "x2_overall": overall, "x8_decisions": decisions, "x9_explained_decisions": explained_decisions,
     "x14_chart_history": chart, "f25_headline_digest": digests, "x10_rationale": rationales, "m16_predictions": predictions,
     "m09_stored_model": stored_model, "b21_split_metrics": split_metrics, "m18_experiment": experiment,
@@ -235,6 +244,8 @@ ORACLE_SQL = {
     "s01_ohlcv": f"""WITH {sql.BARS} SELECT symbol, strftime(ts + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M') AS at, {sql.rounded(["open", "high", "low", "close"])}, volume FROM bars""",
     "m14_training_dataset": f"""WITH RECURSIVE {_DATASET} SELECT n.symbol, {DAY.replace("ts,", "n.ts,")}, CASE WHEN hit IS NOT NULL THEN hit ELSE 0 END AS trade_success,
         {sql.rounded(SHOWN)}, CAST({len(MODEL_VECTOR)} AS INTEGER) AS columns FROM n LEFT JOIN hits USING (symbol, rn) WHERE hit IS NOT NULL OR total - rn >= 15""",
+    "m15_inference_dataset": f"""WITH RECURSIVE {_DATASET} SELECT symbol, CAST(year(ts) AS INTEGER) AS year, count(*) AS bars, strftime(max(ts), '%Y-%m-%d') AS last_day, round(sum(vix_level_z), 4) AS level
+        FROM whole GROUP BY symbol, year(ts)""",
     "x5_latest_rows": f"""WITH RECURSIVE {_DATASET.split("whole AS", 1)[0].replace("held AS (SELECT s.*,", "last_z AS (SELECT * FROM scores WHERE NOT (symbol LIKE '%4' AND ts >= TIMESTAMP '2001-06-01') QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1), held AS (SELECT s.*,").replace("FROM scores s JOIN spy", "FROM last_z s JOIN spy")}
         last_f AS (SELECT symbol, ts, close FROM features WHERE symbol NOT IN ('SPY', 'QQQ', '^VIX') QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)
         SELECT f.symbol, strftime(f.ts, '%Y-%m-%d') AS latest_features, strftime(z.ts, '%Y-%m-%d') AS latest_scores, strftime(ctx.ts, '%Y-%m-%d') AS latest_context,
@@ -281,7 +292,7 @@ ORACLE_SQL = {
           || '; news=' || substring(repeat(symbol || ' rises again. ', 12), 1, 120), 1, 280) AS rationale_brief,
           round(sa, 6) AS sentiment_adjustment, round({_CLAMP.format("p + fa", 0, 1)}, 6) AS adjusted_score FROM c""",
     "m16_predictions": f"""WITH {_RETURNS} SELECT symbol, {DAY}, CASE WHEN p > 0.02 THEN 1 WHEN p < -0.02 THEN -1 ELSE 0 END AS signal, round(p, 6) AS predicted_return, round(y, 6) AS actual_return FROM p""",
-    "m09_stored_model": f"WITH RECURSIVE {_GRID} SELECT count(*) AS bars, count(*) AS equal FROM tests WHERE split = 0",
+    "m09_stored_model": f"WITH RECURSIVE {_GRID} SELECT count(*) AS bars, count(*) AS equal FROM tests",
     "b21_split_metrics": f"""WITH RECURSIVE {_GRID} SELECT CAST(split AS INTEGER) AS split, strategy_trade_count, round(cum_return, 6) AS cum_return, round(cum_market_return * 2, 6) AS cum_market_return,
         round(win_rate, 6) AS win_rate, round(max_drawdown, 6) AS max_drawdown FROM metrics WHERE threshold = {LEVEL}""",
     "m18_experiment": f"""WITH RECURSIVE {_GRID}, said AS (SELECT *, CAST(prob_trade_success > 0.5 AS INTEGER) AS c FROM tests),
