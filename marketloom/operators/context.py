@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.windows import gated, running
 from marketloom.schemas import CONTEXT, INDEX_CONTEXT
+from marketloom.session import shared_folder
 
 #: Context tables of up to this many rows (an instant each) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
 def by_instant(bars: DataFrame, context: DataFrame, on: str = "ts") -> DataFrame:
-    """Left equi join with one row for each instant; broadcast only where a count shows that it is small."""
+    """Left equi join with one row for each instant; broadcast only where a count shows that it is small.
+
+    The context is computed once, in the shared folder: the count and the join read it there.
+    """
+    shared_folder(context.sparkSession)
+    context = context.checkpoint()
     return bars.join(F.broadcast(context) if context.count() <= BROADCAST_ROWS else context, on, "left")
 
 
@@ -44,8 +50,9 @@ def volatility_context(scores: DataFrame) -> DataFrame:
 def as_of(probes: DataFrame, context: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, ts, context's columns) for each distinct probe: the last context row at or before it.
 
-    Only distinct keys and instants meet the context, never the bars. Instants are put in order by
-    calendar units, so that no task gets all of them.
+    Only distinct keys and instants meet the context, never the bars. They are counted: up to
+    BROADCAST_ROWS of them stand in one window (for each of the keys), more are put in order by calendar units, so
+    that no task gets all of them.
     """
     keys = keys or []
     columns = [c for c in context.columns if c not in [*keys, "ts"]]
@@ -54,7 +61,14 @@ def as_of(probes: DataFrame, context: DataFrame, keys: list[str] | None = None)
     both = both.unionByName(probes.select(*keys, "ts").distinct().select(*keys, "ts", empty.alias("__c"), F.lit(True).alias("__probe")))
     # one row an instant: the context's own row is as of its instant too
     both = both.groupBy(*keys, "ts").agg(F.max_by("__c", F.when(~F.col("__probe"), F.lit(1))).alias("__own"), F.bool_or("__probe").alias("__probe"))
-    return running(both, keys, {"__c": (F.last, F.col("__own"))}).where("__probe").select(*keys, "ts", "__c.*")
+    shared_folder(both.sparkSession)
+    both = both.checkpoint()
+    if both.count() <= BROADCAST_ROWS:
+        before = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+        found = both.withColumn("__c", F.last("__own", ignorenulls=True).over(before))
+    else:
+        found = running(both, keys, {"__c": (F.last, F.col("__own"))})
+    return found.where("__probe").select(*keys, "ts", "__c.*")
 
 
 def attach_context(scores: DataFrame, spy: DataFrame, qqq: DataFrame, vix: DataFrame, complete: bool = True) -> DataFrame:

@@ -115,3 +115,21 @@ def test_latest_rows_are_cut_first(spark):
     last = {x.symbol: (x.latest_features, x.latest_scores, x.latest_context, x.latest_merged) for x in stages.collect()}
     two, one = DAY + dt.timedelta(days=2), DAY + dt.timedelta(days=1)
     assert last == {"A": (two, two, two, two), "B": (one, DAY, DAY, None)}
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_as_of_in_one_window_or_by_units(spark, monkeypatch, few):
+    from marketloom.operators import context
+
+    monkeypatch.setattr(context, "BROADCAST_ROWS", few)
+    r = random.Random(17)
+    at = lambda: DAY + dt.timedelta(hours=r.randrange(3000))
+    rows = [(k, at(), r.choice([None, float(n)])) for n, k in enumerate(r.choices("ab", k=60))]
+    rows = list({(k, t): (k, t, v) for k, t, v in rows}.values())
+    probes = [(r.choice("abc"), at()) for _ in range(80)] + [rows[0][:2], rows[0][:2]]
+    got = context.as_of(spark.createDataFrame(probes, "k string, ts timestamp"), spark.createDataFrame(rows, "k string, ts timestamp, v double"), ["k"])
+    want = {}
+    for k, t in probes:
+        before = [(u, v) for j, u, v in rows if j == k and u <= t]
+        want[k, t] = max(before)[1] if before else None
+    assert {(x.k, x.ts): x.v for x in got.collect()} == want and got.count() == len(want)
