@@ -107,6 +107,7 @@ def trade_analysis(rows: DataFrame, decision: str | None = None) -> DataFrame:
     A null sentiment counts as neutral (0); without a probability or threshold the scores are null.
     """
     p, t, s = F.col("probability"), F.col("threshold"), F.coalesce(F.col("sentiment"), F.lit(0.0))
+    # weights, bounds, names of flags and labels: fixed values
     by_news = clamp(s * 0.04, -0.06, 0.06)
     conviction = clamp((p - t) * 1.5 + by_news, -1.0, 1.0)
     by_conviction = clamp(conviction * 0.05, -0.08, 0.08)

@@ -20,13 +20,20 @@ VALUES = ["close", *FEATURES]
 #: Features of a market index that bars get as context, and of the volatility index (fixed values).
 INDEX_CONTEXT = ["return_1d", "return_5d", "volatility_20", "sma_20", "ema_trend_bull", "ema_slope_20"]
 CONTEXT = [
-    *(f"{m}_{c}_z" for m in ("spy", "qqq") for c in [*INDEX_CONTEXT, "return_5d_z_minus_1d"]),
+    "spy_return_1d_z", "spy_return_5d_z", "spy_volatility_20_z", "spy_sma_20_z", "spy_ema_trend_bull_z", "spy_ema_slope_20_z", "spy_return_5d_z_minus_1d_z",
+    "qqq_return_1d_z", "qqq_return_5d_z", "qqq_volatility_20_z", "qqq_sma_20_z", "qqq_ema_trend_bull_z", "qqq_ema_slope_20_z", "qqq_return_5d_z_minus_1d_z",
     "vix_level_z", "vix_change_z", "vix_return_5d_z", "vix_volatility_20_z", "vix_sma_20_z", "vix_high_vol_z",
 ]
 #: The news columns of the model vector (fixed values).
-SENTIMENT = [f"{who}_{what}_d1" for who in ("sym", "spy") for what in ("sentiment", "news_volume", "sentiment_vol")]
+SENTIMENT = [
+    "sym_sentiment_d1", "sym_news_volume_d1", "sym_sentiment_vol_d1",
+    "spy_sentiment_d1", "spy_news_volume_d1", "spy_sentiment_vol_d1",
+]
 #: All sentiment columns that a bar carries (fixed values); the first ones are not in the model vector.
-SENTIMENT_ALL = ["news_sentiment_mean_z", "sentiment_1h", "sentiment_24h", "sentiment_3d", "news_volume", "sentiment_volatility", *SENTIMENT]
+SENTIMENT_ALL = [
+    "news_sentiment_mean_z", "sentiment_1h", "sentiment_24h", "sentiment_3d", "news_volume", "sentiment_volatility",
+    "sym_sentiment_d1", "sym_news_volume_d1", "sym_sentiment_vol_d1", "spy_sentiment_d1", "spy_news_volume_d1", "spy_sentiment_vol_d1",
+]
 TARGET = "trade_success"
 
 
