@@ -549,7 +549,8 @@ def class_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     where the exchange gain by its own neighbours is greatest. Counts, neighbours and classes of words grow with the input;
     the most frequent words are broadcast, all others are joined, and for these no word is hot. A null or
     empty text is one end. Repeated rows and equal ids are each learned from and scored; rows
-    with a null id are held out; without rows to learn from all counts are 0. An empty table gives
+    with a null id are held out; without rows to learn from all counts are 0. Texts of any length are scored whole; behind eight unseen words in a row (RUN)
+    the chances of their classes are taken for those after eight. An empty table gives
     none. Other columns play no part. Results do not depend on partitions.
     """
     rows = id_and_text(docs, id_col, text_col).withColumn("learn", ~is_held_out("id"))

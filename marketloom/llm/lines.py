@@ -65,7 +65,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more stay only in the document with the largest id that holds it (all of its lines with that
     key). Other lines stay as they are, in their order. A null text counts as one empty line.
     Rows with equal ids are one document for the counts and each is cut for itself; rows with a
-    null id are together one document with the smallest id. An empty table stays empty; all other
+    null id are together one document with the smallest id. Texts of any length are taken whole. An empty table stays empty; all other
     columns are passed on, but a column named as stats_col is replaced.
     """
 

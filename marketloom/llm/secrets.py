@@ -79,7 +79,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one owner in live_repos repositories or fewer. Spans of BASE kinds always stay; further
     candidates stay only if they are live and overlap no span of a BASE kind. A null or empty text
     has no spans; null repositories and owners count as one of their own each; repeated rows are
-    one holder if their repository and owner are equal. An empty table gives none. Other columns
+    one holder if their repository and owner are equal. Texts of any length are searched whole, each in one
+    task. An empty table gives none. Other columns
     play no part.
     """
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))

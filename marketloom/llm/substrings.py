@@ -211,8 +211,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words of one row covers is removed if the window's words also start anywhere else, in the same
     row or another; windows are judged on the input. The words left are joined by one space. Null
     and empty texts have no words; repeated rows and rows with equal or null ids count as so many
-    places. An empty table stays empty; all other columns are passed on, but a column named as
-    stats_col is replaced.
+    places. Texts of any length are taken whole. An empty table stays empty; all other columns are passed on,
+    but a column named as stats_col is replaced.
     """
     matched = repeated_windows(docs, id_col, text_col, window)
 
