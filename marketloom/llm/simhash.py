@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.components import connected_components
-from marketloom.llm.shared import id_and_text, materialise, slices, words_of
+from marketloom.llm.shared import id_and_text, join_counted, materialise, slices, words_of
 
 BITS = 64
 #: Fingerprints that one BK-tree holds at most; larger shards are cut in chunks, each pair of which is a unit of work.
@@ -243,12 +243,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Fingerprints link at radius or fewer differing bits; a row reaches itself. Copies share one
     fingerprint and are never expanded into pairs. Rows with a null id take part and get the
     component of their fingerprint, null where no id is known there; repeated rows are all kept.
+    Texts of any length are taken whole.
     An empty table gives an empty table; columns besides the id and the text play no part.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, shingle, seed))
-    nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("first")))
+    nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
     parts = connected_components(fingerprint_links(nodes.select("fp"), radius))
-    rooted = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    named = rooted.join(least, "root").select("fp", "component")
-    return prints.join(named, "fp").select("id", "fp", "component")
+    named = materialise(rooted.join(least, "root").select("fp", "component", "n"))
+    # rows of one fingerprint, as all empty texts, meet its component where they are
+    return join_counted(prints, named, ["fp"], prints.count()).select("id", "fp", "component")
