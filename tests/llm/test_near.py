@@ -5,8 +5,9 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from marketloom.llm import near
+from marketloom.llm import near, simhash
 
 
 def prose(r, n):
@@ -148,3 +149,24 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     kept = corpus_pipeline.near_dedup(spark, frame, "")
     assert kept.columns == frame.columns
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(1, a), (2, b), (3, c), (None, d), (4, None)]))
+
+
+def test_half_of_all_texts_are_empty(spark):
+    """Empty texts are one fingerprint and one component, met where their rows are."""
+    rows = [(i, "" if i % 2 else f"some words of text number {i} and {i * 7} more of them") for i in range(400)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)).withColumn("component", F.lit("x"))
+    for found in (simhash.simhash_components(docs), near.near_duplicates(docs)):
+        got = found.collect()
+        assert len(got) == 401 and {r.component for r in got if r.id is None or r.id % 2} == {1}
+        assert all(r.component is not None and r.component <= r.id for r in got if r.id is not None)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"line {i}\nthe same long line in all of the documents", "en", "s", 3) for i in range(5)] + [(5, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"near_row": F.lit("mine"), "Line_Dedup": F.lit(7), "id": F.lit(9), "key": F.lit(8)})
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.near_dedup):
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns and {(r.near_row, r.Line_Dedup, r.id, r.key) for r in got.collect()} == {("mine", 7, 9, 8)}
+        assert stage(spark, docs.limit(0), "").collect() == []
