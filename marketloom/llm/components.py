@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.shared import join_counted, materialise
+from marketloom.llm.shared import compact, join_counted, materialise
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,7 +13,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Every step is two shuffles of the links: the smallest neighbour of each node (combined on the
     map side, so that a node with many links is no single group), then a join of the links with
-    it, in which nodes with many links are met by a broadcast. Links are never gathered by node.
+    it, in which nodes with many links are met by a broadcast. Links are never gathered by node;
+    few links stay in few partitions.
     Null ends and self links are left out; no links give an empty table.
     """
     edges = materialise(
@@ -22,9 +23,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .distinct()
     )
     before, total = None, edges.count()
+    edges = compact(edges, total)
     while True:
-        edges = materialise(_large_star(edges, 2 * total))
-        edges = materialise(_small_star(edges, 2 * total))
+        edges = materialise(compact(_large_star(edges, 2 * total), total))
+        edges = materialise(compact(_small_star(edges, 2 * total), 2 * total))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -45,4 +47,4 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node links itself and its smaller neighbours to the smallest of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     joined = join_counted(edges, least, ["u"], total).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return joined.where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return compact(joined.where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))), 2 * total).distinct()

@@ -18,6 +18,8 @@ from marketloom.session import shared_folder
 SLICE_BYTES = 2 << 20
 #: A key with more rows than this, and than a share of 1 / MOST_HOT of all rows, is hot: there are at most MOST_HOT such keys.
 LEAST_HOT, MOST_HOT = 64, 10_000
+#: Rows that one partition of a small table holds at least before it is cut in more.
+PART_ROWS = 50_000
 #: Largest file that may be broadcast to the executors (vocabularies, benchmarks).
 BROADCAST_BYTES = 64 << 20
 
@@ -32,6 +34,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, most: int) -> DataFrame:
+    """A table of narrow rows, most of them at most, in as many partitions as these call for.
+
+    A shuffle writes files for each partition it reads: a table of few rows in as many partitions as
+    the session shuffles to would take more disk for empty files than for its rows.
+    """
+    return df.coalesce(max(1, -(-most // PART_ROWS)))
+
+
 def written(df: DataFrame, *partitions: str) -> DataFrame:
     """The rows written as Parquet in the shared folder and read again: later readers take only the columns and partitions they need."""
     folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -161,6 +161,26 @@ def test_half_of_all_texts_are_empty(spark):
         assert all(r.component is not None and r.component <= r.id for r in got if r.id is not None)
 
 
+def test_few_links_stay_in_few_partitions(spark, monkeypatch):
+    """Files of a shuffle and a checkpoint follow the rows, not the session's shuffle partitions."""
+    from marketloom.llm import components
+
+    seen, materialise = [], components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df: seen.append(df.rdd.getNumPartitions()) or materialise(df))
+    monkeypatch.setattr("marketloom.llm.shared.PART_ROWS", 60)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        links = spark.createDataFrame([(i, i + 1) for i in range(99)] + [(200, i) for i in range(201, 230)], "a long, b long")
+        got = {x.node: x.root for x in components.connected_components(links).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {**dict.fromkeys(range(100), 0), **dict.fromkeys(range(200, 230), 200)}
+    assert len(seen) > 2 and max(seen[1:]) <= 5
+
+
 def test_stages_keep_columns_of_any_name(spark):
     import corpus_pipeline
 
