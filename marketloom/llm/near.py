@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm.components import connected_components
-from marketloom.llm.shared import id_and_text, join_counted, materialise, slices, words_of
+from marketloom.llm.shared import compact, id_and_text, join_counted, materialise, slices, words_of
 
 #: Nodes of a unit of work; larger shards are cut in units of about that size.
 TREE_SIZE = 1024
+#: Text bytes whose shingles a task holds at once.
+PART_BYTES = 1 << 19
 #: Shingles of a chunk where sets are compared.
 CHUNK_SHINGLES = 1 << 20
 #: Bands of so many least hashes; a pair is a candidate where it agrees in one of them.
@@ -328,7 +330,7 @@ def shingle_sets(docs: DataFrame, keys: DataFrame, shingle: int, known: DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=PART_BYTES):
                 key, full, rolled, starts = text_shingles(part.column(1), shingle)
                 ends = pa.array(np.append(starts, len(rolled)), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(key[full].view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(rolled.view(np.int64)))], ["key", "shingles"])
@@ -343,9 +345,10 @@ def shingle_sets(docs: DataFrame, keys: DataFrame, shingle: int, known: DataFram
     return sets if known is None else known.unionByName(sets)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets have the Jaccard similarity."""
-    left, right = (sets.select(F.col("key").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float, few: bool = False) -> DataFrame:
+    """The pairs whose sets have the Jaccard similarity. few: at most BROADCAST_KEYS pairs, so that no other sets need to travel."""
+    ends = {c: sets.join(F.broadcast(pairs.select(F.col(c).alias("key"))), "key", "left_semi") if few else sets for c in "ab"}
+    left, right = (own.select(F.col("key").alias(c), F.col("shingles").alias(f"s{c}")) for c, own in ends.items())
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return both.where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common")) - 1e-9).select("a", "b")
 
@@ -359,12 +362,13 @@ def _rooted(links: DataFrame, roots: DataFrame | None) -> DataFrame:
     return links.where("ra <> rb")
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, linked: DataFrame | None = None) -> DataFrame:
     """(a, b) keys of similar nodes, enough to connect all that share a band and have the similarity.
 
-    docs: id, text; nodes: distinct key, bands b0.., sketch parts w0... Units of each shard propose
+    docs: id, text; nodes: distinct key, bands b0.., sketch parts w0..; linked: (a, b) keys that are
+    linked already, each to the smallest of its class, which are given too. Units of each shard propose
     links that would connect them, and members of large shards' classes do so once more. Each node's
-    closest link is verified, then each component's, then all that are left between components, so
+    closest link is verified, then each component's (once where links are given), then all that are left between components, so
     that a group of copies costs about as many comparisons as it has texts. Last, all agreeing pairs
     between unconnected nodes of a shard are compared: no link between components is left out.
     """
@@ -375,21 +379,28 @@ def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: f
     tried = materialise(_ordered(first.unionByName(again).where("b is not null")))
     del first, again
     _released(docs.sparkSession)
+    most = tried.count()
+    tried = compact(tried, most)
     sets = shingle_sets(docs, tried.select(F.explode(F.array("a", "b")).alias("key")).distinct(), shingle)
-    found, roots, open_links = None, None, tried
-    for turn in range(3):
+    found, open_links, roots, known, turns = linked, tried, None, 0, 3
+    if linked is not None:
+        # classes stand for the first turn
+        known, turns = linked.count(), 2
+        roots = linked.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    for turn in range(turns):
         left = _rooted(open_links, roots)
-        if turn < 2:
+        if turn < turns - 1:
             best = F.min(F.struct("apart", "a", "b")).alias("l")
             ends = left.select(F.explode(F.array("ra", "rb")).alias("r"), "apart", "a", "b")
             chosen = ends.groupBy("r").agg(best).select("l.a", "l.b").distinct()
         else:
             chosen = left.select("a", "b")
-        chosen = materialise(chosen)
-        linked = verified(chosen, sets, similarity)
-        found = materialise(linked if found is None else found.unionByName(linked))
-        roots = connected_components(found)
-        open_links = open_links.join(chosen, ["a", "b"], "left_anti")
+        chosen = materialise(compact(chosen, most))
+        similar = verified(chosen, sets, similarity, chosen.count() <= BROADCAST_KEYS)
+        found = materialise(compact(similar if found is None else found.unionByName(similar), known + most))
+        roots = materialise(connected_components(found))
+        open_links = compact(open_links.join(chosen, ["a", "b"], "left_anti"), most)
     _released(docs.sparkSession)
     named = roots.withColumnRenamed("node", "key")
     rows = rows.join(named, "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -397,11 +408,22 @@ def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: f
     return found.unionByName(crossing_links(docs, rows, nodes, sets, shingle, limit, similarity))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def class_links(prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): the keys of each class as links to its smallest one. prints: id, key; classes: id, component."""
+    pairs = materialise(prints.select("id", "key").join(classes.select("id", "component"), "id").select("component", "key").distinct())
+    least = pairs.groupBy("component").agg(F.min("key").alias("b"), F.count("*").alias("k")).where("k > 1")
+    total = pairs.count()
+    return materialise(compact(join_counted(pairs, least, ["component"], total, "k").where("key <> b").select(F.col("key").alias("a"), "b"), total))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, classes: DataFrame | None = None
+) -> DataFrame:
     """(id, component) for every row: component is the smallest id reachable over similar texts.
 
     Texts are similar when their sets of word shingles (A-Z lower-cased, 64-bit hashes) have the
-    Jaccard similarity; a pair at 0.8 is missed with probability 5e-5, a closer one less. Texts of
+    Jaccard similarity; a pair at 0.8 is missed with probability 5e-5, a closer one less. Rows of one
+    of the classes (id, component; ids occur once) are linked too, as those of SimHash fingerprints. Texts of
     the same words are always linked, those without words (null included) with each other. Rows
     with a null id take part and get the component of their text, null where no id is known there;
     repeated rows are all kept. Texts of any length are taken whole. An empty table gives an empty table; columns
@@ -411,7 +433,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=PART_BYTES):
                 key, sketch = text_sketches(part.column(1), shingle)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c.view(np.int64)) for c in (key, *sketch))], ["id", "key", *names])
 
@@ -419,7 +441,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = id_and_text(docs, id_col, text_col)
     prints = materialise(rows.mapInArrow(run, fields))
     nodes = materialise(prints.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n"), *(F.min(name).alias(name) for name in names)))
-    parts = connected_components(similar_links(rows, nodes.drop("first", "n").where("key <> 0"), shingle, similarity))
+    linked = None if classes is None else class_links(prints, classes)
+    parts = connected_components(similar_links(rows, nodes.drop("first", "n").where("key <> 0"), shingle, similarity, linked))
     rooted = nodes.join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("k"))
     named = materialise(join_counted(rooted, least, ["root"], rooted.count(), "k").select("key", "component", "n"))

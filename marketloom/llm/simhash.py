@@ -18,6 +18,8 @@ from marketloom.llm.shared import id_and_text, join_counted, materialise, slices
 BITS = 64
 #: Fingerprints that one BK-tree holds at most; larger shards are cut in chunks, each pair of which is a unit of work.
 TREE_SIZE = 1024
+#: Text bytes whose shingles a task holds at once.
+PART_BYTES = 1 << 19
 #: Times that large shards are dealt by further bits.
 REFINED = 3
 #: A shard's wished mean size; with more fingerprints the shards agree in more bits.
@@ -33,7 +35,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=PART_BYTES):
                 fps = text_fingerprints(part.column(1), shingle, seed)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 

@@ -161,6 +161,25 @@ def test_half_of_all_texts_are_empty(spark):
         assert all(r.component is not None and r.component <= r.id for r in got if r.id is not None)
 
 
+def test_pipeline_links_what_the_simhash_operator_links(spark):
+    """A phrase repeated decides the fingerprint, so that other tails stay linked though few distinct shingles are shared."""
+    import corpus_pipeline
+
+    r = random.Random(9)
+    phrases, texts = [" ".join(prose(r, 7)) for _ in range(3)], []
+    for phrase in phrases:
+        texts += [" ".join([phrase] * 40 + prose(r, 10)) for _ in range(4)]
+    base = prose(r, 60)
+    texts += [" ".join(base), " ".join(base[:-6]), " ".join(prose(r, 60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    linked = {x.id: x.component for x in simhash.simhash_components(docs).collect()}
+    assert [linked[i] for i in range(12)] == [0] * 4 + [4] * 4 + [8] * 4
+    assert linked[13] == 13 and jaccard(base, base[:-6]) >= 0.8
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 4, 8, 12, 14]
+    without = {x.id: x.component for x in near.near_duplicates(docs).collect()}
+    assert without == {i: min(i, 12) if i in (12, 13) else i for i in range(15)}
+
+
 def test_few_links_stay_in_few_partitions(spark, monkeypatch):
     """Files of a shuffle and a checkpoint follow the rows, not the session's shuffle partitions."""
     from marketloom.llm import components
