@@ -11,9 +11,10 @@ from marketloom.schemas import SENTIMENT_ALL
 from marketloom.sources.keyed import keep_last
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
-#: Trailing windows by name, and the stretch of time whose rows stand in one window: a symbol's rows are many groups.
+#: Trailing windows by name; all are whole hours.
 TRAILING = {"h1": HOUR, "h24": DAY, "d3": 3 * DAY}
-STRETCH = 16 * DAY
+#: The stretch of time (whole hours) in which a symbol's articles meet cuts: its rows are many groups.
+STRETCH = HOUR
 NEWS = "published_at"
 
 
@@ -21,57 +22,101 @@ def neutral(bars: DataFrame) -> DataFrame:
     return bars.withColumns({c: F.lit(0.0) for c in SENTIMENT_ALL})
 
 
-def _both(bars: DataFrame, articles: DataFrame) -> DataFrame:
-    """Probes (bars) and articles in one table ordered by microseconds."""
-    probes = bars.select("symbol", "ts", F.lit(True).alias("probe"), F.lit(None).cast("double").alias("score"))
-    news = articles.select("symbol", F.col(NEWS).alias("ts"), F.lit(False).alias("probe"), F.coalesce("finbert_scalar", F.lit(0.0)).alias("score"))
-    return probes.unionByName(news).withColumn("us", F.unix_micros("ts"))
+def _pieces(probes: DataFrame, articles: DataFrame, sizes: list[int]) -> DataFrame:
+    """(symbol, us, probe, n, total, m2): the articles after the cut before, up to the cut us; m2 is their sum of squared deviations.
+
+    Cuts are the probes, the starts of their windows and the last microsecond of each hour that has articles.
+    Articles meet the cuts of their stretch alone, in one pass.
+    """
+    starts = F.array(*(F.col("us") - size for size in (0, *sizes)))
+    cuts = probes.select("symbol", F.unix_micros("ts").alias("us")).distinct().select("symbol", F.posexplode(starts).alias("place", "us"))
+    cuts = cuts.select("symbol", "us", F.col("us").alias("cut"), (F.col("place") == 0).alias("probe"), F.lit(None).cast("double").alias("score"))
+    news = articles.select("symbol", F.unix_micros(NEWS).alias("us"), F.lit(None).cast("long").alias("cut"), F.lit(False).alias("probe"), F.coalesce("finbert_scalar", F.lit(0.0)).alias("score"))
+    rows = cuts.unionByName(news).where("symbol is not null and us is not null").withColumn("stretch", F.floor(F.col("us") / STRETCH))
+    # the least cut at or after a row, looked for backwards so that the frame only grows
+    back = Window.partitionBy("symbol", "stretch").orderBy(F.desc("us"))
+    rows = rows.withColumn("cut", F.least(F.min("cut").over(back), (F.floor(F.col("us") / HOUR) + 1) * HOUR - 1))
+    n = F.count("score")
+    found = rows.groupBy("symbol", "stretch", "cut").agg(F.max("probe").alias("probe"), n.alias("n"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("total"), F.coalesce(F.var_pop("score") * n, F.lit(0.0)).alias("m2"))
+    return found.select("symbol", F.col("cut").alias("us"), "probe", "n", "total", "m2")
+
+
+def _between(n: Column, total: Column, m: Column, sum_: Column) -> Column:
+    """What two groups' squared deviations lack of those of both together; no difference of large sums is taken."""
+    return F.when((n > 0) & (m > 0), (total / n - sum_ / m) ** 2 * (n * (m / (n + m)))).otherwise(0.0)
+
+
+def _running(pieces: DataFrame, keys: list[str], order: Column, name: str) -> DataFrame:
+    """Pieces with <name>_n, _total and _m2 of all pieces of their keys up to and with their own."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    now, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    m, sum_ = F.coalesce(F.sum("n").over(before), F.lit(0)), F.coalesce(F.sum("total").over(before), F.lit(0.0))
+    out = pieces.withColumns({"__m": m, "__sum": sum_})
+    out = out.withColumn("__step", F.col("m2") + _between(F.col("n"), F.col("total"), F.col("__m"), F.col("__sum")))
+    out = out.withColumns({f"{name}_n": F.col("__m") + F.col("n"), f"{name}_total": F.col("__sum") + F.col("total"), f"{name}_m2": F.sum("__step").over(now)})
+    return out.drop("__m", "__sum", "__step")
+
+
+PARTS = ("n", "total", "m2")
 
 
-def _stats(w: Window, prefix: str) -> dict[str, Column]:
-    there = F.when(~F.col("probe"), F.col("score"))
-    n = F.count(there).over(w)
+def _stats(parts: dict[str, Column], prefix: str) -> dict[str, Column]:
+    n, total, m2 = (parts[p] for p in PARTS)
     return {
-        f"{prefix}_mean": F.coalesce(F.avg(there).over(w), F.lit(0.0)),
+        f"{prefix}_mean": F.when(n > 0, total / n).otherwise(0.0),
         f"{prefix}_n": n.cast("double"),
-        f"{prefix}_sd": F.coalesce(F.when(n > 1, F.stddev_samp(there).over(w)), F.lit(0.0)),
+        f"{prefix}_sd": F.when(n > 1, F.sqrt(m2 / (n - 1))).otherwise(0.0),
     }
 
 
-def _trailing(both: DataFrame) -> DataFrame:
-    """The probes of _both() with the statistics of TRAILING, whose windows are open at their start.
+def _as_of(probes: DataFrame, articles: DataFrame, trailing: dict[str, int]) -> DataFrame:
+    """(symbol, ts, <name>_mean, _n, _sd) of each distinct probe: trailing windows, open at their start, and day, from midnight (UTC) on.
 
-    Time is cut in stretches. An article stands in its own and, where a window of the next one reaches back
-    to it, in that one too; a probe stands in its own alone. So no window holds more than a stretch of a symbol.
+    Time is cut in blocks as long as the window, counted from midnight: a window is the end of one block and the
+    beginning of the next. Both are running aggregates over pieces, so no article is added twice to one of them and none is
+    taken away again; a block has as many rows as cuts, however many its articles are.
     """
-    widest = max(TRAILING.values())
-    own, last = (F.floor(x / STRETCH) for x in (F.col("us"), F.col("us") + (widest - 1)))
-    cut = both.withColumn("stretch", F.explode(F.when(F.col("probe"), F.array(own)).otherwise(F.sequence(own, last))))
-    w = Window.partitionBy("symbol", "stretch").orderBy("us")
-    for name, size in TRAILING.items():
-        cut = cut.withColumns(_stats(w.rangeBetween(1 - size, 0), name))
-    return cut.where("probe").drop("stretch")
+    blocks = {"day": DAY, **trailing}
+    rows = _pieces(probes, articles, list(trailing.values()))
+    at = F.col("us")
+    for name, size in blocks.items():
+        rows = rows.withColumn("block", F.floor(at / size))
+        rows = _running(rows, ["symbol", "block"], at.asc(), f"{name}_head")
+        if name in trailing:
+            # what follows a cut in its block is what the next cut's tail holds
+            rows = _running(rows, ["symbol", "block"], at.desc(), f"{name}_next")
+            later = Window.partitionBy("symbol", "block").orderBy(at.desc())
+            rows = rows.withColumns({f"{name}_tail_{p}": F.coalesce(F.lag(f"{name}_next_{p}").over(later), F.lit(0)) for p in PARTS})
+    heads = [f"{name}_head_{p}" for name in blocks for p in PARTS]
+    tails = {name: [f"{name}_tail_{p}" for p in PARTS] for name in trailing}
+    every = [*heads, *(c for t in tails.values() for c in t)]
+    # a start's tail goes to the probe whose window begins there
+    part = lambda shift, own, probe: F.struct((at + shift).alias("us"), probe.alias("probe"), *(F.when(F.lit(c in own), F.col(c)).alias(c) for c in every))
+    parts = [part(0, heads, F.col("probe")), *(part(size, tails[name], F.lit(False)) for name, size in trailing.items())]
+    met = rows.select("symbol", F.inline(F.array(*parts))).groupBy("symbol", "us").agg(F.max("probe").alias("probe"), *(F.max(c).alias(c) for c in every)).where("probe")
+    found = _stats({p: F.col(f"day_head_{p}") for p in PARTS}, "day")
+    for name in trailing:
+        (n, total, m2), (m, sum_, rest) = ([F.col(f"{name}_{side}_{p}") for p in PARTS] for side in ("head", "tail"))
+        found |= _stats({"n": n + m, "total": total + sum_, "m2": m2 + rest + _between(n, total, m, sum_)}, name)
+    return met.select("symbol", F.timestamp_micros("us").alias("ts"), *(c.alias(k) for k, c in found.items()))
 
 
 def as_of_sentiment(bars: DataFrame, articles: DataFrame, market: str = "SPY") -> DataFrame:
     """Bars with SENTIMENT_ALL, from articles published at or before each bar alone.
 
     Trailing windows are open at their start. The day's statistics run from midnight (UTC). A null
-    score counts as 0; no articles give 0. Windows stand over a day, or a stretch of days, of a symbol, never
-    over all of its rows; the market's own statistics are computed once for each instant.
+    score counts as 0; no articles give 0. Articles are added up between the bars' instants first, so that the work
+    grows with articles and bars, not with the articles of a window; the market's own statistics are computed once for each instant.
     """
-    today = Window.partitionBy("symbol", "day").orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
-    both = _both(bars.select("symbol", "ts").distinct(), articles).withColumn("day", F.to_date("ts"))
-    # what the probes need of the day is computed where the day's rows are; articles go on as they are
-    own = _trailing(both.withColumns(_stats(today, "sym"))).select(
+    own = _as_of(bars, articles, TRAILING).select(
         "symbol", "ts",
         F.col("h24_mean").alias("news_sentiment_mean_z"), F.col("h1_mean").alias("sentiment_1h"), F.col("h24_mean").alias("sentiment_24h"),
         F.col("d3_mean").alias("sentiment_3d"), F.col("h24_n").alias("news_volume"), F.col("d3_sd").alias("sentiment_volatility"),
-        F.col("sym_mean").alias("sym_sentiment_d1"), F.col("sym_n").alias("sym_news_volume_d1"), F.col("sym_sd").alias("sym_sentiment_vol_d1"),
+        F.col("day_mean").alias("sym_sentiment_d1"), F.col("day_n").alias("sym_news_volume_d1"), F.col("day_sd").alias("sym_sentiment_vol_d1"),
     )
     instants = bars.select(F.lit(market).alias("symbol"), "ts").distinct()
-    spy = _both(instants, articles.where(F.col("symbol") == market)).withColumn("day", F.to_date("ts")).withColumns(_stats(today, "spy")).where("probe")
-    spy = spy.select("ts", F.col("spy_mean").alias("spy_sentiment_d1"), F.col("spy_n").alias("spy_news_volume_d1"), F.col("spy_sd").alias("spy_sentiment_vol_d1"))
+    spy = _as_of(instants, articles.where(F.col("symbol") == market), {})
+    spy = spy.select("ts", F.col("day_mean").alias("spy_sentiment_d1"), F.col("day_n").alias("spy_news_volume_d1"), F.col("day_sd").alias("spy_sentiment_vol_d1"))
     return by_instant(bars.join(own, ["symbol", "ts"], "left"), spy)
 
 
@@ -102,7 +147,7 @@ def daily_rollup(days: DataFrame, articles: DataFrame, cutoff: Column | None = N
     cutoff serve as history only.
     """
     ends = days.select("symbol", F.col("as_of_date")).distinct().withColumn("ts", F.date_add("as_of_date", 1).cast("timestamp"))
-    rows = _trailing(_both(ends, articles)).withColumn("as_of_date", F.date_sub(F.to_date("ts"), 1))
+    rows = _as_of(ends, articles, TRAILING).withColumn("as_of_date", F.date_sub(F.to_date("ts"), 1))
     per_day = articles.groupBy("symbol", F.to_date(NEWS).alias("as_of_date")).agg(F.count("*").alias("article_count"), F.avg(F.coalesce("finbert_scalar", F.lit(0.0))).alias("mean_score"))
     rows = rows.join(per_day, ["symbol", "as_of_date"], "left").na.fill(0, ["article_count"]).na.fill(0.0, ["mean_score"])
     rows = rows.withColumn("ts", F.col("as_of_date"))

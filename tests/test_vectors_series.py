@@ -133,3 +133,17 @@ def test_as_of_in_one_window_or_by_units(spark, monkeypatch, few):
         before = [(u, v) for j, u, v in rows if j == k and u <= t]
         want[k, t] = max(before)[1] if before else None
     assert {(x.k, x.ts): x.v for x in got.collect()} == want and got.count() == len(want)
+
+
+def test_no_window_takes_articles_out_again(spark):
+    """A time frame that slides costs all of a window's articles for each article."""
+    times = [DAY + dt.timedelta(minutes=7 * i) for i in range(700)]
+    articles = spark.createDataFrame([("A", t, 0.3) for t in times] + [("SPY", DAY, None)], "symbol string, published_at timestamp, finbert_scalar double")
+    now = DAY + dt.timedelta(days=3, seconds=61)
+    bars = spark.createDataFrame([("A", now), ("A", DAY)], "symbol string, ts timestamp")
+    found = sentiment.as_of_sentiment(bars, articles)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition" in plan and "specifiedwindowframe(RangeFrame, -" not in plan
+    early, late = found.orderBy("ts").collect()
+    assert early.news_volume == 1.0 and late.news_volume == sum(now - dt.timedelta(days=1) < t <= now for t in times)
+    assert late.sym_news_volume_d1 == 0.0 and late.sentiment_3d == pytest.approx(0.3) and late.sentiment_volatility == pytest.approx(0.0, abs=1e-12)
