@@ -142,8 +142,9 @@ def test_no_window_takes_articles_out_again(spark):
     now = DAY + dt.timedelta(days=3, seconds=61)
     bars = spark.createDataFrame([("A", now), ("A", DAY)], "symbol string, ts timestamp")
     found = sentiment.as_of_sentiment(bars, articles)
-    plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert "windowspecdefinition" in plan and "specifiedwindowframe(RangeFrame, -" not in plan
+    for frame in (found, sentiment.daily_rollup(bars.select("symbol", F.to_date("ts").alias("as_of_date")), articles)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "windowspecdefinition" in plan and "specifiedwindowframe(RangeFrame, -" not in plan
     early, late = found.orderBy("ts").collect()
     assert early.news_volume == 1.0 and late.news_volume == sum(now - dt.timedelta(days=1) < t <= now for t in times)
     assert late.sym_news_volume_d1 == 0.0 and late.sentiment_3d == pytest.approx(0.3) and late.sentiment_volatility == pytest.approx(0.0, abs=1e-12)
