@@ -12,7 +12,7 @@ from marketloom.functions import calendars, scalars
 from marketloom.operators import backtest, context, labels, prices, scanner, sentiment, thresholds, vectors
 from marketloom.operators.features import compute_features, row_z_scores
 from marketloom.schemas import FEATURES, MODEL_VECTOR, VALUES
-from marketloom.sources import artifacts, news, universe
+from marketloom.sources import artifacts, news, tables, universe
 from marketloom.streaming import ingest
 
 UTC = dt.UTC
@@ -272,3 +272,15 @@ def test_scoring_and_points(spark):
     got = {r.article_id: r.score for r in vectors.score_texts(rows, make, "text").collect()}
     assert got == {1: 3.0, 2: None, 3: None, 4: 501.0}
     assert sorted(r.point_id for r in vectors.chunk_points(rows).collect()) == [10000, 40000, 40001]
+
+
+def test_a_probability_half_way_between_two_is_rounded_up_in_any_order(spark):
+    discounts = [n / 100 for n in (10, 6, 8, 3, 10, 8, 7, 3, 8, 10, 0, 6, 10, 9, 5, 10)]  # 1.13 over 16 rows: 0.70625
+    orders = [discounts, discounts[::-1], sorted(discounts)]
+    rows = [(f"o{n}", i, 100.0 + i, 1.0, d) for n, o in enumerate(orders) for i, d in enumerate(o)]
+    frame = spark.createDataFrame(rows, "symbol string, line int, price double, l_quantity double, l_discount double").coalesce(1)
+    assert {r.symbol: r.prob_trade_success for r in tables.as_bars(frame, "symbol").collect()} == {"o0": 0.7063, "o1": 0.7063, "o2": 0.7063}
+    # what is no decimal under 100 is added as it is
+    odd = spark.createDataFrame([("a", None), ("b", float("nan")), ("c", 1e9), ("c", 1.0), ("d", 0.05), ("d", None)], "symbol string, l_discount double")
+    got = {r.symbol: r.p for r in odd.groupBy("symbol").agg(tables.tenfold_mean("l_discount").alias("p")).collect()}
+    assert got["a"] is None and got["b"] != got["b"] and got["c"] == 5000000005.0 and got["d"] == 0.5
