@@ -86,8 +86,17 @@ def eligible(grid: DataFrame, floor: DataFrame, least_factor: float | None = Non
     return grid.withColumn("tier", tier).withColumn("__best", F.min("tier").over(Window.partitionBy(F.lit(0)))).where("tier = __best").drop("__best")
 
 
+def steady(c: str) -> Column:
+    """A number to nine places and ten digits, for comparisons alone.
+
+    Thresholds that no probability lies between have the same trades, but sums of doubles that end a last place apart by the
+    order of their rows: they are equal here, so that the order behind them decides.
+    """
+    return F.when(F.col(c).isNotNull(), F.format_string("%.9e", F.round(c, 9)).cast("double"))
+
+
 def best_single(pool: DataFrame) -> DataFrame:
-    return pool.orderBy(F.desc("selection_score"), "threshold").limit(1)
+    return pool.orderBy(F.desc(steady("selection_score")), "threshold").limit(1)
 
 
 def ranks(pool: DataFrame, metrics: list[str]) -> DataFrame:

@@ -284,3 +284,16 @@ def test_a_probability_half_way_between_two_is_rounded_up_in_any_order(spark):
     odd = spark.createDataFrame([("a", None), ("b", float("nan")), ("c", 1e9), ("c", 1.0), ("d", 0.05), ("d", None)], "symbol string, l_discount double")
     got = {r.symbol: r.p for r in odd.groupBy("symbol").agg(tables.tenfold_mean("l_discount").alias("p")).collect()}
     assert got["a"] is None and got["b"] != got["b"] and got["c"] == 5000000005.0 and got["d"] == 0.5
+
+
+def test_equal_thresholds_tie_whatever_the_last_place_of_their_sums(spark):
+    """Several thresholds below all probabilities: the same trades, sums of doubles in another order."""
+    noise = [2.5323613468592874, 2.5323613468592914, 2.5323613468592914, 1.5]
+    rows = [(0.05 * (n + 1), x, x + 1e-15 * n, x, x, x, x, 0.64 - 1e-16 * n, 60) for n, x in enumerate(noise)]
+    pool = spark.createDataFrame(rows, ["threshold", "selection_score", *thresholds.METRICS, "total_trades"])
+    assert thresholds.best_single(pool).first().threshold == 0.05
+    # differences that are no noise still count, missing and infinite scores keep their places
+    other = spark.createDataFrame([(0.1, 1e-7), (0.2, 1.01e-7), (0.3, None), (0.4, 0.0)], "threshold double, selection_score double")
+    assert thresholds.best_single(other).first().threshold == 0.2
+    assert thresholds.best_single(other.where("threshold = 0.3 or threshold = 0.4")).first().threshold == 0.4
+    assert thresholds.best_single(other.withColumn("selection_score", F.lit(float("inf")))).first().threshold == 0.1
