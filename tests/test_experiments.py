@@ -119,3 +119,17 @@ def test_nothing_to_sum_up(spark):
     row = found.summary.collect()[0]
     assert (row.avg_mae, row.avg_strategy_cum_return, row.strategy_total_trades, row.avg_strategy_directional_accuracy) == (None, 1.0, 0, 0.0)
     assert thresholds.mean_errors(frame.withColumn("prob_trade_success", F.lit(0.5))).collect() == []
+
+
+def _tied(spark):
+    """Tests of three splits, and metrics of two thresholds with the same trades whose returns are added in another order."""
+    tests = spark.createDataFrame([(s, "A", dt.datetime(2024, 1, 1 + s), 100.0, 101.0, 99.0, 0.9, 1) for s in range(3)], "split int, symbol string, ts timestamp, close double, high double, low double, prob_trade_success double, trade_success int")
+    returns = {0.05: (0.3, 0.2, 0.1), 0.1: (0.1, 0.2, 0.3)}
+    rows = [(s, t, r, 1.0, 2.0, -0.1, 0.5, 0.01, 50.0, 9, 4) for t, own in returns.items() for s, r in enumerate(own)]
+    names = "split int, threshold double, cum_return double, cum_market_return double, profit_factor double, max_drawdown double, win_rate double, expectancy double, directional_accuracy double, strategy_trade_count long, strategy_directional_hits long"
+    return tests, spark.createDataFrame(rows, names).coalesce(1)
+
+
+def test_the_least_of_equal_thresholds_is_best(spark):
+    tests, metrics = _tied(spark)
+    assert thresholds.optimise(tests, "avg_cum_return", metrics=metrics, thresholds=[0.05, 0.1])[1].first().threshold == 0.05
