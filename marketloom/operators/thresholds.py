@@ -102,7 +102,7 @@ def best_single(pool: DataFrame) -> DataFrame:
 def ranks(pool: DataFrame, metrics: list[str]) -> DataFrame:
     """<metric>_rank, ties at the lowest rank, null worst; max_rank and mean_rank."""
     one = Window.partitionBy(F.lit(0))
-    order = lambda m: F.asc_nulls_last(m) if m == LESS_IS_BETTER else F.desc_nulls_last(m)
+    order = lambda m: F.asc_nulls_last(steady(m)) if m == LESS_IS_BETTER else F.desc_nulls_last(steady(m))
     out = pool.withColumns({f"{m}_rank": F.rank().over(one.orderBy(order(m))) for m in metrics})
     columns = [F.col(f"{m}_rank") for m in metrics]
     most = F.greatest(*columns) if len(columns) > 1 else columns[0]
@@ -115,7 +115,7 @@ def best_joint(pool: DataFrame, metrics: list[str] | None = None, k_start: int =
     k = F.greatest(F.min("max_rank").over(Window.partitionBy(F.lit(0))), F.lit(k_start))
     ranked = ranked.withColumn("k", F.when(k <= k_max, k))
     within = ranked.where(F.col("k").isNull() | (F.col("max_rank") <= F.col("k")))
-    return within.orderBy("mean_rank", F.when(F.col("k").isNotNull(), -F.col("selection_score")), "threshold").limit(1)
+    return within.orderBy("mean_rank", F.when(F.col("k").isNotNull(), -steady("selection_score")), "threshold").limit(1)
 
 
 def optimise(tests: DataFrame, objective: str = "calmar_proxy", joint: bool = False, thresholds: list[float] | None = None, least_trades: int = 5, metrics: DataFrame | None = None, **limits: float) -> tuple[DataFrame, DataFrame]:

@@ -292,6 +292,8 @@ def test_equal_thresholds_tie_whatever_the_last_place_of_their_sums(spark):
     rows = [(0.05 * (n + 1), x, x + 1e-15 * n, x, x, x, x, 0.64 - 1e-16 * n, 60) for n, x in enumerate(noise)]
     pool = spark.createDataFrame(rows, ["threshold", "selection_score", *thresholds.METRICS, "total_trades"])
     assert thresholds.best_single(pool).first().threshold == 0.05
+    best = thresholds.best_joint(pool, thresholds.METRICS[:5]).first()
+    assert best.threshold == 0.05 and best.max_rank == 1 and best.mean_rank == 1.0
     # differences that are no noise still count, missing and infinite scores keep their places
     other = spark.createDataFrame([(0.1, 1e-7), (0.2, 1.01e-7), (0.3, None), (0.4, 0.0)], "threshold double, selection_score double")
     assert thresholds.best_single(other).first().threshold == 0.2
