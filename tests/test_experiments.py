@@ -133,3 +133,10 @@ def _tied(spark):
 def test_the_least_of_equal_thresholds_is_best(spark):
     tests, metrics = _tied(spark)
     assert thresholds.optimise(tests, "avg_cum_return", metrics=metrics, thresholds=[0.05, 0.1])[1].first().threshold == 0.05
+
+
+def test_an_experiment_keeps_the_least_of_equal_thresholds(spark, monkeypatch):
+    tests, metrics = _tied(spark)
+    monkeypatch.setattr(thresholds, "grid_metrics", lambda *_: metrics)
+    found = experiments.evaluated(tests, [0.05, 0.1], objective="avg_cum_return")
+    assert found.best.first().threshold == 0.05 and found.summary.first().strategy_total_trades == 27
