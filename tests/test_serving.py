@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from marketloom.functions import calendars, scalars
 from marketloom.operators import backtest, models, reports, scanner
 from marketloom.schemas import CHART, FEATURES, MODEL_VECTOR
-from marketloom.sources import ohlcv
+from marketloom.sources import ohlcv, tables
 
 DAY = datetime.datetime(2024, 1, 2)
 
@@ -137,3 +137,12 @@ def test_market_override(spark):
     market = spark.createDataFrame([(1, 3.0)], "split int, cum_market_return double")
     other = backtest.backtest(backtest.with_threshold(bars, [0.5]), "threshold", ["split", "threshold"], market=market).collect()[0]
     assert other.cum_market_return == 3.0 and other.cum_return == own.cum_return
+
+
+def test_rows_are_explained_alike_whatever_the_order_of_their_lines(spark):
+    discounts = [n / 100 for n in (10, 6, 8, 3, 10, 8, 7, 3, 8, 10, 0, 6, 10, 9, 5, 10)]  # ten times their mean: 0.70625
+    rows = [(s, i, 100.0, 1.0, d) for s, own in (("A", discounts), ("B", discounts[::-1])) for i, d in enumerate(own)]
+    lines = spark.createDataFrame(rows, "symbol string, line int, price double, l_quantity double, l_discount double").coalesce(1)
+    bars = tables.as_bars(lines, "symbol").withColumns({"ts": F.lit(0).cast("timestamp"), "signal": F.lit(0)})
+    reasons = {r.reason for r in reports.explained(bars, 0.8).collect()}
+    assert reasons == {"Signal omitted: model score 0.7063 is below/equal threshold 0.8000 (margin -0.0937)."}
