@@ -148,3 +148,11 @@ def test_no_window_takes_articles_out_again(spark):
     early, late = found.orderBy("ts").collect()
     assert early.news_volume == 1.0 and late.news_volume == sum(now - dt.timedelta(days=1) < t <= now for t in times)
     assert late.sym_news_volume_d1 == 0.0 and late.sentiment_3d == pytest.approx(0.3) and late.sentiment_volatility == pytest.approx(0.0, abs=1e-12)
+
+
+def test_sentiment_from_articles_takes_none_out_again(spark):
+    articles = spark.createDataFrame([("A", DAY + dt.timedelta(hours=i), 0.25) for i in range(30)], "symbol string, published_at timestamp, finbert_scalar double")
+    bars = spark.createDataFrame([("A", DAY + dt.timedelta(hours=29)), ("B", DAY)], "symbol string, ts timestamp")
+    found = sentiment.attach_sentiment(bars, articles, None, None).groupBy("symbol").agg(F.sum("news_volume").alias("news"), F.sum("sentiment_24h").alias("score"))
+    assert "specifiedwindowframe(RangeFrame, -" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {("A", 24.0, 0.25), ("B", 0.0, 0.0)}
