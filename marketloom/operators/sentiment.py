@@ -29,9 +29,9 @@ def _pieces(probes: DataFrame, articles: DataFrame, sizes: list[int]) -> DataFra
     Articles meet the cuts of their stretch alone, in one pass.
     """
     starts = F.array(*(F.col("us") - size for size in (0, *sizes)))
-    cuts = probes.select("symbol", F.unix_micros("ts").alias("us")).distinct().select("symbol", F.posexplode(starts).alias("place", "us"))
+    cuts = probes.select("symbol", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).distinct().select("symbol", F.posexplode(starts).alias("place", "us"))
     cuts = cuts.select("symbol", "us", F.col("us").alias("cut"), (F.col("place") == 0).alias("probe"), F.lit(None).cast("double").alias("score"))
-    news = articles.select("symbol", F.unix_micros(NEWS).alias("us"), F.lit(None).cast("long").alias("cut"), F.lit(False).alias("probe"), F.coalesce("finbert_scalar", F.lit(0.0)).alias("score"))
+    news = articles.select("symbol", F.unix_micros(F.col(NEWS).cast("timestamp")).alias("us"), F.lit(None).cast("long").alias("cut"), F.lit(False).alias("probe"), F.coalesce("finbert_scalar", F.lit(0.0)).alias("score"))
     rows = cuts.unionByName(news).where("symbol is not null and us is not null").withColumn("stretch", F.floor(F.col("us") / STRETCH))
     # the least cut at or after a row, looked for backwards so that the frame only grows
     back = Window.partitionBy("symbol", "stretch").orderBy(F.desc("us"))
